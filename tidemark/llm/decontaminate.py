@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates.
 
-Words are canonicalised: numbers, names (capitalised words inside a sentence) and units become typed placeholders, other words lose case and ASCII punctuation; words of punctuation alone vanish. Windows of eight template words of the benchmark and of the documents are hash-joined; a fixed-size membership filter over the benchmark's windows keeps nearly all document windows from the join. A window needs five literal words. A joined run (same document, item and offset) counts if its slots are consistent: each benchmark value stands for one document value and the other way round, so that a re-parameterised question is caught and a coincidence of placeholders is not.
+Words are canonicalised: numbers, names (capitalised words inside a sentence) and units become typed placeholders, other words lose case and ASCII punctuation; words of punctuation alone vanish. Each text is windowed twice, with placeholders and with every word literal, so that texts in capitals, whose every word would be a name, are met as well. Windows of eight template words of the benchmark and of the documents are hash-joined; a fixed-size membership filter over the benchmark's windows keeps nearly all document windows from the join. A window needs five literal words. A joined run (same document, item and offset) counts if its slots are consistent: each benchmark value stands for one document value and the other way round, so that a re-parameterised question is caught and a coincidence of placeholders is not.
 
 Defined results: null and empty texts match nothing; an item shorter than eight words is matched whole if it has five; shorter ones can't be matched; items may repeat; rows that repeat a doc_id share what was found; a null doc_id is judged by its own row's windows as one group of null ids; empty tables give no rows, or rows without findings. Columns besides doc_id, text and item_id are not read.
 """
@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.common import byte_texts, runs
-from tidemark.llm.words import Words
+from tidemark.llm.common import byte_texts, materialise, runs
+from tidemark.llm.words import IS_SPACE, Words
 
 WIDTH, LITERALS = 8, 5
 FILTER_BITS = 1 << 24
 NUM, NAME, UNIT = (np.uint64(x) for x in (0xA11CE0001, 0xA11CE0002, 0xA11CE0003))
+LITERAL = np.uint64(0x2545F4914F6CDD1D)
 # Words that are units of measure or money.
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g gram grams kg kilogram kilograms ton tons tonne tonnes ounce ounces pound pounds ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years mph kmh percent degree degrees celsius fahrenheit dollar dollars euro euros cent cents usd eur gbp watt watts volt volts amp amps joule joules newton newtons pascal kb mb gb tb".split()
 _KEEP = np.zeros(256, bool)
@@ -28,30 +29,32 @@ _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?:;\n\"")] = True
 
 
-def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template word, value (0 for literals) and text number of each word that isn't punctuation alone."""
-    words = Words(texts, _KEEP)
+def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template word, value (0 for literals), literal word and text number of each word that isn't punctuation alone."""
+    words = Words([x if x.isascii() else x.decode("utf-8", "replace").lower().encode("utf-8", "replace") for x in texts], _KEEP)
     original = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edge = np.diff(IS_SPACE[original].view(np.int8), prepend=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     total = lambda flags: np.append(0, np.cumsum(flags))
     digits = total((original >= 48) & (original <= 57))
     kept = total(_KEEP[original])
-    n_digits, n_kept = (x[words.end] - x[words.start] for x in (digits, kept))
+    n_digits, n_kept = (x[end] - x[start] for x in (digits, kept))
     # The first byte that counts in each word, and whether it is a capital.
     where = np.flatnonzero(_KEEP[original])
-    first = where[np.minimum(kept[words.start], max(len(where) - 1, 0))] if len(where) else words.start
+    first = where[np.minimum(kept[start], max(len(where) - 1, 0))] if len(where) else start
     c, following = original[first], original[np.minimum(first + 1, len(original) - 1)]
     capital = (c >= 65) & (c <= 90) | (c == 0xC3) & (following >= 0x80) & (following <= 0x9E)
-    owner = np.searchsorted(words.bounds[1:], np.arange(len(words.start)), "right")
+    owner = np.searchsorted(words.bounds[1:], np.arange(len(start)), "right")
     line = total(original == 10)
-    begins = np.ones(len(words.start), bool)
+    begins = np.ones(len(start), bool)
     if len(begins) > 1:
-        begins[1:] = _STOPS[original[words.end[:-1] - 1]] | (owner[1:] != owner[:-1]) | (line[words.start[1:]] > line[words.start[:-1]])
+        begins[1:] = _STOPS[original[end[:-1] - 1]] | (owner[1:] != owner[:-1]) | (line[start[1:]] > line[start[:-1]])
     code = words.hash.copy()
     number, unit, name = (n_digits == n_kept) & (n_digits > 0), np.isin(words.hash, _UNIT_HASHES), capital & ~begins
     code[name], code[unit], code[number] = NAME, UNIT, NUM
     value = np.where(number | unit | name, words.hash, np.uint64(0))
     real = n_kept > 0
-    return code[real], value[real], owner[real]
+    return code[real], value[real], words.hash[real], owner[real]
 
 
 def template_windows(code: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,29 +71,31 @@ def template_windows(code: np.ndarray, owner: np.ndarray, width: int) -> tuple[n
 
 
 def _windows(widths: list[int], held: np.ndarray | None, whole_short: bool):
-    """(id, h, pos, slots) of each text's windows; held: only those that the filter lets through; whole_short: of texts shorter than WIDTH, the window that is the whole text."""
+    """(id, h, pos, slots, bare) of each text's windows; held: only those that the filter lets through; whole_short: of texts shorter than WIDTH, the window that is the whole text."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), byte_texts(batch.column(1))
             for lo, hi in runs(texts):
-                code, value, owner = template(texts[lo:hi])
+                code, value, literal, owner = template(texts[lo:hi])
                 size = np.bincount(owner, minlength=hi - lo)
                 base = np.cumsum(size) - size
-                hs, starts, spans = [], [], []
-                for width in widths:
-                    h, start = template_windows(code, owner, width)
+                hs, starts, spans, plain = [], [], [], []
+                for width, words in ((w, x) for w in widths for x in (code, literal)):
+                    h, start = template_windows(words, owner, width)
+                    h = h if words is code else h ^ LITERAL
                     keep = np.ones(len(h), bool) if held is None else bloom.lets_through(held, h.view(np.int64))
                     if whole_short and width < WIDTH:
                         keep &= size[owner[start]] == width
                     hs.append(h[keep])
                     starts.append(start[keep])
                     spans.append(np.full(int(keep.sum()), width))
-                h, start, span = np.concatenate(hs), np.concatenate(starts), np.concatenate(spans)
+                    plain.append(np.full(int(keep.sum()), words is literal))
+                h, start, span, bare = (np.concatenate(x) for x in (hs, starts, spans, plain))
                 text = owner[start] if len(start) else np.zeros(0, np.int64)
-                slots = [value[s : s + w].view(np.int64) for s, w in zip(start, span, strict=True)]
+                slots = [np.zeros(w, np.int64) if p else value[s : s + w].view(np.int64) for s, w, p in zip(start, span, bare, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(start - base[text] if len(start) else start), pa.array(slots, pa.list_(pa.int64()))], ["id", "h", "pos", "slots"]
+                    [ids.slice(lo, hi - lo).take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(start - base[text] if len(start) else start), pa.array(slots, pa.list_(pa.int64())), pa.array(bare)], ["id", "h", "pos", "slots", "bare"]
                 )
 
     return run
@@ -99,21 +104,21 @@ def _windows(widths: list[int], held: np.ndarray | None, whole_short: bool):
 def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows of consistent matches."""
     widths = [*range(LITERALS, WIDTH), WIDTH]
-    rows = "id long, h long, pos long, slots array<long>"
+    rows = "id long, h long, pos long, slots array<long>, bare boolean"
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(widths, None, True), rows)
-    # Longer items have no short windows, so that documents' short windows only meet short items.
-    items = items.filter(F.size("slots") == WIDTH).unionByName(items.filter(F.size("slots") < WIDTH)).distinct()
+    items = materialise(items.distinct())
+    widths = sorted(r[0] for r in items.select(F.size("slots")).distinct().collect()) or [WIDTH]
     held = bloom.build(items.select("h"), FILTER_BITS)
     found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(widths, held, False), rows)
-    both = found.select(F.col("id").alias("doc_id"), "h", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items.select(F.col("id").alias("item_id"), "h", "pos", "slots"), "h")
-    run = both.select("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift"), "at", F.explode(F.arrays_zip("slots", "theirs")).alias("z"))
-    slots = run.groupBy("doc_id", "item_id", "shift").agg(
+    both = found.select(F.col("id").alias("doc_id"), "h", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items.select(F.col("id").alias("item_id"), "h", "pos", "slots", "bare"), "h")
+    run = both.select("doc_id", "item_id", "bare", (F.col("at") - F.col("pos")).alias("shift"), "at", F.explode(F.arrays_zip("slots", "theirs")).alias("z"))
+    slots = run.groupBy("doc_id", "item_id", "shift", "bare").agg(
         F.count_distinct("at").alias("n"),
         F.count_distinct(F.when(F.col("z.slots") != 0, F.col("z.slots"))).alias("a"),
         F.count_distinct(F.when(F.col("z.slots") != 0, F.col("z.theirs"))).alias("b"),
         F.count_distinct(F.when(F.col("z.slots") != 0, F.struct("z.slots", "z.theirs"))).alias("both"),
     )
-    return slots.filter("a = both and b = both").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"))
+    return slots.filter("a = both and b = both").groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("n")).groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
