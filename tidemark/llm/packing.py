@@ -7,7 +7,9 @@ Defined results: a null or empty text is one piece holding the end id alone; rep
 
 from __future__ import annotations
 
+import functools
 import math
+import os
 import zlib
 from dataclasses import dataclass
 
@@ -23,9 +25,9 @@ from tidemark.llm.words import span_hash
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int"
 #: Most distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 #: Bytes of text that are looked up together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -118,7 +120,7 @@ class WordTokenizer:
         if len(size) != len(keys):
             raise ValueError("the tokenizer doesn't keep words apart")
         if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(2 * (self.used + len(ids)), "<u4")])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(len(ids) + self.used // 2, "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
         at = self.used + np.cumsum(size) - size
         self.used += len(ids)
@@ -127,6 +129,13 @@ class WordTokenizer:
         self.keys, self.at, self.size = np.insert(self.keys, put, keys[order]), np.insert(self.at, put, at[order]), np.insert(self.size, put, size[order])
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per worker process, so that tasks after the first find the words known; single-threaded, as tasks are what runs side by side."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokenizer(path)
+
+
 def cut(n: int, most: int) -> list[tuple[int, int]]:
     """Start and length of a document's pieces: only the first may be shorter than `most`."""
     first = n % most or min(n, most)
@@ -200,7 +209,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, shards: int, end_id: int =
     """One row per piece; with_ids adds the ids themselves."""
 
     def run(batches):
-        encode = WordTokenizer(tokenizer).encode
+        encode = _tokenizer(tokenizer).encode
         end = np.array([end_id], "<u4")
         turn = TaskContext.get().partitionId() * 7919
         for batch in batches:
