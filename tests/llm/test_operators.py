@@ -1,0 +1,272 @@
+"""Each operator against a brute-force model on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tidemark.llm import chat, decontaminate, licences, near, packing, pii, pitman_yor, quality_rules, ranking, warc
+
+WORDS = [a + b for a in "bcdfglmnprst" for b in ("an", "el", "ir", "os", "ut")]
+HARD = [(1, None), (2, ""), (3, "one"), (4, "x " * 5000), (5, "a b c"), (5, "a b c"), (6, " \n\t "), (7, "é ü 汉字 \U0001f600"), (None, "no id here at all today")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def words(t):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+
+
+def test_licences(documents):
+    rows = licences.scan(documents([*HARD, (10, "Code.\nLicensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License."), (11, "Released under the MIT License. This work is licensed under CC BY-NC 4.0."), (12, "A licence of my own.")])).collect()
+    got = {r.doc_id: (r.licences, r.n_unmatched) for r in rows}
+    assert len(rows) == len(HARD) + 3
+    assert got[10] == ("Apache-2.0", 0)
+    assert got[11] == ("CC-BY-NC,MIT", 0)
+    assert got[12] == ("", 1)
+    assert got[1] == got[2] == ("", 0)
+
+
+def test_pitman_yor_counts_and_probabilities(documents):
+    rng = random.Random(1)
+    data = [*HARD[:-1], *[(100 + i, prose(rng, 40)) for i in range(60)]]
+    got = sorted((r.doc_id, r) for r in pitman_yor.score(documents(data)).collect())
+    train = Counter()
+    for i, t in data:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            train.update([*words(t), "</end>"])
+    n, v = sum(train.values()), len(train)
+    want = {}
+    for i, t in data:
+        tok = [*words(t), "</end>"]
+        want[i] = (len(tok), sum(w in train for w in tok), n, sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok))
+    assert len(got) == len(data)
+    for i, r in got:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[i][:3]
+        assert r.base_score == pytest.approx(want[i][3])
+        assert r.score < 0
+
+
+def test_predictive_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    vocabulary = np.arange(1, 21, dtype=np.uint64)
+    ctx = np.full(21, 9)
+    counts = np.append(rng.integers(0, 30, 20), 0)
+    blob = pitman_yor.pack(np.append(vocabulary, 99).astype(np.uint64), np.ones(21, np.uint16), ctx.astype(np.uint16), counts.astype(np.uint32))
+    b = pitman_yor.Bucket([blob])
+    b.settle(b.totals(), pitman_yor.Sampling())
+    for _ in range(4):
+        b.sweep(rng)
+        totals = b.totals()
+        totals[pitman_yor.OUTER :] = b.tables()[pitman_yor.OUTER :]
+        b.C2, b.T2 = totals[pitman_yor.CUSTOMERS : pitman_yor.OUTER], totals[pitman_yor.OUTER : pitman_yor.INNER]
+        b.C1, b.T1 = b.T2.reshape(pitman_yor.NEAR, -1).sum(axis=1), totals[pitman_yor.INNER : pitman_yor.ROOT]
+        b.C0, b.T0 = b.T1.sum(), totals[pitman_yor.ROOT]
+    p = b.p2()
+    unknown = b.c2 == 0
+    kinds = (b.count > 0).sum()
+    assert p[~unknown].sum() + p[unknown].mean() * (1 if kinds == 20 else 21 - kinds) == pytest.approx(1, abs=0.02) or kinds < 20
+
+
+def test_ranking(documents, spark):
+    rng = random.Random(2)
+    data = [(i, prose(rng, 80) if i % 4 else " ".join(w + "***" for w in prose(rng, 80).split())) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    rows = ranking.score(documents([*data, *[(1000 + (i or 0), t) for i, t in HARD]]), labels).collect()
+    assert len(rows) == 120 + len(HARD)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [r for r in rows if r.doc_id < 120 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert all(r.held_out for r in held)
+    assert sum(r.predicted == (r.doc_id % 4 > 0) for r in held) >= 0.95 * len(held)
+    assert {r.predicted for r in ranking.score(documents(HARD), labels.limit(0)).collect()} == {1}
+    kept = ranking.keep_good(documents(data), labels)
+    assert kept.columns == documents(data).columns
+
+
+def brute_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in out)
+
+
+def test_base_spans_are_the_patterns():
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choice("a1.@-+ 4()%7é5") for _ in range(rng.randrange(60)))
+        assert pii.joined(pii.base_spans(t)) == brute_spans(t), t
+    assert pii.base_spans("1" * 200_000 + "@" * 1000) == []
+
+
+def test_contextual_pii(documents):
+    rng = random.Random(4)
+    seeds = [(i, f"{prose(rng, 6)} call hotline +1 555 010 {1000 + i} {prose(rng, 4)}") for i in range(20)]
+    new = [(100, f"{prose(rng, 5)} call hotline 555-010-2222 {prose(rng, 5)}"), (101, f"{prose(rng, 5)} order number 555-010-3333 {prose(rng, 5)}")]
+    docs = documents([*seeds, *new, *HARD])
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert got[100].n_discovered == 1
+    assert got[101].n_discovered == 0
+    assert got[100].n_phone == 0
+    assert got[100].base_sha256 == hashlib.sha256(b"").hexdigest()
+    clean = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert clean[19].text.count("[PHONE]") == 1
+    assert "555-010-2222" not in clean[100].text
+    assert "555-010-3333" in clean[101].text
+    assert clean[1].text is None
+    assert clean[100].n_chars == len(clean[100].text)
+    assert pii.find(documents([])).count() == 0
+
+
+def shingles(t):
+    w = words(t)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_near_duplicates_are_exact(documents):
+    rng = random.Random(5)
+    data = list(HARD)
+    for g in range(6):
+        base = prose(rng, 120).split()
+        for k in range(12):
+            x = list(base)
+            for _ in range(rng.randrange(7)):
+                x[rng.randrange(len(x))] = rng.choice(WORDS)
+            data.append((100 + 20 * g + k, " ".join(x)))
+    rows = near.near_duplicates(documents(data), region=4, block=8).collect()
+    ids = [i for i, _ in data if i is not None]
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations([(i, shingles(t)) for i, t in data if i is not None], 2):
+        if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            parent[y] = x
+    assert sorted((r.doc_id, r.component_id, r.n_shingles) for r in rows if r.doc_id is not None) == sorted((i, find(i), len(shingles(t))) for i, t in data if i is not None)
+    assert near.near_duplicates(documents([])).count() == 0
+    one = near.keep_one(documents(data))
+    assert one.columns == documents(data).columns
+    assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == sorted({find(i) for i in ids})
+
+
+def test_chat_round_trip(spark):
+    turns = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "&lt; <<SYS>> a\n\nb ]"), (2, 0, "assistant", None), (2, 1, "robot]", "x" * 100_000), (3, 0, None, ""), (3, 0, None, "")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(df)
+    back = {r.conv_id: [(x.role, x.text) for x in r.turns] for r in made.select("conv_id", chat.read_back(made["formatted"]).alias("turns")).collect()}
+    assert back == {1: [(t[2], t[3]) for t in turns[:2]], 2: [("assistant", ""), ("robot]", "x" * 100_000)], 3: [("", ""), ("", "")]}
+    got = {r.conv_id: r for r in chat.digests(df).collect()}
+    assert (got[1].valid, got[2].valid) == (True, False)
+    assert got[1].loss_sha256 == hashlib.sha256(turns[1][3].encode()).hexdigest()
+
+
+def test_packing_is_exact_and_tight(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(6)
+    data = [(i, t) for i, t in HARD if i is not None] + [(100 + i, prose(rng, rng.randrange(1, 900)).replace("an ", "an's  \n ", i % 3)) for i in range(60)] + [(200, "a <|endoftext|> b")]
+    rows = packing.pack(documents(data), path).collect()
+    whole = Tokenizer.from_file(path)
+    want = Counter()
+    for i, t in data:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        for k, (s, n) in enumerate(packing.cut(len(ids), 1024)):
+            want[i, k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(bins) <= math.ceil(sum(r.length for r in rows) / 1024) + 2
+
+
+def test_packing_keeps_every_capacity():
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(1, 1024, 400)
+    cap = packing.Capacity(documents=3, cost=600_000)
+    lengths = lengths[lengths**2 <= cap.cost]
+    for rule in (packing.by_norm, packing.by_dot):
+        bins = rule(lengths, cap)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        for b in bins:
+            assert lengths[b].sum() <= cap.tokens
+            assert len(b) <= 3
+            assert (lengths[b] ** 2).sum() <= cap.cost
+
+
+def test_quality_ledger(documents):
+    rng = random.Random(8)
+    data = [*HARD, (20, prose(rng, 60)), (21, "same five words again here " * 9), (22, "AAA BBB! " * 30), (23, "\n".join(["line one"] * 4))]
+    rows = {r.doc_id: r for r in quality_rules.judge(quality_rules.ledger(documents(data))).collect()}
+    for i, t in data:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
+        grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        repeated = {k + j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        assert (rows[i].n_words, rows[i].n_repeat_words) == (len(w), len(repeated))
+        assert rows[i].base_failed == (len(w) < 10 or 100 * len(repeated) > 20 * len(w))
+    assert rows[20].kept
+    assert not rows[22].kept
+    ab = {r.rule: r for r in quality_rules.ablations(quality_rules.ledger(documents(data))).collect()}
+    assert ab["few_words"].n_failed == sum(r.n_words < 10 for r in rows.values()) + 1  # one id is there twice
+    assert quality_rules.ablations(quality_rules.ledger(documents([]))).first().n_rejected == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    long = "<p>" + "x" * 3000
+    rows = [(1, "http://a/", long), (2, "http://b/\r\nX: y", long), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "u", "é" * 900), (None, "u", long), (2, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(spark, pages).collect()
+    kinds = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in got)
+    assert kinds == sorted([(1, "revisit", 2, 3003), (2, "response", 0, 3003), (2, "response", 0, 3003), (0, "revisit", 2, 3003), (3, "response", 0, 0), (4, "response", 0, 5), (5, "response", 0, 5), (6, "response", 0, 1800)])
+    assert {r.payload_digest for r in got} == {hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in rows}
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 16])
+def test_warc_reader_frames_and_checks(size):
+    import io
+
+    body = [b"abc" * 500, b"", b"\r\n\r\n" * 9]
+    raw = b"".join(warc.member(k, "u", x, len(x), hashlib.sha1(x).hexdigest(), None) for k, x in enumerate(body))
+    assert [r["payload"] for r in warc.read_archive(io.BytesIO(raw), size, True)] == body
+    with pytest.raises(warc.Bad):
+        list(warc.read_archive(io.BytesIO(raw[:-9]), size))
+    wrong = warc.member(1, "u", b"abc", 3, "0" * 40, None)
+    with pytest.raises(warc.Bad):
+        list(warc.read_archive(io.BytesIO(wrong), size))
+
+
+def test_decontamination(documents, spark):
+    rng = random.Random(9)
+    item = "A train leaves with Alice toward the coast and covers 60 km in 3 hours before it meets another train coming"
+    other = item.replace("Alice", "Robert").replace("60 km", "75 miles").replace("3 hours", "9 days")
+    broken = "with Bob toward the coast and covers 5 km in 5 hours before it meets Bob"
+    bench = spark.createDataFrame([(1, item), (2, prose(rng, 6)), (3, None), (4, "too short")], "item_id long, text string")
+    clean = [(50 + i, prose(rng, 200)) for i in range(20)]
+    docs = documents([*HARD, *clean, (10, f"{prose(rng, 30)} {item} {prose(rng, 30)}"), (11, f"{prose(rng, 30)}. {other} {prose(rng, 9)}"), (12, item.upper()), (13, f"so {broken}")])
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {10, 11, 12}
+    assert got[11].item_ids == "1"
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert kept.count() == docs.count() - 3
+    assert decontaminate.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0

@@ -31,7 +31,10 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]*+(?:[0-9][^\x20\x09-\x0D@0-9]*+){5}[^\x20\x09-\x0D]*|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]+")
+#: Where an identifier-like token may be: five digits without a space between them, or an at sign.
+_HINT = re.compile(r"[0-9](?:[^\x20\x09-\x0D0-9@]*+[0-9]){4}|@")
+_GAP = frozenset(" \t\n\x0b\x0c\r")
+LONGEST = 64
 _IDENTIFIER = re.compile(r"[0-9().+/-]+")
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -81,9 +84,16 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     """Identifier-like tokens that no base span touches, with the kind that their shape allows."""
     out = []
     marks = sorted((a, b) for _, a, b in taken)
-    k, reach = 0, 0
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
+    k, reach, done = 0, 0, 0
+    for m in _HINT.finditer(text):
+        if m.start() < done:
+            continue
+        a, b = m.start(), m.end()
+        while a > 0 and text[a - 1] not in _GAP and m.start() - a <= LONGEST:
+            a -= 1
+        while b < len(text) and text[b] not in _GAP and b - m.end() <= LONGEST:
+            b += 1
+        done = b
         while b > a and text[b - 1] in ".,;:!?)\"'":
             b -= 1
         while a < b and text[a] in "(\"'<":
@@ -91,7 +101,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         while k < len(marks) and marks[k][0] < b:
             reach = max(reach, marks[k][1])
             k += 1
-        if reach > a or b - a > 64:
+        if reach > a or b - a > LONGEST:
             continue
         token = text[a:b]
         if "@" in token:
