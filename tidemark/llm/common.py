@@ -35,8 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared folder and cuts its lineage there, so that lost executors cost nothing."""
+    """Computes df once into the shared folder and cuts its lineage there, so that lost executors cost nothing.
+
+    Spark deletes the shuffle files of a cut lineage only once the driver's collector finds them dead; an idle driver keeps them for half an hour, so it is asked first.
+    """
     shared_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
