@@ -45,3 +45,27 @@ def index_where(a: Column, p) -> Column:
 
 def take_while(a: Column, p) -> Column:
     return F.slice(a, 1, F.coalesce(index_where(a, lambda x: ~p(x)), F.size(a)))
+
+
+def split_at(a: Column, n: int) -> tuple[Column, Column]:
+    return take(a, n), drop(a, n)
+
+
+def starts_with(a: Column, prefix: Column) -> Column:
+    return F.slice(a, F.lit(1), F.size(prefix)) == prefix
+
+
+def map_filter(a: Column, f) -> Column:
+    """f of each element, where it is defined."""
+    return F.filter(F.transform(a, f), lambda x: x.isNotNull())
+
+
+def map_accumulate(a: Column, zero: Column, f) -> Column:
+    """The state after each element, without the first one."""
+    return drop(scan_left(a, zero, f), 1)
+
+
+def scan_left_carry(a: Column, zero: Column, f) -> Column:
+    """struct(states, carry): the states before each element, and the last state, which the next array goes on with."""
+    states = scan_left(a, zero, f)
+    return F.struct(drop_right(states, 1).alias("states"), F.element_at(states, -1).alias("carry"))

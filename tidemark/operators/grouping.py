@@ -65,3 +65,21 @@ def zip_with_neighbours(df: DataFrame, value: str, back: bool = True, ahead: boo
         return out
 
     return near(df, columns, int(back), int(ahead), order, key)
+
+
+def chunk_limit(df: DataFrame, chunk: str, n: int, order="seq") -> DataFrame:
+    """Adds part: chunks of more than n rows are cut, small ones never joined; (chunk, part) names a group."""
+    return with_index(df, order, chunk, "__i").withColumn("part", F.floor(F.col("__i") / n)).drop("__i")
+
+
+def buffer_by(df: DataFrame, p: Column, order="seq", key=None) -> DataFrame:
+    """Adds block; a new one begins where p stops holding. Rows stay as they are."""
+    marked = df.withColumn("__p", F.coalesce(p, F.lit(False)))
+    ends = near(marked, lambda w: {"__new": F.when(F.lag("__p").over(w) & ~F.col("__p"), 1).otherwise(0)}, 1, 0, order, key)
+    return running(ends, F.col("__new"), "block", "sum", order, key).drop("__p", "__new")
+
+
+def rechunk_randomly(df: DataFrame, seed: int, mean: int, order="seq", key=None) -> DataFrame:
+    """Adds chunk, in groups of `mean` rows on average whose bounds depend on the seed and the order column only, not on partitions."""
+    begin = F.when(F.pmod(F.xxhash64(F.lit(seed), order), F.lit(mean)) == 0, 1).otherwise(0)
+    return running(df, begin, "chunk", "sum", order, key)

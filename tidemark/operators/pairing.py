@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import with_index
+from tidemark.operators.ordered import running, upto, with_index
 
 
 def _two(left: DataFrame, right: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
@@ -62,16 +62,31 @@ def merge_halt(left: DataFrame, right: DataFrame, order="seq", halt="both") -> D
 
 
 def latest(df: DataFrame, value: Column, name: str, order="seq", key: str | None = None) -> DataFrame:
-    """Adds the last defined value so far (a held signal)."""
-    w = Window.partitionBy(*([key] if key else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    """Adds the last defined value so far (a held signal). Without a key it is a running maximum of (order, value), which needs no single task; value is of an orderable type then."""
+    if key:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(upto(order, key)))
+    rows = df.withColumn("__h", value)
+    return running(rows, F.when(F.col("__h").isNotNull(), F.struct(order, "__h")), "__l", "max", order).withColumn(name, F.col("__l.__h")).drop("__h", "__l")
 
 
 def switch_map(outer: DataFrame, inner: DataFrame, order="seq", key: str | None = None) -> DataFrame:
-    """Inner rows, each with the outer row that is current then; those before any outer row are gone. A union and one keyed window, not a range join."""
+    """Inner rows, each with the outer row that is current then; those before any outer row are gone. A union and a held value, not a range join."""
     cols = [c for c in outer.columns if c != key]
-    a = outer.select(*([key] if key else []), F.col(order).alias("__o"), F.lit(0).alias("__side"), F.struct(*cols).alias("outer"))
-    b = inner.select(*inner.columns, F.col(order).alias("__o"), F.lit(1).alias("__side"))
-    w = Window.partitionBy(*([key] if key else [])).orderBy("__o", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = b.unionByName(a, allowMissingColumns=True).withColumn("outer", F.last("outer", ignorenulls=True).over(w))
-    return both.filter("__side = 1 and outer is not null").drop("__o", "__side")
+    a = outer.select(*([key] if key else []), F.struct(F.col(order).alias("o"), F.lit(0).alias("side")).alias("__o"), F.struct(*cols).alias("__outer"))
+    b = inner.select(*inner.columns, F.struct(F.col(order).alias("o"), F.lit(1).alias("side")).alias("__o"))
+    both = latest(b.unionByName(a, allowMissingColumns=True), F.col("__outer"), "outer", "__o", key)
+    return both.filter("__o.side = 1 and outer is not null").drop("__o", "__outer")
+
+
+def zip_right(left: DataFrame, right: DataFrame, order="seq") -> DataFrame:
+    """The rows of right that have a counterpart."""
+    return zip_rows(left, right, order).select("r.*")
+
+
+def par_join(parts: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all frames, tagged by name; Spark runs their tasks side by side."""
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn("source", F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out

@@ -86,6 +86,25 @@ class Resplit(Scan):
         return [(None, 0, state)] if state else []
 
 
+@dataclass
+class ChunkMin(Scan):
+    """Joins whole chunks, given as rows of (chunk, n), until a group has `least` rows; rows get (group,). A short last group stays only if partial."""
+
+    least: int
+    partial: bool = True
+
+    def start(self):
+        return 0, 0, []
+
+    def step(self, state, row):
+        group, n, held = state
+        n, held = n + row.n, [*held, (*row, group)]
+        return ((group + 1, 0, []), held) if n >= self.least else ((group, n, held), [])
+
+    def finish(self, state):
+        return state[2] if self.partial else []
+
+
 def run(df: DataFrame, machine: Scan, schema: str, key: str, order: str = "seq") -> DataFrame:
     """Rows of each key in order through the machine. A key's rows are together in one task, as its state is sequential."""
     cols = [c for c in df.columns if c != key]

@@ -165,3 +165,14 @@ def un_none(df, value: str):
 
 def un_none_terminate(df, value: str, order="seq"):
     return take_while(df, F.col(value).isNotNull(), order)
+
+
+def drop_last(df, order="seq"):
+    return drop_right(df, 1, order)
+
+
+def cons(df, row: dict, order="seq"):
+    """A row before all others, placed one below the least order value."""
+    first = df.agg(F.min(order).alias("__m"))
+    made = first.select(*[(F.coalesce(F.col("__m") - 1, F.lit(0)) if c == order else F.lit(row.get(c))).cast(t).alias(c) for c, t in df.dtypes])
+    return df.unionByName(made)

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.plans import sequences, texts, times  # noqa: F401
+from tidemark.plans import effects, sequences, texts, times  # noqa: F401
