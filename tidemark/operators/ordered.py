@@ -1,6 +1,6 @@
 """Positions, neighbours and running values over a totally ordered frame, without a single-task window.
 
-Order is a column (seq by default), never partition layout. A key makes one sequence per key, served by ordinary windows. Without a key a frame is range-sorted once; positions come from per-partition counts, neighbours from blocks of rows with a copied rim, running values from block totals. Only counts and block totals are brought together.
+Order is a column (seq by default), never partition layout. A key makes one sequence per key, served by ordinary windows. Without a key a frame is range-sorted once and written to the shared folder; positions come from per-partition counts, neighbours from blocks of rows with a copied rim, running values from block totals. Only counts and block totals are brought together.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.storage import pinned
+
 #: Rows of a block in unkeyed windows.
 BLOCK = 1 << 16
 
@@ -28,10 +30,13 @@ def before(order: str = "seq", key=None):
 
 
 def with_index(df: DataFrame, order: str = "seq", key: str | None = None, name: str = "idx") -> DataFrame:
-    """Adds the 0-based position in order (of each key)."""
+    """Adds the 0-based position in order (of each key).
+
+    Without a key the sorted rows are pinned: a second evaluation of the sort could draw other range bounds, or be coalesced otherwise, and partition numbers would not fit their counts.
+    """
     if key:
         return df.withColumn(name, F.row_number().over(window(order, key)).cast("long") - 1)
-    placed = df.sort(order).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    placed = pinned(df.sort(order).withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
     counts = placed.groupBy("__part").count()
     starts = counts.withColumn("__start", F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select("__part", F.coalesce("__start", F.lit(0)).alias("__start"))
     local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
