@@ -69,3 +69,33 @@ def scan_left_carry(a: Column, zero: Column, f) -> Column:
     """struct(states, carry): the states before each element, and the last state, which the next array goes on with."""
     states = scan_left(a, zero, f)
     return F.struct(drop_right(states, 1).alias("states"), F.element_at(states, -1).alias("carry"))
+
+
+def contains(a: Column, value: Column) -> Column:
+    return F.array_contains(a, value)
+
+
+def fold_left(a: Column, zero: Column, f) -> Column:
+    return F.aggregate(a, zero, f)
+
+
+def flat_map(a: Column, f) -> Column:
+    """f of each element is an array; all in a row."""
+    return F.flatten(F.transform(a, f))
+
+
+def last(a: Column) -> Column:
+    """Null if there is none."""
+    return F.get(a, F.size(a) - 1)
+
+
+def concat(*parts: Column) -> Column:
+    return F.concat(*parts)
+
+
+def count(a: Column, p) -> Column:
+    return F.size(F.filter(a, p))
+
+
+def compact_nulls(a: Column) -> Column:
+    return F.array_compact(a)

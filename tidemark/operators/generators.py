@@ -47,3 +47,34 @@ def unfold(spark: SparkSession, state, step: Callable, kind: str, most: int = 1_
             yield pd.DataFrame({"seq": range(len(out)), "value": out})
 
     return spark.range(1).mapInPandas(run, f"seq long, value {kind}")
+
+
+def fixed_rate(spark: SparkSession, start_us: int, period: int, n: int, immediately: bool = False) -> DataFrame:
+    """(seq, us): n ticks, one a period after start_us, the first at once or after a period."""
+    return spark.range(n).select(F.col("id").alias("seq"), (F.lit(start_us) + (F.col("id") + (0 if immediately else 1)) * F.lit(period).cast("long")).alias("us"))
+
+
+def unfold_chunk(spark: SparkSession, state, step: Callable, kind: str, most: int = 1_000_000) -> DataFrame:
+    """step(state) gives (values, state) or None; the values of all steps in a row."""
+
+    def one(held):
+        s, rest = held
+        while not rest:
+            if (got := step(s)) is None:
+                return None
+            rest, s = list(got[0]), got[1]
+        return rest[0], (s, rest[1:])
+
+    return unfold(spark, (state, []), one, kind, most)
+
+
+def unfold_loop(spark: SparkSession, state, step: Callable, kind: str, most: int = 1_000_000) -> DataFrame:
+    """step(state) gives (value, state or None); there is one value at least."""
+
+    def one(held):
+        if held is None:
+            return None
+        v, s = step(held[0])
+        return v, None if s is None else (s,)
+
+    return unfold(spark, (state,), one, kind, most)

@@ -83,3 +83,14 @@ def rechunk_randomly(df: DataFrame, seed: int, mean: int, order="seq", key=None)
     """Adds chunk, in groups of `mean` rows on average whose bounds depend on the seed and the order column only, not on partitions."""
     begin = F.when(F.pmod(F.xxhash64(F.lit(seed), order), F.lit(mean)) == 0, 1).otherwise(0)
     return running(df, begin, "chunk", "sum", order, key)
+
+
+def scan_chunks(df: DataFrame, chunk: str, value: Column, name: str = "state") -> DataFrame:
+    """(chunk, n, total, state): each chunk's number of rows and sum, and the sum of all chunks so far. Rows are added up before chunks are ordered."""
+    sums = df.groupBy(chunk).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return running(sums, F.col("total"), name, "sum", chunk)
+
+
+def chunk_all(df: DataFrame) -> DataFrame:
+    """df as a single chunk (chunk 0), said by its number; nothing is brought together."""
+    return df.withColumn("chunk", F.lit(0).cast("long"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import with_scalar
+from tidemark.operators.ordered import near, with_scalar
 from tidemark.operators.selection import take_through, take_while, true
 
 
@@ -73,3 +73,20 @@ def only_or_error(df: DataFrame) -> DataFrame:
     several = with_scalar(df.limit(2), F.count("*"), "__n").filter(F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one row"))).otherwise(F.lit(True))).drop("__n")
     none = df.limit(1).agg(F.count("*").alias("__n")).filter(F.when(F.col("__n") == 0, F.raise_error(F.lit("no row"))).otherwise(F.lit(False)))
     return several.unionByName(none.select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes]))
+
+
+def eval_map_filter(df: DataFrame, column: str, f: Callable, type_: str, name: str) -> DataFrame:
+    """Like eval_map, without the rows for which f gives None."""
+    return eval_map(df, column, f, type_, name).filter(F.col(name).isNotNull())
+
+
+def timeout_on_pull_to(df: DataFrame, duration: int, other: DataFrame, order="seq", ts="ts") -> DataFrame:
+    """The rows before the first gap longer than duration (part 0), then, if there is such a gap, those of other (part 1): (part, order) is the new order. other has the columns of df."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    gaps = near(df.withColumn("__us", us), lambda w: {"__gap": F.col("__us") - F.lag("__us").over(w)}, 1, 0, order)
+    return handle_error_with(gaps.drop("__us"), F.when(F.col("__gap") > duration, "timed out"), other.withColumn("__gap", F.lit(None).cast("long")), order).drop("__gap")
+
+
+def map_chunks(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """f of each physical batch of rows; what f does must not depend on where batches end."""
+    return df.mapInPandas(lambda parts: (f(p) for p in parts), schema)

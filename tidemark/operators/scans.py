@@ -86,6 +86,25 @@ class Resplit(Scan):
         return [(None, 0, state)] if state else []
 
 
+@dataclass
+class Accumulate(Scan):
+    """step_of(state, row) gives (state, output); rows get both. With seed_row, the first state goes out before any row, whose columns are null then."""
+
+    first: object
+    step_of: object
+    width: int
+    seed_row: bool = False
+
+    def start(self):
+        return self.first, self.seed_row
+
+    def step(self, state, row):
+        held, begin = state
+        seed = [(*[None] * self.width, held, None)] if begin else []
+        held, out = self.step_of(held, row)
+        return (held, False), [*seed, (*row, held, out)]
+
+
 @dataclass
 class ChunkMin(Scan):
     """Joins whole chunks, given as rows of (chunk, n), until a group has `least` rows; rows get (group,). A short last group stays only if partial."""

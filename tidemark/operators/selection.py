@@ -176,3 +176,19 @@ def cons(df, row: dict, order="seq"):
     first = df.agg(F.min(order).alias("__m"))
     made = first.select(*[(F.coalesce(F.col("__m") - 1, F.lit(0)) if c == order else F.lit(row.get(c))).cast(t).alias(c) for c, t in df.dtypes])
     return df.unionByName(made)
+
+
+def last_option(df, order="seq"):
+    """One row always: the last one with found true, or nulls with found false."""
+    return if_empty_emit(last(df, order).withColumn("found", F.lit(True)), {"found": False})
+
+
+def or_error(df, message: str):
+    """df, or an error at run time where it has no row: head(df) or last(df) that must exist."""
+    none = df.limit(1).agg(F.count("*").alias("__n")).filter(F.when(F.col("__n") == 0, F.raise_error(F.lit(message))).otherwise(F.lit(False)))
+    return df.unionByName(none.select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes]))
+
+
+def uncons_n(df, n: int, order="seq"):
+    """Adds in_head: among the first n rows. One pass gives the head and the rest."""
+    return with_index(df, order, name="__i").withColumn("in_head", F.col("__i") < n).drop("__i")

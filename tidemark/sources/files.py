@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import lines, utf8_decode
+from tidemark.operators.ordered import running
 
 
 def walk(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -36,8 +37,8 @@ def tail(spark: SparkSession, folder: str) -> DataFrame:
 
 def rotated(df: DataFrame, value: str, limit: int, order: str = "seq", key: str | None = None) -> DataFrame:
     """Adds file, a number that goes up whenever the bytes so far pass a multiple of limit: the part of a rotated log that a row goes to."""
-    w = Window.partitionBy(*([key] if key else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("file", F.floor(F.coalesce(F.sum(F.octet_length(value) + 1).over(w), F.lit(0)) / limit))
+    size = F.coalesce(F.octet_length(value), F.lit(0)) + 1
+    return running(df, size, "__b", "sum", order, key).withColumn("file", F.floor((F.col("__b") - size) / limit)).drop("__b")
 
 
 def write_rotated(df: DataFrame, folder: str, value: str, limit: int, order: str = "seq", key: str | None = None) -> None:
