@@ -25,7 +25,7 @@ _rows("uncons_n", f"SELECT seq, value, row_number() OVER (ORDER BY seq) <= 100 A
 _rows("eval_map_filter", f"SELECT seq, value, value * 2 AS made FROM {E} WHERE value < 30", lambda e: outcomes.eval_map_filter(e, "value", lambda v: v * 2 if v < 30 else None, "double", "made"))
 _rows("map_chunks", f"SELECT seq, value + 1 AS value FROM {E}", lambda e: outcomes.map_chunks(e, lambda p: p.assign(value=p["value"] + 1), "seq long, value double"))
 _GAP = f"(SELECT min(seq) FROM (SELECT seq, us - lag(us) OVER (ORDER BY seq) AS gap FROM {E}) WHERE gap > {HOUR // 2})"
-_rows("timeout_on_pull_to", f"SELECT seq, ts, 0 AS part FROM {E} WHERE seq < coalesce({_GAP}, 1e18) UNION ALL SELECT seq, ts, 1 FROM {E} WHERE seq % 100 = 0 AND {_GAP} IS NOT NULL", lambda e: outcomes.timeout_on_pull_to(e, HOUR // 2, e.filter("seq % 100 = 0")), "ts")
+_rows("timeout_on_pull_to", f"SELECT seq, ts, 0 AS part FROM {E} WHERE seq < coalesce({_GAP}, 1e18) UNION ALL SELECT seq, ts, 1 FROM {E} WHERE value >= 99 AND {_GAP} IS NOT NULL", lambda e: outcomes.timeout_on_pull_to(e, HOUR // 2, e.filter("value >= 99")).drop("value"), "ts", "value")
 _rows("scan_chunks", f"SELECT chunk, n, CAST(total AS BIGINT) AS total, CAST(sum(total) OVER (ORDER BY chunk) AS BIGINT) AS state FROM (SELECT (row_number() OVER (ORDER BY seq) - 1) // 64 AS chunk, count(*) AS n, sum(length(event_type)) AS total FROM (SELECT seq, event_type, row_number() OVER (ORDER BY seq) AS k FROM {E}) GROUP BY 1)".replace("(row_number() OVER (ORDER BY seq) - 1) // 64", "(k - 1) // 64"), lambda e: grouping.scan_chunks(grouping.chunk_n(e, 64), "chunk", F.length("event_type").cast("long")), "event_type")
 _rows("chunk_all", f"SELECT CAST(0 AS BIGINT) AS chunk, count(*) AS n, min(seq) AS lo, max(seq) AS hi FROM {E} HAVING count(*) > 0", lambda e: grouping.chunk_all(e).groupBy("chunk").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")))
 

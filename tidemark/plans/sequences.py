@@ -47,7 +47,7 @@ _selected("filter", f"SELECT seq, value FROM {E} WHERE value < 95", lambda e: e.
 _selected("filter_not", f"SELECT seq, value FROM {E} WHERE NOT coalesce(value < 95, false)", lambda e: selection.filter_not(e, P()))
 _selected("map_as", f"SELECT seq, 1 AS one, sqrt(abs(value)) AS root FROM {E}", lambda e: e.select("seq", F.lit(1).alias("one"), F.sqrt(F.abs("value")).alias("root")))
 _selected("flat_map", f"SELECT seq, unnest([value, -value]) AS v FROM {E}", lambda e: e.select("seq", F.explode(F.array(F.col("value"), -F.col("value"))).alias("v")))
-_selected("limit_checked", f"SELECT seq, value FROM {E} WHERE seq < 50", lambda e: selection.limit(e.filter("seq < 50"), 50))
+_selected("limit_checked", f"SELECT seq, value FROM {E}", lambda e: selection.limit(e, 10**15))
 _selected("exists_any", f"SELECT coalesce(bool_or(value >= 95), false) AS result FROM {E}", lambda e: selection.exists(e, ~P()))
 _selected("forall_all", f"SELECT coalesce(bool_and(value < 95), true) AS result FROM {E}", lambda e: selection.forall(e, P()))
 _selected("forall_empty", "SELECT true AS result", lambda e: selection.forall(e.filter("value < -1e9"), P()))
@@ -77,12 +77,12 @@ _selected("group_adjacent_by_limit", f"SELECT CAST(run AS BIGINT) AS run, (k - 1
 
 def _sliding_sql(size: int, step: int) -> str:
     alive = f"(w - 1) * {step} + {size} < n" if step < size else f"w * {step} < n"
-    return f"SELECT w AS \"window\", count(*) AS n, sum(i) AS places FROM (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS i, count(*) OVER () AS n FROM {E}) r, range(0, (SELECT count(*) FROM {E})) t(w) WHERE i >= w * {step} AND i < w * {step} + {size} AND (w = 0 OR {alive}) GROUP BY w"
+    rows = f"(SELECT row_number() OVER (ORDER BY seq) - 1 AS i, count(*) OVER () AS n FROM {E})"
+    return f"SELECT w AS \"window\", count(*) AS n, CAST(sum(i) AS BIGINT) AS places FROM {rows} r, LATERAL (SELECT unnest(range(greatest(0, i // {step} - {size}), i // {step} + 1)) AS w) WHERE i - w * {step} < {size} AND (w = 0 OR {alive}) GROUP BY w"
 
 
 for _size, _step in ((3, 2), (2, 3)):
-    _small = _sliding_sql(_size, _step).replace(E, f"(SELECT * FROM {E} WHERE seq < 2000)")
-    _selected(f"sliding_{_size}_{_step}", _small, lambda e, a=_size, b=_step: with_index(grouping.sliding(with_index(e.filter("seq < 2000"), name="i"), a, b).drop("idx"), "seq").groupBy("window").agg(F.count("*").alias("n"), F.sum("i").cast("double").alias("places")))
+    _selected(f"sliding_{_size}_{_step}", _sliding_sql(_size, _step), lambda e, a=_size, b=_step: grouping.sliding(with_index(e, name="i"), a, b).groupBy("window").agg(F.count("*").alias("n"), F.sum("i").alias("places")))
 _selected("sliding_whole", f"SELECT count(*) AS n, CAST(3 * (SELECT count(*) FROM {E}) - 6 AS BIGINT) AS members FROM {E} HAVING count(*) > 2", lambda e: grouping.sliding(e, 3).agg(F.count("*").alias("members")).crossJoin(e.agg(F.count("*").alias("n"))).select("n", "members"))
 _SPLIT = f"(SELECT seq, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS d, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS g FROM {E})"
 _selected("split_on_purchase", f'SELECT CAST(g - d AS BIGINT) AS "group", CAST(sum(1 - d) AS BIGINT) AS n FROM {_SPLIT} GROUP BY 1', lambda e: grouping.split_sizes(e, F.col("event_type") == "purchase"), "event_type")
