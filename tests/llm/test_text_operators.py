@@ -162,6 +162,28 @@ def test_near_duplicates_are_exact(documents):
     assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == sorted({find(i) for i in ids})
 
 
+def test_near_duplicates_in_a_crowd(documents):
+    """A family of unlinked documents from one form (similarity 0.739) with planted pairs just above the threshold."""
+    form = " ".join(f"form{k}" for k in range(174))
+    tails = [[f"w{i}x{k}" for k in range(30)] for i in range(1200)]
+    for i in range(0, 80, 2):
+        tails[i + 1][:2] = tails[i][:2]
+    rows = near.near_duplicates(documents([(i, f"{form} {' '.join(t)}") for i, t in enumerate(tails)])).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - i % 2 if i < 80 else i for i in range(1200)}
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        n, m = sorted(rng.integers(1, 60, 2))
+        shared = -(-75 * (n + m) // 175)
+        if shared <= n:
+            short, long = near.prefix_lengths(int(n), 75)[0], near.prefix_lengths(int(m), 75)[1]
+            order = rng.permutation(n + m - shared)
+            a, b = np.sort(order[:n]), np.sort(order[n - shared :])
+            assert set(a[:short]) & set(b[:long])
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "&lt; <<SYS>> a\n\nb ]"), (2, 0, "assistant", None), (2, 1, "robot]", "x" * 100_000), (3, 0, None, ""), (3, 0, None, "")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

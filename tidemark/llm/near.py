@@ -3,7 +3,8 @@
 1. Documents with equal shingle sets collapse into one representative, the smallest doc_id.
 2. A representative has a MinHash signature of 128 values. The forest has 32 trees; a tree is a fixed order of signature positions, and its rows are sorted by that prefix. Neighbours share a prefix of 4 values at least: a link at similarity s is missed by all trees with probability (1-s**4)**32, 5e-6 at 0.75.
 3. Every representative is compared with the first of the smallest region that any tree puts it in. Most links of a group come from this, one comparison each.
-4. Regions that still hold several components are searched. A region of at most `region` rows yields its pairs between components. A larger one is split at the next depth (adaptive depth) until its parts are small; besides, every row outside the region's largest component is compared with that whole component, so that crowded regions lose nothing.
+4. Regions that still hold several components are searched. A region of at most `region` rows yields its pairs between components. A larger one is split at the next depth (adaptive depth) until its parts are small, and every row outside the region's largest component is compared with that whole component. These links come cheaply but not all do.
+   So the rows of larger regions that still hold several components then are joined with each other by an exact prefix filter, whatever their number: shingles are ordered by how rare they are, and of two linked sets the smaller one's first shingles of about a seventh and the larger one's of about a quarter meet in one shingle, at places that leave room for enough more. Crowded regions lose nothing.
 5. Comparisons use full shingle sets; 100 * intersection >= 75 * union links.
 
 The comparison of many with a component goes in blocks of about `block` rows on either side, through an inverted index, so that no task holds a group. Hot keys are counted map-side before they are joined, and adaptive execution splits skewed joins.
@@ -28,6 +29,8 @@ HASHES, TREES = 128, 32
 DEPTHS = (4, 6, 9, 13, 18)
 #: Bits of the membership filter that spares most documents the second tokenisation.
 FILTER_BITS = 1 << 23
+#: Counters of the shingle counts that order shingles in the prefix filter; any order is right, a rare-first one is fast.
+COUNTERS = 1 << 20
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -200,6 +203,69 @@ def _pairs_between(percent: int):
     return run
 
 
+def _counters(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(40)).astype(np.int64) % COUNTERS
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles stand in a column of sets, by counter; COUNTERS numbers come to the driver, however many shingles there are."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                np.add.at(total, _counters(np.frombuffer(s, np.uint64)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    got = sets.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many first shingles of a set of n must meet those of a linked set that is no smaller, and of one that is no larger."""
+    return n + (-2 * percent * n // (100 + percent)) + 1, n + (-percent * n // 100) + 1
+
+
+def _prefixes(percent: int, counts: np.ndarray):
+    """(rid, comp, shingles) to (shingle, rid, comp, n, at, leads) of each set's prefix; leads: within the prefix that meets larger sets."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [[] for _ in range(6)]
+            for rid, comp, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(blob, np.uint64)
+                n = len(s)
+                if not n:
+                    continue
+                short, long = prefix_lengths(n, percent)
+                first = s[np.lexsort((s, counts[_counters(s)]))[:long]].view(np.int64)
+                at = np.arange(len(first))
+                for c, x in zip(cols, (first, np.full(len(first), rid), np.full(len(first), comp), np.full(len(first), n), at, at < short), strict=True):
+                    c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["shingle", "rid", "comp", "n", "at", "leads"])
+
+    return run
+
+
+def _crowd_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of sets (rid, comp, shingles) of different components that can be linked, and few others."""
+    counts = _shingle_counts(sets.select("shingles"))
+    first = materialise(sets.select("rid", "comp", "shingles").mapInArrow(_prefixes(percent, counts), "shingle long, rid long, comp long, n long, at long, leads boolean"))
+    # Pairs inside a shingle's main component are never made.
+    per = first.groupBy("shingle", "comp").agg(F.count("*").alias("c"), F.max("leads").alias("leads"))
+    mixed = per.groupBy("shingle").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.max("leads").alias("any")).filter("comps > 1 and any").select("shingle", "main")
+    rows = materialise(first.join(mixed, "shingle").withColumn("stray", F.col("comp") != F.col("main")).drop("main"))
+    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("rid", "comp", "n", "at", "leads", "stray")]) for k in "xy")
+    x = x.filter("leads_x")
+    able = f"comp_x <> comp_y and n_x <= n_y and 100 * n_x >= {percent} * n_y and {100 + percent} * least(n_x - at_x, n_y - at_y) >= {percent} * (n_x + n_y)"
+    both = x.filter("stray_x").join(y, "shingle").filter(able).unionByName(x.filter("not stray_x").join(y.filter("stray_y"), "shingle").filter(able))
+    return both.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, region: int = 48, block: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -239,6 +305,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, region:
             deeper = large.groupBy("rid").agg(F.collect_list("key").alias("keys")).join(signatures, "rid").select("rid", "sig", "keys").mapInArrow(_deeper(depth, DEPTHS[k - 1]), "key long, rid long")
             rows = mixed(deeper)
         small, large = rows.filter(F.col("n") <= region), rows.filter(F.col("n") > region)
+        crowds = crowds if k else large
         listed = small.join(lows, "rid").groupBy("key").agg(F.collect_list(F.struct("rid", "comp", "low")).alias("m"))
         pairs.append(listed.select("m").mapInArrow(_pairs_between(percent), "a long, b long"))
         largest = large.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
@@ -261,6 +328,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, region:
         crossed = blocked(out).select("main", F.col("m").alias("xs")).join(blocked(members.unionByName(lone)).select("main", F.col("m").alias("block")), "main")
         found = found.unionByName(crossed.select("xs", "block").mapInArrow(_against_block(percent), "a long, b long"))
 
+    if crowds.take(1):
+        found = materialise(found)
+        labels = components(found)
+        crowd = mixed(crowds.select("key", "rid")).select("rid", "comp").distinct()
+        crowd = materialise(sets.join(crowd, "rid").select("rid", "comp", "shingles"))
+        found = found.unionByName(check(materialise(_crowd_pairs(crowd, percent))))
+
     # Documents that share a set, and rows that share a doc_id, belong together.
     same = named.join(reps.select("mark", "rid"), "mark").select("doc_id", "rid").filter("doc_id <> rid").select(F.col("rid").alias("a"), F.col("doc_id").alias("b"))
     final = components(found.unionByName(same))
