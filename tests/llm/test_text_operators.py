@@ -292,3 +292,31 @@ def test_decontamination(documents, spark):
     assert kept.columns == docs.columns
     assert kept.count() == docs.count() - 3
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_decontamination_of_short_and_dense_questions(documents, spark):
+    rng = random.Random(11)
+    bench = spark.createDataFrame(
+        [
+            (1, "Anna buys 3 kg of apples at 2 dollars each"),
+            (2, "Why is grass green?"),
+            (3, "Compute 3 km plus 4 km plus 12 miles minus 7"),
+            (4, "add 14 and 6 then subtract 3"),
+            (5, f"Carol {prose(random.Random(12), 6)}"),
+        ],
+        "item_id long, text string",
+    )
+    texts = [
+        (1, "Ben buys 5 kg of apples at 4 dollars each", "1"),
+        (2, f"{prose(rng, 9)}. Ben buys 5 kg of apples at 4 dollars each {prose(rng, 9)}", "1"),
+        (3, f"{prose(rng, 9)} Why is grass green? {prose(rng, 9)}", "2"),
+        (4, f"{prose(rng, 9)} compute 8 km plus 5 km plus 30 miles minus 9 {prose(rng, 9)}", "3"),
+        (5, f"{prose(rng, 9)} add 5 and 7 then subtract 2", "4"),
+        (6, f"so Dora {prose(random.Random(12), 6)}", "5"),
+        (7, f"{prose(rng, 9)} Ben buys 5 kg of pears for 4 dollars", ""),
+        (8, f"{prose(rng, 9)} why is grass red", ""),
+        (9, "Ben buys 5 kg of apples at 5 dollars each", ""),
+        (10, prose(rng, 300), ""),
+    ]
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(documents([x[:2] for x in texts]), bench).collect()}
+    assert got == {i: found for i, _, found in texts}

@@ -1,8 +1,10 @@
 """Benchmark decontamination by templates.
 
-Words are canonicalised: numbers, names (capitalised words inside a sentence) and units become typed placeholders, other words lose case and ASCII punctuation; words of punctuation alone vanish. Each text is windowed twice, with placeholders and with every word literal, so that texts in capitals, whose every word would be a name, are met as well. Windows of eight template words of the benchmark and of the documents are hash-joined; a fixed-size membership filter over the benchmark's windows keeps nearly all document windows from the join. A window needs five literal words. A joined run (same document, item and offset) counts if its slots are consistent: each benchmark value stands for one document value and the other way round, so that a re-parameterised question is caught and a coincidence of placeholders is not.
+Words are canonicalised: numbers, names (capitalised words inside a sentence) and units become typed placeholders, other words lose case and ASCII punctuation; words of punctuation alone vanish. Each text is read three ways: with placeholders; with placeholders that count a sentence's first word as a name too if it is capitalised, as a name may stand there; and with every word literal, so that texts in capitals, whose every word would be a name, are met as well.
 
-Defined results: null and empty texts match nothing; an item shorter than eight words is matched whole if it has five; shorter ones can't be matched; items may repeat; rows that repeat a doc_id share what was found; a null doc_id is judged by its own row's windows as one group of null ids; empty tables give no rows, or rows without findings. Columns besides doc_id, text and item_id are not read.
+A template window has eight words, or as many more as it takes to hold five literals, so that questions dense with numbers have windows too; where its end follows from its words alone, documents and items agree on it. An item that has no such window, having less than five literals, is one window as a whole if it has five words and a literal among them. Literal windows have eight words; an item of fewer is one literal window as a whole, however short. Windows of the benchmark and of the documents are hash-joined; a fixed-size membership filter over the benchmark's windows keeps nearly all document windows from the join. A joined run (same document, item, reading and offset) counts if its slots are consistent: each benchmark value stands for one document value and the other way round, so that a re-parameterised question is caught and a coincidence of placeholders is not.
+
+Defined results: null and empty texts match nothing; items may repeat; an item of words that are all numbers, names or units is met word for word only; rows that repeat a doc_id share what was found; a null doc_id is judged by its own row's windows as one group of null ids; empty tables give no rows, or rows without findings. Columns besides doc_id, text and item_id are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
 from tidemark.llm.common import byte_texts, materialise, runs
-from tidemark.llm.words import IS_SPACE, Words
+from tidemark.llm.words import IS_SPACE, Words, _power_tables, mix
 
 WIDTH, LITERALS = 8, 5
 FILTER_BITS = 1 << 24
@@ -30,7 +32,7 @@ _STOPS[list(b".!?:;\n\"")] = True
 
 
 def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template word, value (0 for literals), literal word and text number of each word that isn't punctuation alone."""
+    """Template word, template word if a sentence's first word can be a name, literal word and text number of each word that isn't punctuation alone."""
     words = Words([x if x.isascii() else x.decode("utf-8", "replace").lower().encode("utf-8", "replace") for x in texts], _KEEP)
     original = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     edge = np.diff(IS_SPACE[original].view(np.int8), prepend=np.int8(1))
@@ -49,53 +51,87 @@ def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     begins = np.ones(len(start), bool)
     if len(begins) > 1:
         begins[1:] = _STOPS[original[end[:-1] - 1]] | (owner[1:] != owner[:-1]) | (line[start[1:]] > line[start[:-1]])
-    code = words.hash.copy()
-    number, unit, name = (n_digits == n_kept) & (n_digits > 0), np.isin(words.hash, _UNIT_HASHES), capital & ~begins
-    code[name], code[unit], code[number] = NAME, UNIT, NUM
-    value = np.where(number | unit | name, words.hash, np.uint64(0))
+    number, unit = (n_digits == n_kept) & (n_digits > 0), np.isin(words.hash, _UNIT_HASHES)
+    readings = []
+    for name in (capital & ~begins, capital):
+        code = words.hash.copy()
+        code[name], code[unit], code[number] = NAME, UNIT, NUM
+        readings.append(code)
     real = n_kept > 0
-    return code[real], value[real], words.hash[real], owner[real]
+    return readings[0][real], readings[1][real], words.hash[real], owner[real]
+
+
+def is_literal(code: np.ndarray) -> np.ndarray:
+    return (code != NUM) & (code != NAME) & (code != UNIT)
+
+
+def hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words code[start:end] for every pair, at the same cost whatever their lengths."""
+    up, down = _power_tables(len(code) + 1)
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(mix(code) * up[: len(code)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def template_ends(code: np.ndarray, text_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the windows of at least WIDTH words that hold LITERALS literals and end as early as they can. text_end: for each word, where its text ends."""
+    literal = is_literal(code)
+    before = np.cumsum(literal) - literal
+    where = np.append(np.flatnonzero(literal), np.full(LITERALS, len(code)))
+    end = np.maximum(np.arange(len(code)) + WIDTH, where[before + LITERALS - 1] + 1)
+    start = np.flatnonzero(end <= text_end)
+    return start, end[start]
 
 
-def template_windows(code: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of the windows that lie in one text and have enough literals."""
-    n = len(code) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.full(n, width, np.uint64)
-    for k in range(width):
-        h = (h ^ (h >> np.uint64(31)) ^ code[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
-    literal = np.append(0, np.cumsum((code != NUM) & (code != NAME) & (code != UNIT)))
-    good = (owner[width - 1 :] == owner[:n]) & (literal[width:] - literal[:n] >= LITERALS)
-    return h[good], np.flatnonzero(good)
+TEMPLATE, NAMED, BARE = range(3)
 
 
-def _windows(widths: list[int], held: np.ndarray | None, whole_short: bool):
-    """(id, h, pos, slots, bare) of each text's windows; held: only those that the filter lets through; whole_short: of texts shorter than WIDTH, the window that is the whole text."""
+def _windows(whole: list[tuple[int, bool]], held: np.ndarray | None, items: bool):
+    """(id, h, pos, slots, kind) of each text's windows; held: only those that the filter lets through. Of an item also the window that is its whole text, where it has no other; of a document those of the sizes in whole, (words, literal or not)."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), byte_texts(batch.column(1))
             for lo, hi in runs(texts):
-                code, value, literal, owner = template(texts[lo:hi])
+                code, named, literal, owner = template(texts[lo:hi])
                 size = np.bincount(owner, minlength=hi - lo)
                 base = np.cumsum(size) - size
-                hs, starts, spans, plain = [], [], [], []
-                for width, words in ((w, x) for w in widths for x in (code, literal)):
-                    h, start = template_windows(words, owner, width)
-                    h = h if words is code else h ^ LITERAL
+                text_end = (base + size)[owner]
+                every = np.arange(len(code))
+                rows = []
+                for kind, words in ((TEMPLATE, code), (NAMED, named), (BARE, literal)):
+                    if kind == BARE:
+                        start = np.flatnonzero(every + WIDTH <= text_end)
+                        spans = [(start, start + WIDTH)]
+                    else:
+                        spans = [template_ends(words, text_end)]
+                    if items:
+                        # Items without a window of this kind.
+                        has = np.zeros(hi - lo, bool)
+                        has[owner[spans[0][0]]] = True
+                        some = np.bincount(owner[is_literal(words)], minlength=hi - lo) > 0
+                        lone = np.flatnonzero(~has & (size > 0) if kind == BARE else ~has & some & (size >= LITERALS))
+                        spans.append((base[lone], base[lone] + size[lone]))
+                    else:
+                        for width in (w for w, bare in whole if bare == (kind == BARE)):
+                            start = np.flatnonzero(every + width <= text_end)
+                            spans.append((start, start + width))
+                    start, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+                    if kind == NAMED and not items:
+                        # A document's windows without a possible name are there already.
+                        changed = np.append(0, np.cumsum(code != named))
+                        new = changed[end] > changed[start]
+                        start, end = start[new], end[new]
+                    h = hashes(words, start, end)
+                    if kind == BARE:
+                        h = h ^ LITERAL
                     keep = np.ones(len(h), bool) if held is None else bloom.lets_through(held, h.view(np.int64))
-                    if whole_short and width < WIDTH:
-                        keep &= size[owner[start]] == width
-                    hs.append(h[keep])
-                    starts.append(start[keep])
-                    spans.append(np.full(int(keep.sum()), width))
-                    plain.append(np.full(int(keep.sum()), words is literal))
-                h, start, span, bare = (np.concatenate(x) for x in (hs, starts, spans, plain))
-                text = owner[start] if len(start) else np.zeros(0, np.int64)
-                slots = [np.zeros(w, np.int64) if p else value[s : s + w].view(np.int64) for s, w, p in zip(start, span, bare, strict=True)]
+                    value = np.where(is_literal(words), np.uint64(0), literal).view(np.int64)
+                    for s, e, x in zip(start[keep].tolist(), end[keep].tolist(), h[keep].view(np.int64).tolist(), strict=True):
+                        rows.append((int(owner[s]), x, s - int(base[owner[s]]), np.zeros(e - s, np.int64) if kind == BARE else value[s:e], kind))
+                text, h, pos, slots, kinds = zip(*rows, strict=True) if rows else ([],) * 5
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(start - base[text] if len(start) else start), pa.array(slots, pa.list_(pa.int64())), pa.array(bare)], ["id", "h", "pos", "slots", "bare"]
+                    [ids.slice(lo, hi - lo).take(pa.array(text, pa.int64())), pa.array(h, pa.int64()), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.int64())), pa.array(kinds, pa.int32())], ["id", "h", "pos", "slots", "kind"]
                 )
 
     return run
@@ -103,16 +139,18 @@ def _windows(widths: list[int], held: np.ndarray | None, whole_short: bool):
 
 def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows of consistent matches."""
-    widths = [*range(LITERALS, WIDTH), WIDTH]
-    rows = "id long, h long, pos long, slots array<long>, bare boolean"
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(widths, None, True), rows)
+    rows = "id long, h long, pos long, slots array<long>, kind int"
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows([], None, True), rows)
     items = materialise(items.distinct())
-    widths = sorted(r[0] for r in items.select(F.size("slots")).distinct().collect()) or [WIDTH]
+    bare = F.col("kind") == BARE
+    literals = F.size(F.filter("slots", lambda x: x == 0))
+    sizes = items.filter(F.when(bare, F.size("slots") < WIDTH).otherwise(literals < LITERALS) | (F.size("slots") < WIDTH)).select(F.size("slots"), bare).distinct()
+    whole = sorted((n, b) for n, b in sizes.collect())
     held = bloom.build(items.select("h"), FILTER_BITS)
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(widths, held, False), rows)
-    both = found.select(F.col("id").alias("doc_id"), "h", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items.select(F.col("id").alias("item_id"), "h", "pos", "slots", "bare"), "h")
-    run = both.select("doc_id", "item_id", "bare", (F.col("at") - F.col("pos")).alias("shift"), "at", F.explode(F.arrays_zip("slots", "theirs")).alias("z"))
-    slots = run.groupBy("doc_id", "item_id", "shift", "bare").agg(
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(whole, held, False), rows)
+    both = found.select(F.col("id").alias("doc_id"), "h", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items.select(F.col("id").alias("item_id"), "h", "pos", "slots", "kind"), "h")
+    run = both.select("doc_id", "item_id", "kind", (F.col("at") - F.col("pos")).alias("shift"), "at", F.explode(F.arrays_zip("slots", "theirs")).alias("z"))
+    slots = run.groupBy("doc_id", "item_id", "shift", "kind").agg(
         F.count_distinct("at").alias("n"),
         F.count_distinct(F.when(F.col("z.slots") != 0, F.col("z.slots"))).alias("a"),
         F.count_distinct(F.when(F.col("z.slots") != 0, F.col("z.theirs"))).alias("b"),
