@@ -127,6 +127,22 @@ def test_contextual_pii(documents):
     assert pii.find(documents([])).count() == 0
 
 
+def test_contextual_pii_bootstraps(documents):
+    """What one context discovers lets the next context discover: hotline, ring, dial."""
+    rng = random.Random(14)
+    say = lambda lead, number: f"{prose(rng, 6)} {lead} {number} {prose(rng, 4)}"
+    new = [f"555-010-{2000 + k}" for k in range(9)]
+    texts = [say("call hotline", f"+1 555 010 {1000 + i}") for i in range(20)]
+    texts += [say("call hotline", f"({n})") for n in new[:3]]
+    texts += [say("please ring us", n) for n in new[:6] for _ in range(4)]
+    texts += [say("or dial (", n) for n in new[3:9] for _ in range(4)]
+    texts += [say("order number", n.replace("555", "777")) for n in new]
+    rows = {r.doc_id: r for r in pii.find(documents(list(enumerate(texts)))).collect()}
+    assert {i for i, r in rows.items() if r.n_discovered} == set(range(20, 71))
+    clean = {r.doc_id: r.text for r in pii.redact(documents(list(enumerate(texts)))).collect()}
+    assert {i for i, t in clean.items() if "[PHONE]" in t} == set(range(71))
+
+
 def shingles(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

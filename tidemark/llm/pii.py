@@ -1,6 +1,6 @@
 """Personal data: exact base patterns, and bootstrapped contextual extraction on top of them.
 
-Base spans (e-mail, IP, card, phone) are the seeds. A lexical pattern is a kind and the two words before an entity, without case and punctuation. Patterns and instances (entity texts) make a bipartite graph, to which identifier-like tokens that no base pattern matches belong too. Scores alternate: a pattern's is the sum of its instances' scores over all occurrences of its two words in the corpus; an instance's is the chance that at least one of its patterns is right; seeds stay at 1. Patterns with a score of `confident` and `support` distinct seeds discover the unmatched tokens after them.
+Base spans (e-mail, IP, card, phone) are the seeds. A lexical pattern is a kind and the two whole words before the one that an entity stands in, without case and punctuation; signs that stand alone are no words, so opening signs before an entity don't count. Patterns and instances (entity texts) make a bipartite graph, to which identifier-like tokens that no base pattern matches belong too. A pattern is induced by `support` distinct trusted instances: seeds, and instances whose score is `confident`. Scores alternate: a pattern's is the sum of its instances' scores over all occurrences of its two words in the corpus; an instance's is the chance that at least one of its induced patterns is right; seeds stay at 1. Instances found in one round so induce patterns in the next, until nothing changes: scores only grow and are cut to thousandths, so that this ends. Induced patterns with a score of `confident` discover the unmatched tokens after them.
 
 Scores are joins and sums over the edge table, which has a row per distinct edge; the corpus counts of the patterns' words are summed per task before they are shuffled.
 
@@ -36,6 +36,8 @@ _HINT = re.compile(r"[0-9](?:[^\x20\x09-\x0D0-9@]*+[0-9]){4}|@")
 _GAP = frozenset(" \t\n\x0b\x0c\r")
 LONGEST = 64
 _IDENTIFIER = re.compile(r"[0-9().+/-]+")
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_COUNTS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -114,10 +116,30 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def _left_contexts(pieces: list[str]) -> list[int | None]:
-    """For each text before an entity, the hash of its last two words; None where there are fewer."""
-    ends = [p.split(" ") if p.isascii() else re.split(r"[\x20\x09-\x0D]+", p) for p in pieces]
-    pairs = [" ".join([w for w in re.split(r"[\x20\x09-\x0D]+", " ".join(e)) if w][-2:]) for e in ends]
+def _left_words(text: str, starts: list[int]) -> list[str]:
+    """For each start of an entity, the two whole words before the word that it stands in; fewer where there are fewer."""
+    out = [""] * len(starts)
+    last, said = 0, None
+    for k in sorted(range(len(starts)), key=starts.__getitem__):
+        a = starts[k]
+        # Entities that stand in one word share its context, which so is read once however long the word is.
+        if said is None or _SPACE.search(text, last, a):
+            size = 200
+            while True:
+                lo = max(0, a - size)
+                # The last part belongs to the entity's own word; the first may be the end of a longer word.
+                parts = _SPACE.split(text[lo:a])[1 if lo else 0 : -1]
+                held = [w for w in parts if _COUNTS.search(w)]
+                if len(held) >= 2 or not lo:
+                    break
+                size *= 4
+            said = " ".join(held[-2:])
+        out[k], last = said, a
+    return out
+
+
+def _left_contexts(pairs: list[str]) -> list[int | None]:
+    """The hash of each pair of words; None where there are fewer."""
     words = Words([p.encode("utf-8", "surrogatepass") for p in pairs], _KEEP)
     out: list[int | None] = []
     for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True):
@@ -139,8 +161,7 @@ def _extract(batches):
                 base = base_spans(text) if text else []
                 more = candidates(text, base) if text else []
                 found = [(k, a, b, True) for k, a, b in base] + [(k, a, b, False) for k, a, b in more]
-                for _, a, _, _ in found:
-                    lefts.append(text[max(0, a - 200) : a])
+                lefts += _left_words(text, [a for _, a, _, _ in found])
                 turn += 1
                 rows.append((turn, text, base, found))
             ctx = iter(_left_contexts(lefts)) if lefts else iter(())
@@ -168,11 +189,13 @@ def _occurrences(held: np.ndarray):
             texts = byte_texts(batch.column(0))
             for lo, hi in runs(texts):
                 words = Words(texts[lo:hi], _KEEP)
-                if len(words.hash) < 2:
+                real = words.hash != 0  # signs alone are no words
+                held_words, bounds = words.hash[real], np.append(0, np.cumsum(real))[words.bounds]
+                if len(held_words) < 2:
                     continue
-                h = windows(words.hash, 2)
-                inside = np.ones(len(words.hash) + 1, bool)
-                inside[words.bounds[1:]] = False  # a pair doesn't reach into the next text
+                h = windows(held_words, 2)
+                inside = np.ones(len(held_words) + 1, bool)
+                inside[bounds[1:]] = False  # a pair doesn't reach into the next text
                 h = h[inside[1 : len(h) + 1]]
                 h = h[bloom.lets_through(held, h.view(np.int64))]
                 keys, inverse = np.unique(np.concatenate([keys, h]), return_inverse=True)
@@ -182,22 +205,29 @@ def _occurrences(held: np.ndarray):
     return run
 
 
-def confident_patterns(texts: DataFrame, entities: DataFrame, rounds: int = 3, support: int = 3, confident: float = 0.6) -> DataFrame:
+def confident_patterns(texts: DataFrame, entities: DataFrame, support: int = 3, confident: float = 0.6) -> DataFrame:
     """(ctx, kind, score) of the patterns that may discover. entities: ctx, kind, instance, seed of every occurrence."""
     edges = entities.filter("ctx is not null").groupBy("ctx", "kind", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    promising = edges.groupBy("ctx", "kind").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum(F.when(F.col("seed"), 0).otherwise(1)).alias("others")).filter((F.col("seeds") >= support) & (F.col("others") > 0)).select("ctx", "kind")
-    edges = materialise(edges.join(promising, ["ctx", "kind"]))
-    if not edges.take(1):
-        return edges.select("ctx", "kind", F.lit(0.0).alias("score"))
+    # A pattern that has only seeds discovers nothing and lends nothing; one of fewer instances is never induced.
+    able = edges.groupBy("ctx", "kind").agg(F.count("*").alias("all"), F.sum(F.col("seed").cast("int")).alias("seeds")).filter((F.col("all") >= support) & (F.col("seeds") < F.col("all"))).select("ctx", "kind", "seeds")
+    edges = materialise(edges.join(able, ["ctx", "kind"]))
+    if not edges.filter(F.col("seeds") >= support).take(1):
+        return edges.select("ctx", "kind", F.lit(0.0).alias("score")).limit(0)
     held = bloom.build(edges.select("ctx").distinct(), FILTER_BITS)
     seen = materialise(texts.select("text").mapInArrow(_occurrences(held), "ctx long, n long").groupBy("ctx").agg(F.sum("n").alias("seen")).join(edges.select("ctx").distinct(), "ctx", "left_semi"))
-    scores = edges.select("kind", "instance", F.col("seed").cast("double").alias("s")).groupBy("kind", "instance").agg(F.max("s").alias("s"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = edges.join(scores, ["kind", "instance"]).groupBy("ctx", "kind").agg(F.sum(F.col("s") * F.col("n")).alias("right")).join(seen, "ctx").select("ctx", "kind", F.least(F.lit(1.0), F.col("right") / F.greatest("seen", F.lit(1))).alias("score"))
-        patterns = materialise(patterns)
-        scores = edges.join(patterns, ["ctx", "kind"]).groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.product(1 - F.col("score"))).alias("s"))
-    return patterns.filter(F.col("score") >= confident)
+    instance = edges.groupBy("kind", "instance").agg(F.max("seed").alias("seed"))
+    cut = lambda score: F.floor(score * 1000 + 1e-6) / 1000
+    scores = instance.select("kind", "instance", F.col("seed").cast("double").alias("s"))
+    before = None
+    while True:
+        induced = edges.join(scores, ["kind", "instance"]).groupBy("ctx", "kind").agg(F.sum(F.col("s") * F.col("n")).alias("right"), F.sum((F.col("s") >= confident).cast("int")).alias("trusted")).filter(F.col("trusted") >= support)
+        patterns = materialise(induced.join(seen, "ctx").select("ctx", "kind", cut(F.least(F.lit(1.0), F.col("right") / F.greatest("seen", F.lit(1)))).alias("score")))
+        now = patterns.agg(F.count("*"), F.sum(F.round(F.col("score") * 1000).cast("long"))).first()
+        if now == before:
+            return patterns.filter(F.col("score") >= confident)
+        before = now
+        lent = edges.join(patterns, ["ctx", "kind"]).groupBy("kind", "instance").agg((1 - F.product(1 - F.col("score"))).alias("lent"))
+        scores = instance.join(lent, ["kind", "instance"], "left").select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(cut(F.coalesce("lent", F.lit(0.0)))).alias("s"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -243,7 +273,7 @@ def redact(docs: DataFrame) -> DataFrame:
             spans = base_spans(t) if t else []
             if t and held.any():
                 more = candidates(t, spans)
-                ctx = _left_contexts([t[max(0, a - 200) : a] for _, a, _ in more]) if more else []
+                ctx = _left_contexts(_left_words(t, [a for _, a, _ in more])) if more else []
                 spans += [s for s, c in zip(more, ctx, strict=True) if c is not None and bloom.lets_through(held, np.array([c], np.int64))[0]]
             out.append(mask(t, joined(spans)))
         return pd.Series(out)
