@@ -143,6 +143,16 @@ def test_contextual_pii_bootstraps(documents):
     assert {i for i, t in clean.items() if "[PHONE]" in t} == set(range(71))
 
 
+def test_left_words_are_whole_and_tokens_have_any_length():
+    long = "w" * 500
+    text = f"{long} {' ' * 400}Mail:\n(\" <{long}@x> tel:1.2.3.4,5.6.7.8"
+    base = pii.base_spans(text)
+    more = pii.candidates(text, base)
+    assert [text[a:b] for _, a, b in more] == [f"{long}@x>"]
+    assert pii._left_words(text, [a for _, a, _ in more]) == [f"{long} Mail:"]
+    assert pii._left_words(text, [a for _, a, _ in base]) == [f"Mail: <{long}@x>"] * 2
+
+
 def shingles(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

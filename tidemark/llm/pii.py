@@ -4,7 +4,7 @@ Base spans (e-mail, IP, card, phone) are the seeds. A lexical pattern is a kind
 
 Scores are joins and sums over the edge table, which has a row per distinct edge; the corpus counts of the patterns' words are summed per task before they are shuffled.
 
-Defined results: null or empty text has no spans; repeated rows are handled each; an entity with fewer than two words before it induces no pattern; discovered spans never overlap base spans; an empty table gives no rows. Columns besides doc_id and text are not read.
+Defined results: null or empty text has no spans; repeated rows are handled each; an entity with fewer than two words before it induces no pattern; words and tokens may have any length; discovered spans never overlap base spans; an empty table gives no rows. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Where an identifier-like token may be: five digits without a space between them, or an at sign.
 _HINT = re.compile(r"[0-9](?:[^\x20\x09-\x0D0-9@]*+[0-9]){4}|@")
 _GAP = frozenset(" \t\n\x0b\x0c\r")
-LONGEST = 64
 _IDENTIFIER = re.compile(r"[0-9().+/-]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _COUNTS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
@@ -91,9 +90,9 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         if m.start() < done:
             continue
         a, b = m.start(), m.end()
-        while a > 0 and text[a - 1] not in _GAP and m.start() - a <= LONGEST:
+        while a > 0 and text[a - 1] not in _GAP:
             a -= 1
-        while b < len(text) and text[b] not in _GAP and b - m.end() <= LONGEST:
+        while b < len(text) and text[b] not in _GAP:
             b += 1
         done = b
         while b > a and text[b - 1] in ".,;:!?)\"'":
@@ -103,7 +102,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         while k < len(marks) and marks[k][0] < b:
             reach = max(reach, marks[k][1])
             k += 1
-        if reach > a or b - a > LONGEST:
+        if reach > a:
             continue
         token = text[a:b]
         if "@" in token:
