@@ -55,25 +55,89 @@ def test_pitman_yor_counts_and_probabilities(documents):
         assert r.score < 0
 
 
-def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(3)
-    vocabulary = np.arange(1, 21, dtype=np.uint64)
-    ctx = np.full(21, 9)
-    counts = np.append(rng.integers(0, 30, 20), 0)
-    blob = pitman_yor.pack(np.append(vocabulary, 99).astype(np.uint64), np.ones(21, np.uint16), ctx.astype(np.uint16), counts.astype(np.uint32))
-    b = pitman_yor.Bucket([blob])
-    b.settle(b.totals(), pitman_yor.Sampling())
-    for _ in range(4):
-        b.sweep(rng)
-        totals = b.totals()
-        totals[pitman_yor.OUTER :] = b.tables()[pitman_yor.OUTER :]
-        b.C2, b.T2 = totals[pitman_yor.CUSTOMERS : pitman_yor.OUTER], totals[pitman_yor.OUTER : pitman_yor.INNER]
-        b.C1, b.T1 = b.T2.reshape(pitman_yor.NEAR, -1).sum(axis=1), totals[pitman_yor.INNER : pitman_yor.ROOT]
-        b.C0, b.T0 = b.T1.sum(), totals[pitman_yor.ROOT]
-    p = b.p2()
-    unknown = b.c2 == 0
-    kinds = (b.count > 0).sum()
-    assert p[~unknown].sum() + p[unknown].mean() * (1 if kinds == 20 else 21 - kinds) == pytest.approx(1, abs=0.02) or kinds < 20
+def dense_model(data, how):
+    """The same model in dictionaries, customer by customer; {doc_id: score} and all predictive probabilities of the last sample."""
+    from tidemark.llm.words import Words, mix
+
+    code = lambda w: pitman_yor.END if w is None else Words([w.encode()]).hash[0] >> np.uint64(8)
+    texts = {i: [None, *words(t), None] for i, t in data}
+    pairs = {p for t in texts.values() for p in itertools.pairwise(t)}
+    c = dict.fromkeys(pairs, 0)
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for p in itertools.pairwise(t):
+                c[p] += 1
+    names = {w for p in pairs for w in p}
+    per = lambda values, k: {w: sum(v for p, v in values.items() if p[k] == w) for w in names}
+    key = {p: mix(np.array([code(p[0])]) * pitman_yor._PART + code(p[1])) for p in pairs}
+
+    def seat(n, a, d, k, sweep):
+        return int(pitman_yor.seat_on(1, 1.0, n, a, d, (k + pitman_yor._times(how.seed * 1000 + sweep, pitman_yor._SWEEP))[0])) if n else 0
+
+    def exchange(t, before, k):
+        c0 = per(t, 1)
+        t0 = {w: min(n, 1) if before is None else seat(n, (how.strength + pitman_yor.discount(before.ones0, before.twos0) * before.tables) / (before.kinds + 1), pitman_yor.discount(before.ones0, before.twos0), mix(np.array([code(w)])), 500 + k) for w, n in c0.items()}
+        count = per(c, 1)
+        has = lambda x, n: sum(v == n for v in x.values())
+        return c0, t0, pitman_yor.Sums(sum(c.values()), sum(v > 0 for v in count.values()), sum(c0.values()), sum(t0.values()), has(c0, 1), has(c0, 2), has(c, 1), has(c, 2))
+
+    def sweep(t, c0, t0, sums, k):
+        tables, d = per(t, 0), pitman_yor.discount(sums.ones1, sums.twos1)
+        rest = {p: max(c0[p[1]] - t[p], 0) for p in pairs}
+        return {p: seat(c[p], (how.strength + d * tables[p[0]]) * sums.root(rest[p], min(t0[p[1]], rest[p]), how), d, key[p], k) for p in pairs}
+
+    start = {p: min(n, 1) for p, n in c.items()}
+    heard = exchange(start, None, 0)
+    for k in range(1, how.rounds):
+        t = start
+        for s in range(how.burn_in):
+            t = sweep(t, *heard, s)
+        heard = exchange(t, heard[2], k)
+    t, mean, (c0, t0, sums) = start, dict.fromkeys(pairs, 0.0), heard
+    customers, d = per(c, 0), pitman_yor.discount(sums.ones1, sums.twos1)
+    for s in range(how.burn_in + how.samples):
+        t = sweep(t, *heard, 100 + s)
+        tables = per(t, 0)
+        p_of = lambda x, w: (c.get((x, w), 0) - d * t.get((x, w), 0) + (how.strength + d * tables[x]) * sums.root(c0.get(w, 0), t0.get(w, 0), how)) / (how.strength + customers[x])
+        if s >= how.burn_in:
+            for p in pairs:
+                mean[p] += p_of(*p) / how.samples
+    trained = {w for w in names if sum(v for p, v in c.items() if p[1] == w)}
+    total = {x: sum(p_of(x, w) for w in trained) + p_of(x, "never seen") for x in names}
+    return {i: sum(math.log10(mean[p]) for p in itertools.pairwise(t)) for i, t in texts.items()}, total
+
+
+def test_pitman_yor_is_the_dense_sampler(documents):
+    rng = random.Random(21)
+    data = [*HARD[:5], *[(100 + i, prose(rng, 40) + " the end" * 9) for i in range(25)]]
+    want, total = dense_model(data, pitman_yor.Sampling())
+    assert all(x == pytest.approx(1) for x in total.values())
+    for mb in (8, 1e-4):
+        got = {r.doc_id: r for r in pitman_yor.score(documents(data), bucket_mb=mb).collect()}
+        assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-5)
+    held = [r for r in got.values() if r.held_out and r.doc_id >= 100]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_pitman_yor_deals_hot_contexts(documents, monkeypatch):
+    rng = random.Random(22)
+    data = [(i, prose(rng, 60) + " the end" * 30) for i in range(60)]
+    whole = {r.doc_id: r.score for r in pitman_yor.score(documents(data)).collect()}
+    monkeypatch.setattr(pitman_yor, "HOT", 200)
+    assert len(pitman_yor.hot_contexts(documents(data))) == 2
+    parts = {r.doc_id: r.score for r in pitman_yor.score(documents(data)).collect()}
+    assert parts == pytest.approx(whole, rel=0.01)
+    assert pitman_yor.score(documents([])).count() == 0
+
+
+def test_newcomers_drawn_at_once_sit_as_one_by_one():
+    keys = np.random.default_rng(5).integers(0, 1 << 63, 400, dtype=np.uint64)
+    n = np.full(400, 3000)
+    for a, d in ((0.4, 0.6), (9.0, 0.2), (2000.0, 0.5)):
+        new = np.full(400, a)
+        side = pitman_yor.seat(n, new, d, keys, few=0)
+        alone = pitman_yor.seat(n, new, d, keys ^ np.uint64(1), few=400)
+        assert abs(side.mean() - alone.mean()) < 5 * (side.std() + 1e-9) / 400**0.5 * 1.5
 
 
 def test_ranking(documents, spark):

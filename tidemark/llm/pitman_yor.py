@@ -1,16 +1,17 @@
 """A hierarchical Pitman-Yor language model, trained and applied where the words are.
 
-Restaurants: one for each pair of classes of the two words before (512), whose parents are one for each class of the word before (64), whose parent is the unigram restaurant, whose base is uniform over the training vocabulary and one unknown word. A class is a hash of a word's last three bytes, so it needs no look-up and their number is fixed.
+Restaurants: one for every word that stands before another (or a text's begin), however many there are; all share one parent, the unigram restaurant, whose base is uniform over the training vocabulary and one unknown word.
 
-Seating is sampled by blocked Gibbs steps: a dish's customers leave a restaurant and sit down again one after the other, each by the Chinese-restaurant probabilities; a new table sends a customer to the parent. Given the restaurants' totals, dishes are independent, so a bucket of words (by hash) samples all its dishes through all levels by itself. The totals, a bounded number, are gathered over all buckets between rounds. Predictive probabilities are averaged over the samples.
+Seating is sampled by blocked Gibbs steps: a dish's customers leave a restaurant together, with the customers that their tables sent to the parent, and sit down again one after the other, each by the Chinese-restaurant probabilities; a new table sends a customer to the parent. A restaurant's number of tables is that of the sweep before, and the parent's seating that of the round before. Predictive probabilities are averaged over the samples. Chance is a hash of dish, sweep and customer, so that scores depend on the rows alone and not on how they are stored or spread.
 
-Data flow: each batch of neighbouring documents sends a bucket its distinct (word, context) pairs with their training counts, once per batch however often they occur; the bucket answers with their probabilities; the batch adds them up per document. What moves grows with the input. No bucket sees more than a row per batch and pair, no matter how frequent a word is, and the driver sees only totals.
+Data flow. A batch of neighbouring documents sends each bucket of contexts its distinct (context, word) pairs with their training counts, once per batch however often they occur. A bucket seats whole restaurants; a context with more than `HOT` tokens is dealt over several buckets by word, and its parts tell each other their totals in the same exchange that carries tables to the unigram restaurant, which is dealt over `homes` by word. After `rounds` exchanges the buckets answer with the pairs' probabilities, which a batch adds up per document. What moves grows with the input; to the driver come eight sums and at most 65,536 hot words.
 
 Defined results: a null or empty text has one token, its end; repeated rows count and are scored each; a null doc_id is hashed as empty text; an empty table gives no rows. With no training token every count is 0 and the model is its uniform base. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -25,97 +26,58 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_texts, materialise, pieces, runs
 from tidemark.llm.words import Words, mix
 
-NEAR, FAR = 64, 8
-CONTEXTS = NEAR * FAR
+#: Words are known by 56 bits of their hash; this one is a text's end and also what stands before its first word.
 END = np.uint64(0xE5D)
 #: Bytes of text in a batch.
-BATCH = 24 << 20
-#: Where each total stands in the table that is summed over buckets.
-TRAIN, KINDS, ONES, TWOS, CUSTOMERS, OUTER, INNER, ROOT = 0, 1, 2, 5, 8, 8 + CONTEXTS, 8 + 2 * CONTEXTS, 8 + 2 * CONTEXTS + NEAR
-TOTALS = ROOT + 1
+BATCH = 16 << 20
+#: Tokens of a context beyond which it is dealt over several buckets, and the most such contexts.
+HOT, MOST_HOT = 1 << 18, 1 << 16
+_STEP, _SWEEP, _PART, _TAG = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+_56 = np.uint64((1 << 56) - 1)
 
 
 @dataclass(frozen=True)
 class Sampling:
     burn_in: int = 2
     samples: int = 4
+    rounds: int = 2
     strength: float = 1.0
     seed: int = 7
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob; first all lowest bytes, then all second ones, and so on, as high bytes are mostly zero."""
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def unpack(blob: bytes, *types) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     sizes = np.frombuffer(raw, np.int64, len(types))
     out, at = [], 8 * len(types)
-    for n, t in zip(sizes, types, strict=True):
-        out.append(np.frombuffer(raw, t, int(n), at))
-        at += int(n) * np.dtype(t).itemsize
+    for n, t in zip(sizes.tolist(), map(np.dtype, types), strict=True):
+        planes = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(t).reshape(n))
+        at += n * t.itemsize
     return out
 
 
-def classes(words: Words) -> np.ndarray:
-    """1 to NEAR - 1 by the last three bytes of each word; 0 is for text ends."""
-    out = np.zeros(len(words.start), np.uint64)
-    for k in (1, 2, 3):
-        at = words.end - k
-        out = out * np.uint64(257) + np.where(at >= words.start, words.data[np.maximum(at, 0)], 0).astype(np.uint64)
-    return (mix(out) % np.uint64(NEAR - 1)).astype(np.int64) + 1
-
-
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with an end after each text, their contexts, and the number of tokens of each text."""
-    hashes, contexts, sizes = [], [], []
+    """Words with an end after each text, the word before each, and the number of tokens of each text."""
+    hashes, before, sizes = [], [], []
     for lo, hi in runs(texts):
         words = Words(texts[lo:hi])
-        counts = np.diff(words.bounds)
-        size = counts + 1
+        size = np.diff(words.bounds) + 1
         stop = np.cumsum(size) - 1
-        inside = np.ones(int(size.sum()), bool)
+        h = np.full(int(size.sum()), END)
+        inside = np.ones(len(h), bool)
         inside[stop] = False
-        h, c = np.full(len(inside), END), np.zeros(len(inside), np.int64)
-        h[inside], c[inside] = words.hash, classes(words)
-        first, second = np.roll(c, 1), np.roll(c, 2)
-        begin = stop - size + 1
-        first[begin] = 0
-        second[begin] = 0
-        second[np.minimum(begin + 1, len(c) - 1)] = 0
+        h[inside] = words.hash >> np.uint64(8)
         hashes.append(h)
-        contexts.append(first * FAR + second % FAR)
+        before.append(np.roll(h, 1))  # the first of each text follows the end of another
         sizes.append(size)
-    return np.concatenate(hashes), np.concatenate(contexts), np.concatenate(sizes)
-
-
-@dataclass
-class Batch:
-    """The distinct pairs of some documents, ordered by bucket, and every token's pair."""
-
-    words: np.ndarray
-    per_word: np.ndarray
-    contexts: np.ndarray
-    trained: np.ndarray
-    pair: np.ndarray
-    sizes: np.ndarray
-    edges: np.ndarray
-    pair_edges: np.ndarray
-
-    @classmethod
-    def of(cls, texts: list[bytes], held_out: np.ndarray, buckets: int) -> Batch:
-        h, c, sizes = tokens(texts)
-        words, inverse = np.unique(h, return_inverse=True)
-        bucket = mix(words) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        keys, pair = np.unique(place[inverse] * CONTEXTS + c, return_inverse=True)
-        train = np.repeat(~held_out, sizes)
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        per_word = np.bincount(keys // CONTEXTS, minlength=len(words))
-        return cls(words[order], per_word, keys % CONTEXTS, np.bincount(pair, weights=train, minlength=len(keys)), pair, sizes, edges, np.append(0, np.cumsum(per_word))[edges])
+    return np.concatenate(hashes), np.concatenate(before), np.concatenate(sizes)
 
 
 def _batches(batches, bytes_each: int = BATCH):
@@ -139,191 +101,313 @@ def _held_out(ids: list, modulus: int, rest: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus == rest for i in ids])
 
 
-def _requests(buckets: int, modulus: int, rest: int):
+def _word_counts(batches):
+    for _, _, texts in _batches(batches):
+        word, n = np.unique(tokens(texts)[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+
+@dataclass
+class Batch:
+    """The distinct pairs of some documents, by bucket, context and word, and every token's pair."""
+
+    context: np.ndarray
+    word: np.ndarray
+    edges: np.ndarray
+    pair: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes], buckets: int, hot: dict[int, int]) -> Batch:
+        h, before, sizes = tokens(texts)
+        words, w = np.unique(h, return_inverse=True)
+        keys, pair = np.unique(np.searchsorted(words, before) * len(words) + w, return_inverse=True)
+        at, w = keys // len(words), keys % len(words)
+        parts = np.ones(len(words), np.uint64)
+        for x, n in hot.items():
+            k = int(np.searchsorted(words, np.uint64(x)))
+            if k < len(words) and words[k] == x:
+                parts[k] = n
+        part = mix(words)[w] % parts[at]
+        bucket = mix(words[at] + part * _PART) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        return cls(words[at[order]], words[w[order]], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)), place[pair], sizes)
+
+
+def _requests(buckets: int, hot: dict[int, int], modulus: int, rest: int):
     def run(batches):
         for k, ids, texts in _batches(batches):
-            b = Batch.of(texts, _held_out(ids, modulus, rest), buckets)
-            rows = [(x, b.edges[x], b.edges[x + 1], b.pair_edges[x], b.pair_edges[x + 1]) for x in range(buckets) if b.edges[x] < b.edges[x + 1]]
-            blobs = [pack(b.words[i:j], b.per_word[i:j].astype(np.uint16), b.contexts[p:q].astype(np.uint16), b.trained[p:q].astype(np.uint32)) for _, i, j, p, q in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array(blobs, pa.binary())], ["batch", "bucket", "pairs"])
+            b = Batch.of(texts, buckets, hot)
+            train = np.repeat(~_held_out(ids, modulus, rest), b.sizes)
+            trained = np.bincount(b.pair, weights=train, minlength=len(b.word)).astype(np.uint32)
+            rows, blobs = [], []
+            for x in np.flatnonzero(np.diff(b.edges)).tolist():
+                i, j = b.edges[x], b.edges[x + 1]
+                context = b.context[i:j]
+                first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+                rows.append(x)
+                blobs.append(pack(context[first], np.diff(np.append(first, j - i)).astype(np.uint32), b.word[i:j], trained[i:j]))
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["batch", "bucket", "pairs"])
 
     return run
 
 
-def _streams(buckets: int, modulus: int, rest: int):
+def _streams(buckets: int, hot: dict[int, int], modulus: int, rest: int):
+    """Each document's pairs, whose order doesn't matter, sorted and as differences."""
+
     def run(batches):
         for k, ids, texts in _batches(batches):
-            held = _held_out(ids, modulus, rest)
-            b = Batch.of(texts, held, buckets)
-            blob = pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), held, b.sizes.astype(np.uint32), b.pair.astype(np.uint32), b.per_word.astype(np.uint16))
+            b = Batch.of(texts, buckets, hot)
+            owner = np.repeat(np.arange(len(ids)), b.sizes)
+            pair = np.sort(owner * len(b.word) + b.pair) - owner * len(b.word)
+            step = np.diff(pair, prepend=0)
+            begin = np.append(0, np.cumsum(b.sizes)[:-1])
+            step[begin] = pair[begin]
+            blob = pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), _held_out(ids, modulus, rest), b.sizes.astype(np.uint32), step.astype(np.uint32))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blob], pa.binary())], ["batch", "stream"])
 
     return run
 
 
-class Bucket:
-    """All that the batches asked about the words of one bucket, and the seating of those words."""
-
-    def __init__(self, blobs: list[bytes]):
-        asked = [unpack(x, np.uint64, np.uint16, np.uint16, np.uint32) for x in blobs]
-        self.n_words, self.n_pairs = [len(a[0]) for a in asked], [len(a[2]) for a in asked]
-        words, self.word_of = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        asked_word = np.repeat(self.word_of, np.concatenate([a[1] for a in asked]))
-        keys, self.asked = np.unique(asked_word * CONTEXTS + np.concatenate([a[2] for a in asked]), return_inverse=True)
-        count = np.bincount(self.asked, weights=np.concatenate([a[3] for a in asked]), minlength=len(keys)).astype(np.int64)
-        # Most frequent pairs first, so that those which still wait for seats are always a head of the arrays.
-        order = np.argsort(-count, kind="stable")
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        self.asked, keys, self.c2 = place[self.asked], keys[order], count[order]
-        self.word, self.ctx = keys // CONTEXTS, keys % CONTEXTS
-        mid, self.up = np.unique(self.word * NEAR + self.ctx // FAR, return_inverse=True)
-        self.mid_word, self.mid_ctx = mid // NEAR, mid % NEAR
-        self.count = np.bincount(self.word, weights=self.c2, minlength=len(words)).astype(np.int64)
-
-    def totals(self) -> np.ndarray:
-        out = np.zeros(TOTALS)
-        out[TRAIN], out[KINDS] = self.count.sum(), (self.count > 0).sum()
-        types1 = np.bincount(self.up, weights=self.c2 > 0, minlength=len(self.mid_word))
-        types0 = np.bincount(self.mid_word, weights=types1 > 0, minlength=len(self.count))
-        for k, c in enumerate((types0, types1, self.c2)):
-            out[ONES + k], out[TWOS + k] = (c == 1).sum(), (c == 2).sum()
-        out[CUSTOMERS : CUSTOMERS + CONTEXTS] = np.bincount(self.ctx, weights=self.c2, minlength=CONTEXTS)
-        out[OUTER : OUTER + CONTEXTS] = np.bincount(self.ctx, weights=self.c2 > 0, minlength=CONTEXTS)
-        out[INNER : INNER + NEAR] = np.bincount(self.mid_ctx, weights=types1 > 0, minlength=NEAR)
-        out[ROOT] = out[KINDS]
-        return out
+def _times(n: int, step: np.uint64) -> np.uint64:
+    return np.uint64(n * int(step) & 0xFFFFFFFFFFFFFFFF)
+
+
+def chance(key: np.ndarray, customer: int) -> np.ndarray:
+    """A number in 0..1 for each key and customer."""
+    return (mix(key + _times(customer, _STEP)) >> np.uint64(11)).astype(float) * 2.0**-53
 
-    def tables(self) -> np.ndarray:
-        out = np.zeros(TOTALS)
-        out[OUTER : OUTER + CONTEXTS] = np.bincount(self.ctx, weights=self.t2, minlength=CONTEXTS)
-        out[INNER : INNER + NEAR] = np.bincount(self.mid_ctx, weights=self.t1, minlength=NEAR)
-        out[ROOT] = self.t0.sum()
-        return out
 
-    def settle(self, totals: np.ndarray, how: Sampling) -> None:
-        """Takes the totals; everyone sits at one table a dish to begin with."""
-        self.theta = how.strength
-        ones, twos = totals[ONES : ONES + 3], totals[TWOS : TWOS + 3]
-        self.d = np.clip(np.divide(ones, ones + 2 * twos, out=np.full(3, 0.5), where=ones > 0), 0.05, 0.95)
-        self.uniform = 1 / (totals[KINDS] + 1)
-        self.C2, self.T2 = totals[CUSTOMERS : CUSTOMERS + CONTEXTS], totals[OUTER : OUTER + CONTEXTS]
-        self.C1, self.T1 = self.T2.reshape(NEAR, FAR).sum(axis=1), totals[INNER : INNER + NEAR]
-        self.C0, self.T0 = self.T1.sum(), totals[ROOT]
-        self.t2 = np.minimum(self.c2, 1)
-        self.c1 = np.bincount(self.up, weights=self.t2, minlength=len(self.mid_word)).astype(np.int64)
-        self.t1 = np.minimum(self.c1, 1)
-        self.c0 = np.bincount(self.mid_word, weights=self.t1, minlength=len(self.count)).astype(np.int64)
-        self.t0 = np.minimum(self.c0, 1)
-
-    def p0(self, c=None, t=None):
-        c, t = (self.c0, self.t0) if c is None else (c, t)
-        return (c - self.d[0] * t + (self.theta + self.d[0] * self.T0) * self.uniform) / (self.theta + self.C0)
-
-    def p1(self, root, c=None, t=None):
-        c, t = (self.c1, self.t1) if c is None else (c, t)
-        return (c - self.d[1] * t + (self.theta + self.d[1] * self.T1[self.mid_ctx]) * root[self.mid_word]) / (self.theta + self.C1[self.mid_ctx])
-
-    def p2(self) -> np.ndarray:
-        """Predictive probability of every asked pair."""
-        mid = self.p1(self.p0())
-        return (self.c2 - self.d[2] * self.t2 + (self.theta + self.d[2] * self.T2[self.ctx]) * mid[self.up]) / (self.theta + self.C2[self.ctx])
-
-    def sweep(self, rng: np.random.Generator) -> None:
-        """Every dish is seated anew, level by level; a dish's own customers are out of the parent's probability meanwhile."""
-        root = self.p0()
-        rest = self.c1[self.up] - self.t2
-        kept = np.minimum(self.t1[self.up], rest)
-        at = self.mid_ctx[self.up]
-        parent = (rest - self.d[1] * kept + (self.theta + self.d[1] * self.T1[at]) * root[self.word]) / (self.theta + self.C1[at])
-        self.t2 = seat(self.c2, (self.theta + self.d[2] * self.T2[self.ctx]) * parent, self.d[2], rng)
-        self.c1 = np.bincount(self.up, weights=self.t2, minlength=len(self.mid_word)).astype(np.int64)
-        rest = np.maximum(self.c0[self.mid_word] - self.t1, 0)
-        kept = np.minimum(self.t0[self.mid_word], rest)
-        parent = (rest - self.d[0] * kept + (self.theta + self.d[0] * self.T0) * self.uniform) / (self.theta + self.C0)
-        self.t1 = seat(self.c1, (self.theta + self.d[1] * self.T1[self.mid_ctx]) * parent, self.d[1], rng)
-        self.c0 = np.bincount(self.mid_word, weights=self.t1, minlength=len(self.count)).astype(np.int64)
-        self.t0 = seat(self.c0, np.full(len(self.c0), (self.theta + self.d[0] * self.T0) * self.uniform), self.d[0], rng)
-
-
-def seat(customers: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating each dish's customers in order; new: the weight of an own table against n - d * tables for the taken ones.
-
-    The first 32 customers choose one by one. Later ones come in groups of a quarter of those seated; in a group the chance of a new table, which hardly changes there, is that of its middle.
+def seat_on(n: int, t: float, c: int, a: float, d: float, key: np.uint64) -> float:
+    """Tables of one dish once customers n + 1 to c have come to the t tables of the first n.
+
+    Where newcomers seldom open a table, the next who does is drawn at once: that none opens one between n and m has probability gamma(m - dt) gamma(n - dt + a) / (gamma(n - dt) gamma(m - dt + a)), which is solved for m.
     """
+    while n < c:
+        end = min(c, n + 4096)
+        for u in (mix(key + np.arange(n, end, dtype=np.uint64) * _STEP) >> np.uint64(11)).tolist():
+            x = n - d * t
+            if a * 64 < x:
+                left = math.log((u + 0.5) * 2.0**-53)
+                now = math.lgamma(x) - math.lgamma(x + a)
+                none = lambda m, t=t, now=now: math.lgamma(m - d * t) - math.lgamma(m - d * t + a) - now
+                if none(c) >= left:
+                    return t
+                lo, hi = n, c  # nobody up to lo, somebody up to hi
+                while hi - lo > 1:
+                    mid = (lo + hi) // 2
+                    lo, hi = (mid, hi) if none(mid) >= left else (lo, mid)
+                n, t = hi, t + 1
+                break  # the chances that follow belong to other customers
+            t += u * 2.0**-53 * (x + a) < a
+            n += 1
+    return t
+
+
+def seat(customers: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, few: int = 256) -> np.ndarray:
+    """Tables after seating each dish's customers one after the other; new: the weight of an own table against n - d * tables for the taken ones. Many dishes go side by side, the few largest on by themselves, by the same probabilities."""
     order = np.argsort(-customers, kind="stable")
-    c, a = customers[order], new[order]
+    c, a, k = customers[order], new[order], key[order]
     t = (c > 0).astype(float)
     n = 1
-    while len(c) and (live := int(np.searchsorted(-c, -n, "left"))):
-        step = 1 if n < 32 else n // 4
-        group = np.minimum(c[:live], n + step) - n
-        middle = n + (group - 1) / 2
-        chance = a[:live] / (middle - d * t[:live] + a[:live])
-        t[:live] += rng.random(live) < chance if step == 1 else rng.binomial(group, np.clip(chance, 0, 1))
-        n += step
+    while (live := int(np.searchsorted(-c, -n, "left"))) > few:
+        t[:live] += chance(k[:live], n) * (n - d * t[:live] + a[:live]) < a[:live]
+        n += 1
+    for i in range(live):
+        t[i] = seat_on(n, float(t[i]), int(c[i]), float(a[i]), d, k[i])
     out = np.empty(len(c), np.int64)
     out[order] = t
     return out
 
 
+def discount(ones: float, twos: float) -> float:
+    return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
+
+
+@dataclass(frozen=True)
+class Sums:
+    """Of the whole model: training tokens and their kinds, customers and tables of the unigram restaurant, dishes of one and of two customers at either level."""
+
+    train: int = 0
+    kinds: int = 0
+    customers: int = 0
+    tables: int = 0
+    ones0: int = 0
+    twos0: int = 0
+    ones1: int = 0
+    twos1: int = 0
+
+    def root(self, c: np.ndarray, t: np.ndarray, how: Sampling) -> np.ndarray:
+        """Unigram probabilities of dishes with c customers at t tables."""
+        d = discount(self.ones0, self.twos0)
+        return (c - d * t + (how.strength + d * self.tables) / (self.kinds + 1)) / (how.strength + self.customers)
+
+
+class Bucket:
+    """All that the batches asked about the contexts of one bucket, and the seating of these restaurants."""
+
+    def __init__(self, blobs: list[bytes], hot: dict[int, int], how: Sampling):
+        asked = [unpack(x, np.uint64, np.uint32, np.uint64, np.uint32) for x in blobs]
+        self.how, self.n_pairs = how, [len(a[2]) for a in asked]
+        self.contexts, context = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        context = np.repeat(context, np.concatenate([a[1] for a in asked]))
+        self.words, word = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+        keys, self.asked = np.unique(context * len(self.words) + word, return_inverse=True)
+        self.c = np.bincount(self.asked, weights=np.concatenate([a[3] for a in asked]), minlength=len(keys)).astype(np.int64)
+        self.ctx, self.word = keys // len(self.words), keys % len(self.words)
+        self.key = mix(self.contexts[self.ctx] * _PART + self.words[self.word])
+        self.t = np.minimum(self.c, 1)
+        self.split = np.flatnonzero(np.isin(self.contexts, np.fromiter(hot, np.uint64, len(hot))))
+        self.elsewhere = np.zeros((2, len(self.contexts)), np.int64)
+
+    def per_context(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each restaurant, those in other buckets included."""
+        return tuple(np.bincount(self.ctx, weights=x, minlength=len(self.contexts)) + y for x, y in zip((self.c, self.t), self.elsewhere, strict=True))
+
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, training counts and tables to be summed over buckets: of each word, then of each context that is dealt over buckets."""
+        words = [np.bincount(self.word, weights=x, minlength=len(self.words)).astype(np.int64) for x in (self.c, self.t)]
+        parts = [np.bincount(self.ctx, weights=x, minlength=len(self.contexts)).astype(np.int64)[self.split] for x in (self.c, self.t)]
+        tags = mix(self.contexts[self.split] ^ _TAG) & _56
+        return np.concatenate([self.words, tags]), *(np.concatenate([w, p]) for w, p in zip(words, parts, strict=True))
+
+    def hear(self, count: np.ndarray, c0: np.ndarray, t0: np.ndarray, sums: Sums) -> None:
+        """Takes the sums of what was told, in the same order: training counts, tables (the parent's customers) and, for words, the parent's tables."""
+        n = len(self.words)
+        own = self.told()
+        for k, total in enumerate((count, c0)):
+            self.elsewhere[k, self.split] = total[n:] - own[k + 1][n:]
+        self.count, self.c0, self.t0, self.sums = count[:n], c0[:n], t0[:n], sums
+
+    def sweep(self, k: int) -> None:
+        d, rest = discount(self.sums.ones1, self.sums.twos1), np.maximum(self.c0[self.word] - self.t, 0)
+        parent = self.sums.root(rest, np.minimum(self.t0[self.word], rest), self.how)
+        tables = self.per_context()[1]
+        again = np.flatnonzero(self.c > 1)  # one customer always has one table
+        self.t[again] = seat(self.c[again], ((self.how.strength + d * tables[self.ctx]) * parent)[again], d, self.key[again] + _times(self.how.seed * 1000 + k, _SWEEP))
+
+    def probability(self) -> np.ndarray:
+        """Predictive probability of every pair."""
+        d, (customers, tables) = discount(self.sums.ones1, self.sums.twos1), self.per_context()
+        root = self.sums.root(self.c0, self.t0, self.how)
+        return (self.c - d * self.t + (self.how.strength + d * tables[self.ctx]) * root[self.word]) / (self.how.strength + customers[self.ctx])
+
+
+def home_tables(key: np.ndarray, customers: np.ndarray, sums: Sums | None, how: Sampling, k: int) -> np.ndarray:
+    """Tables of the unigram restaurant's dishes; one each before anything is known."""
+    if sums is None:
+        return np.minimum(customers, 1)
+    d = discount(sums.ones0, sums.twos0)
+    return seat(customers, np.full(len(key), (how.strength + d * sums.tables) / (sums.kinds + 1)), d, mix(key) + _times(how.seed * 1000 + 500 + k, _SWEEP))
+
+
+def hot_contexts(docs: DataFrame) -> dict[int, int]:
+    """The contexts that are dealt over several buckets, with their number of parts."""
+    counts = docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") > HOT).orderBy(F.desc("n"), "word").limit(MOST_HOT).collect()
+    return {r.word: -(-r.n // HOT) for r in rows}
+
+
+SUMS = tuple(Sums.__dataclass_fields__)
+
+
 def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Sampling(), bucket_mb: float = 8) -> DataFrame:  # noqa: B008
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with crc32(doc_id) % modulus = rest are held out of training."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with crc32(doc_id) % modulus = rest are held out of training. The rows of a partition must come in the same order whenever it is computed, as those of files do."""
     buckets = pieces(docs, bucket_mb, 4)
+    homes = max(4, buckets // 2)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = materialise(docs.mapInArrow(_requests(buckets, modulus, rest), "batch long, bucket int, pairs binary").repartition(buckets, "bucket"))
-
-    def gathered(work) -> np.ndarray:
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            t = work(Bucket(part.sort_values("batch")["pairs"].tolist()), int(part["bucket"].iloc[0]))
-            at = np.flatnonzero(t)
-            return pd.DataFrame({"k": at, "v": t[at]})
+    hot = hot_contexts(docs)
+    asked = docs.mapInArrow(_requests(buckets, hot, modulus, rest), "batch long, bucket int, pairs binary")
+
+    def tell(bucket: int, b: Bucket) -> pd.DataFrame:
+        keys, count, tables = b.told()
+        is_tag = np.arange(len(keys)) >= len(b.words)
+        home = (mix(keys) % np.uint64(homes)).astype(np.int64)
+        rows = []
+        for x in np.unique(home):
+            at = np.flatnonzero(home == x)
+            rows.append((int(x), bucket, pack(keys[at], is_tag[at], count[at], tables[at]), 0, 0))
+        rows[0] = (*rows[0][:3], int((b.c == 1).sum()), int((b.c == 2).sum()))
+        return pd.DataFrame(rows, columns=["home", "bucket", "told", "ones1", "twos1"])
+
+    def heard(bucket: Bucket, back: pd.DataFrame, sums: Sums) -> Bucket:
+        keys = bucket.told()[0]
+        home = (mix(keys) % np.uint64(homes)).astype(np.int64)
+        out = np.zeros((3, len(keys)), np.int64)
+        out[:, np.argsort(home, kind="stable")] = np.concatenate([np.stack(unpack(x, np.int64, np.int64, np.int64)) for x in back.sort_values("home")["sums"]], axis=1)
+        bucket.hear(*out, sums)
+        return bucket
+
+    def exchange(told: DataFrame, before: Sums | None, k: int) -> tuple[DataFrame, Sums]:
+        def sum_up(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("bucket")
+            got = [unpack(x, np.uint64, bool, np.int64, np.int64) for x in part["told"]]
+            keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            tag = np.zeros(len(keys), bool)
+            tag[at] = np.concatenate([g[1] for g in got])
+            count, customers = (np.bincount(at, weights=np.concatenate([g[j] for g in got]), minlength=len(keys)).astype(np.int64) for j in (2, 3))
+            tables = np.zeros(len(keys), np.int64)
+            tables[~tag] = home_tables(keys[~tag], customers[~tag], before, how, k)
+            edges = np.append(0, np.cumsum([len(g[0]) for g in got]))
+            back = [pack(count[x], customers[x], tables[x]) for x in (at[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True))]
+            c, c0 = count[~tag], customers[~tag]
+            sums = (c.sum(), (c > 0).sum(), c0.sum(), tables.sum(), (c0 == 1).sum(), (c0 == 2).sum(), part["ones1"].sum(), part["twos1"].sum())
+            out = pd.DataFrame({"bucket": part["bucket"], "home": part["home"], "sums": back, **{n: 0 for n in SUMS}})
+            return pd.concat([out, pd.DataFrame([{"bucket": -1, "home": int(part["home"].iloc[0]), "sums": b"", **{n: int(x) for n, x in zip(SUMS, sums, strict=True)}}])])
+
+        back = materialise(told.groupBy("home").applyInPandas(sum_up, "bucket int, home int, sums binary, " + ", ".join(f"{n} long" for n in SUMS)))
+        total = back.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in SUMS]).first()
+        return back.filter("bucket >= 0").select("bucket", "home", "sums"), Sums(**total.asDict())
+
+    def opened(part: pd.DataFrame) -> tuple[pd.DataFrame, Bucket]:
+        part = part.sort_values("batch")
+        return part, Bucket(part["pairs"].tolist(), hot, how)
 
-        out = np.zeros(TOTALS)
-        for k, v in asked.groupBy("bucket").applyInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v")).collect():
-            out[k] = v
-        return out
+    told_schema = "home int, bucket int, told binary, ones1 long, twos1 long"
+    first = asked.groupBy("bucket").applyInPandas(lambda part: tell(int(part["bucket"].iloc[0]), opened(part)[1]), told_schema)
+    back, sums = exchange(first, None, 0)
 
-    first = gathered(lambda b, _: b.totals())
+    def rehearse(sums: Sums):
+        def run(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            b = heard(opened(part)[1], answers, sums)
+            for s in range(how.burn_in):
+                b.sweep(s)
+            return tell(int(part["bucket"].iloc[0]), b)
 
-    def rehearse(b: Bucket, k: int) -> np.ndarray:
-        b.settle(first, how)
-        rng = np.random.default_rng([how.seed, k])
-        for _ in range(how.burn_in):
-            b.sweep(rng)
-        return b.tables()
+        return run
 
-    seated = gathered(rehearse)
-    seated[:OUTER] = first[:OUTER]
+    for k in range(1, how.rounds):
+        told = asked.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInPandas(rehearse(sums), told_schema)
+        back, sums = exchange(told, sums, k)
 
-    def answer(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("batch")
-        b, k = Bucket(part["pairs"].tolist()), int(part["bucket"].iloc[0])
-        b.settle(seated, how)
-        rng = np.random.default_rng([how.seed, k, 1])
-        mean = np.zeros(len(b.c2))
+    def answer(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        part, b = opened(part)
+        heard(b, answers, sums)
+        mean = np.zeros(len(b.c))
         for s in range(how.burn_in + how.samples):
-            b.sweep(rng)
+            b.sweep(100 + s)
             if s >= how.burn_in:
-                mean += b.p2() / how.samples
-        log = np.log10(mean).astype(np.float32)[b.asked]
-        count = b.count[b.word_of].astype(np.uint32)
-        p, w = np.append(0, np.cumsum(b.n_pairs)), np.append(0, np.cumsum(b.n_words))
-        return pd.DataFrame({"batch": part["batch"], "bucket": part["bucket"], "answer": [pack(log[p[i] : p[i + 1]], count[w[i] : w[i + 1]]) for i in range(len(part))]})
+                mean += b.probability() / how.samples
+        log, count = np.log10(mean).astype(np.float32)[b.asked], b.count[b.word].astype(np.uint32)[b.asked]
+        at = np.append(0, np.cumsum(b.n_pairs))
+        return pd.DataFrame({"batch": part["batch"], "bucket": part["bucket"], "answer": [pack(log[i:j], count[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]})
 
-    answers = asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket int, answer binary")
-    streams = docs.mapInArrow(_streams(buckets, modulus, rest), "batch long, stream binary")
-    train, kinds = int(first[TRAIN]), int(first[KINDS])
+    answers = asked.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInPandas(answer, "batch long, bucket int, answer binary")
+    streams = docs.mapInArrow(_streams(buckets, hot, modulus, rest), "batch long, stream binary")
 
     def add_up(stream: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        ids, unnamed, held, sizes, pair, per_word = unpack(stream["stream"].iloc[0], np.int64, bool, bool, np.uint32, np.uint32, np.uint16)
+        ids, unnamed, held, sizes, step = unpack(stream["stream"].iloc[0], np.int64, bool, bool, np.uint32, np.uint32)
         got = [unpack(x, np.float32, np.uint32) for x in answer.sort_values("bucket")["answer"]]
         log, count = (np.concatenate([g[k] for g in got]).astype(float) for k in (0, 1))
-        count = np.repeat(count, per_word)
-        base = np.log10((count + 0.5) / (train + 0.5 * (kinds + 1)))
-        begin = np.append(0, np.cumsum(sizes.astype(np.int64))[:-1])
+        base = np.log10((count + 0.5) / (sums.train + 0.5 * (sums.kinds + 1)))
+        sizes = sizes.astype(np.int64)
+        begin = np.append(0, np.cumsum(sizes)[:-1])
+        total = np.cumsum(step.astype(np.int64))
+        pair = total - np.repeat(total[begin] - step[begin], sizes)
         summed = lambda x: np.add.reduceat(x[pair], begin)
-        out = pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": sizes.astype(np.int64), "n_known": summed((count > 0).astype(np.int64)), "train_tokens": train, "base_score": summed(base), "score": summed(log)})
+        out = pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": sizes, "n_known": summed((count > 0).astype(np.int64)), "train_tokens": sums.train, "base_score": summed(base), "score": summed(log)})
         out["doc_id"] = out["doc_id"].astype("Int64").mask(unnamed)
         return out
 
