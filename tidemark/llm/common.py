@@ -40,10 +40,15 @@ def materialise(df: DataFrame) -> DataFrame:
     Spark deletes the shuffle files of a cut lineage only once the driver's collector finds them dead; an idle driver keeps them for half an hour, so it is asked first.
     """
     shared_dir(df.sparkSession)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver's collector, so that the shuffle files of results that were computed and left behind are deleted."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_folder(spark: SparkSession, what: str) -> str:
     base = shared_dir(spark)
     return f"{base if '://' in base else 'file://' + base}/{what}-{uuid.uuid4().hex}"

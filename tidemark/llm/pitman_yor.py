@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts, materialise, pieces, runs
+from tidemark.llm.common import byte_texts, materialise, pieces, release, runs
 from tidemark.llm.words import Words, mix
 
 #: Words are known by 56 bits of their hash; this one is a text's end and also what stands before its first word.
 END = np.uint64(0xE5D)
 #: Bytes of text in a batch.
-BATCH = 16 << 20
+BATCH = 12 << 20
 #: Tokens of a context beyond which it is dealt over several buckets, and the most such contexts.
 HOT, MOST_HOT = 1 << 18, 1 << 16
 _STEP, _SWEEP, _PART, _TAG = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -313,7 +313,7 @@ def hot_contexts(docs: DataFrame) -> dict[int, int]:
 SUMS = tuple(Sums.__dataclass_fields__)
 
 
-def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Sampling(), bucket_mb: float = 8) -> DataFrame:  # noqa: B008
+def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Sampling(), bucket_mb: float = 5) -> DataFrame:  # noqa: B008
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with crc32(doc_id) % modulus = rest are held out of training. The rows of a partition must come in the same order whenever it is computed, as those of files do."""
     buckets = pieces(docs, bucket_mb, 4)
     homes = max(4, buckets // 2)
@@ -359,6 +359,7 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Samp
 
         back = materialise(told.groupBy("home").applyInPandas(sum_up, "bucket int, home int, sums binary, " + ", ".join(f"{n} long" for n in SUMS)))
         total = back.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in SUMS]).first()
+        release(docs.sparkSession)
         return back.filter("bucket >= 0").select("bucket", "home", "sums"), Sums(**total.asDict())
 
     def opened(part: pd.DataFrame) -> tuple[pd.DataFrame, Bucket]:
