@@ -4,7 +4,7 @@ Restaurants: one for every word that stands before another (or a text's begin),
 
 Seating is sampled by blocked Gibbs steps: a dish's customers leave a restaurant together, with the customers that their tables sent to the parent, and sit down again one after the other, each by the Chinese-restaurant probabilities; a new table sends a customer to the parent. A restaurant's number of tables is that of the sweep before, and the parent's seating that of the round before. Predictive probabilities are averaged over the samples. Chance is a hash of dish, sweep and customer, so that scores depend on the rows alone and not on how they are stored or spread.
 
-Data flow. A batch of neighbouring documents sends each bucket of contexts its distinct (context, word) pairs with their training counts, once per batch however often they occur. A bucket seats whole restaurants; a context with more than `HOT` tokens is dealt over several buckets by word, and its parts tell each other their totals in the same exchange that carries tables to the unigram restaurant, which is dealt over `homes` by word. After `rounds` exchanges the buckets answer with the pairs' probabilities, which a batch adds up per document. What moves grows with the input; to the driver come eight sums and at most 65,536 hot words.
+Data flow. A batch of neighbouring documents sends each bucket of contexts its distinct (context, word) pairs with their training counts, once per batch however often they occur. A bucket seats whole restaurants; a context with more than `HOT` tokens is dealt over several buckets by word, and its parts tell each other their totals in the same exchange that carries tables to the unigram restaurant, which is dealt over `homes` by word. After `rounds` exchanges the buckets answer with the pairs' probabilities, which a batch adds up per document. What moves grows with the input; to the driver come eight sums and at most 65,535 words, the most frequent ones, which blobs name by rank.
 
 Defined results: a null or empty text has one token, its end; repeated rows count and are scored each; a null doc_id is hashed as empty text; an empty table gives no rows. With no training token every count is 0 and the model is its uniform base. Other columns are not read.
 """
@@ -30,8 +30,12 @@ from tidemark.llm.words import Words, mix
 END = np.uint64(0xE5D)
 #: Bytes of text in a batch.
 BATCH = 12 << 20
-#: Tokens of a context beyond which it is dealt over several buckets, and the most such contexts.
-HOT, MOST_HOT = 1 << 18, 1 << 16
+#: Tokens of a context beyond which it is dealt over several buckets (of the `OTHER` most frequent words).
+HOT = 1 << 18
+#: Most words that blobs name by rank; also the mark of a word that has none.
+OTHER = (1 << 16) - 1
+#: Log probabilities travel rounded to this part of 1.
+FINE = 1 << 14
 _STEP, _SWEEP, _PART, _TAG = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _56 = np.uint64((1 << 56) - 1)
 
@@ -63,9 +67,9 @@ def unpack(blob: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with an end after each text, the word before each, and the number of tokens of each text."""
-    hashes, before, sizes = [], [], []
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words with an end after each text, and the number of tokens of each text."""
+    hashes, sizes = [], []
     for lo, hi in runs(texts):
         words = Words(texts[lo:hi])
         size = np.diff(words.bounds) + 1
@@ -75,9 +79,8 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside[stop] = False
         h[inside] = words.hash >> np.uint64(8)
         hashes.append(h)
-        before.append(np.roll(h, 1))  # the first of each text follows the end of another
         sizes.append(size)
-    return np.concatenate(hashes), np.concatenate(before), np.concatenate(sizes)
+    return np.concatenate(hashes), np.concatenate(sizes)
 
 
 def _batches(batches, bytes_each: int = BATCH):
@@ -103,43 +106,70 @@ def _held_out(ids: list, modulus: int, rest: int) -> np.ndarray:
 
 def _word_counts(batches):
     for _, _, texts in _batches(batches):
-        word, n = np.unique(tokens(texts)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+        at, word = pd.factorize(tokens(texts)[0])
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(at))], ["word", "n"])
+
+
+class Known:
+    """The most frequent words, which blobs name by rank, and the parts that hot contexts are dealt in. Their number is bounded; what is not among them is named by its hash."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, hot: int):
+        self.words = words[:OTHER]
+        self.order = np.argsort(self.words)
+        self.parts = np.maximum(1, -(-counts[:OTHER] // hot)).astype(np.uint64)
+
+    def rank(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), OTHER, np.uint16)
+        at = self.order[np.minimum(np.searchsorted(self.words, words, sorter=self.order), len(self.words) - 1)]
+        return np.where(self.words[at] == words, at, OTHER).astype(np.uint16)
+
+    def parts_of(self, rank: np.ndarray) -> np.ndarray:
+        return np.append(self.parts, np.ones(OTHER + 1 - len(self.parts), np.uint64))[rank]
+
+    def short(self, words: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words as ranks and, in order, those that have none."""
+        return rank, words[rank == OTHER]
+
+    def full(self, rank: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = np.append(self.words, np.zeros(OTHER + 1 - len(self.words), np.uint64))[rank]
+        out[rank == OTHER] = others
+        return out
 
 
 @dataclass
 class Batch:
-    """The distinct pairs of some documents, by bucket, context and word, and every token's pair."""
+    """The distinct pairs of some documents, by bucket and context, and every token's pair."""
 
     context: np.ndarray
     word: np.ndarray
+    context_rank: np.ndarray
+    word_rank: np.ndarray
     edges: np.ndarray
     pair: np.ndarray
     sizes: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[bytes], buckets: int, hot: dict[int, int]) -> Batch:
-        h, before, sizes = tokens(texts)
-        words, w = np.unique(h, return_inverse=True)
-        keys, pair = np.unique(np.searchsorted(words, before) * len(words) + w, return_inverse=True)
+    def of(cls, texts: list[bytes], buckets: int, known: Known) -> Batch:
+        h, sizes = tokens(texts)
+        w, words = pd.factorize(h)
+        # The word before a text's first word is the end of the text before; that of the very first is the last end.
+        pair, keys = pd.factorize(np.roll(w, 1) * len(words) + w)
         at, w = keys // len(words), keys % len(words)
-        parts = np.ones(len(words), np.uint64)
-        for x, n in hot.items():
-            k = int(np.searchsorted(words, np.uint64(x)))
-            if k < len(words) and words[k] == x:
-                parts[k] = n
-        part = mix(words)[w] % parts[at]
+        rank, mixed = known.rank(words), mix(words)
+        part = mixed[w] % known.parts_of(rank)[at]
         bucket = mix(words[at] + part * _PART) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.int64) * len(words) + at)
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
-        return cls(words[at[order]], words[w[order]], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)), place[pair], sizes)
+        at, w = at[order], w[order]
+        return cls(words[at], words[w], rank[at], rank[w], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)), place[pair], sizes)
 
 
-def _requests(buckets: int, hot: dict[int, int], modulus: int, rest: int):
+def _requests(buckets: int, known: Known, modulus: int, rest: int):
     def run(batches):
         for k, ids, texts in _batches(batches):
-            b = Batch.of(texts, buckets, hot)
+            b = Batch.of(texts, buckets, known)
             train = np.repeat(~_held_out(ids, modulus, rest), b.sizes)
             trained = np.bincount(b.pair, weights=train, minlength=len(b.word)).astype(np.uint32)
             rows, blobs = [], []
@@ -148,18 +178,18 @@ def _requests(buckets: int, hot: dict[int, int], modulus: int, rest: int):
                 context = b.context[i:j]
                 first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
                 rows.append(x)
-                blobs.append(pack(context[first], np.diff(np.append(first, j - i)).astype(np.uint32), b.word[i:j], trained[i:j]))
+                blobs.append(pack(*known.short(context[first], b.context_rank[i:j][first]), np.diff(np.append(first, j - i)).astype(np.uint32), *known.short(b.word[i:j], b.word_rank[i:j]), trained[i:j]))
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["batch", "bucket", "pairs"])
 
     return run
 
 
-def _streams(buckets: int, hot: dict[int, int], modulus: int, rest: int):
+def _streams(buckets: int, known: Known, modulus: int, rest: int):
     """Each document's pairs, whose order doesn't matter, sorted and as differences."""
 
     def run(batches):
         for k, ids, texts in _batches(batches):
-            b = Batch.of(texts, buckets, hot)
+            b = Batch.of(texts, buckets, known)
             owner = np.repeat(np.arange(len(ids)), b.sizes)
             pair = np.sort(owner * len(b.word) + b.pair) - owner * len(b.word)
             step = np.diff(pair, prepend=0)
@@ -206,7 +236,7 @@ def seat_on(n: int, t: float, c: int, a: float, d: float, key: np.uint64) -> flo
     return t
 
 
-def seat(customers: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, few: int = 256) -> np.ndarray:
+def seat(customers: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, few: int = 64) -> np.ndarray:
     """Tables after seating each dish's customers one after the other; new: the weight of an own table against n - d * tables for the taken ones. Many dishes go side by side, the few largest on by themselves, by the same probabilities."""
     order = np.argsort(-customers, kind="stable")
     c, a, k = customers[order], new[order], key[order]
@@ -248,18 +278,18 @@ class Sums:
 class Bucket:
     """All that the batches asked about the contexts of one bucket, and the seating of these restaurants."""
 
-    def __init__(self, blobs: list[bytes], hot: dict[int, int], how: Sampling):
-        asked = [unpack(x, np.uint64, np.uint32, np.uint64, np.uint32) for x in blobs]
-        self.how, self.n_pairs = how, [len(a[2]) for a in asked]
-        self.contexts, context = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        context = np.repeat(context, np.concatenate([a[1] for a in asked]))
-        self.words, word = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
-        keys, self.asked = np.unique(context * len(self.words) + word, return_inverse=True)
-        self.c = np.bincount(self.asked, weights=np.concatenate([a[3] for a in asked]), minlength=len(keys)).astype(np.int64)
+    def __init__(self, blobs: list[bytes], known: Known, how: Sampling):
+        asked = [unpack(x, np.uint16, np.uint64, np.uint32, np.uint16, np.uint64, np.uint32) for x in blobs]
+        self.how, self.n_pairs = how, [len(a[3]) for a in asked]
+        context, self.contexts = pd.factorize(np.concatenate([known.full(*a[:2]) for a in asked]))
+        context = np.repeat(context, np.concatenate([a[2] for a in asked]))
+        word, self.words = pd.factorize(np.concatenate([known.full(*a[3:5]) for a in asked]))
+        self.asked, keys = pd.factorize(context * len(self.words) + word)
+        self.c = np.bincount(self.asked, weights=np.concatenate([a[5] for a in asked]), minlength=len(keys)).astype(np.int64)
         self.ctx, self.word = keys // len(self.words), keys % len(self.words)
         self.key = mix(self.contexts[self.ctx] * _PART + self.words[self.word])
         self.t = np.minimum(self.c, 1)
-        self.split = np.flatnonzero(np.isin(self.contexts, np.fromiter(hot, np.uint64, len(hot))))
+        self.split = np.flatnonzero(known.parts_of(known.rank(self.contexts)) > 1)
         self.elsewhere = np.zeros((2, len(self.contexts)), np.int64)
 
     def per_context(self) -> tuple[np.ndarray, np.ndarray]:
@@ -303,23 +333,23 @@ def home_tables(key: np.ndarray, customers: np.ndarray, sums: Sums | None, how:
     return seat(customers, np.full(len(key), (how.strength + d * sums.tables) / (sums.kinds + 1)), d, mix(key) + _times(how.seed * 1000 + 500 + k, _SWEEP))
 
 
-def hot_contexts(docs: DataFrame) -> dict[int, int]:
-    """The contexts that are dealt over several buckets, with their number of parts."""
+def known_words(docs: DataFrame) -> Known:
+    """The most frequent words of the documents."""
     counts = docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") > HOT).orderBy(F.desc("n"), "word").limit(MOST_HOT).collect()
-    return {r.word: -(-r.n // HOT) for r in rows}
+    rows = counts.orderBy(F.desc("n"), "word").limit(OTHER).toPandas()
+    return Known(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), HOT)
 
 
 SUMS = tuple(Sums.__dataclass_fields__)
 
 
-def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Sampling(), bucket_mb: float = 5) -> DataFrame:  # noqa: B008
+def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Sampling(), bucket_mb: float = 8) -> DataFrame:  # noqa: B008
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with crc32(doc_id) % modulus = rest are held out of training. The rows of a partition must come in the same order whenever it is computed, as those of files do."""
     buckets = pieces(docs, bucket_mb, 4)
     homes = max(4, buckets // 2)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hot = hot_contexts(docs)
-    asked = docs.mapInArrow(_requests(buckets, hot, modulus, rest), "batch long, bucket int, pairs binary")
+    known = known_words(docs)
+    asked = docs.mapInArrow(_requests(buckets, known, modulus, rest), "batch long, bucket int, pairs binary")
 
     def tell(bucket: int, b: Bucket) -> pd.DataFrame:
         keys, count, tables = b.told()
@@ -364,7 +394,7 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Samp
 
     def opened(part: pd.DataFrame) -> tuple[pd.DataFrame, Bucket]:
         part = part.sort_values("batch")
-        return part, Bucket(part["pairs"].tolist(), hot, how)
+        return part, Bucket(part["pairs"].tolist(), known, how)
 
     told_schema = "home int, bucket int, told binary, ones1 long, twos1 long"
     first = asked.groupBy("bucket").applyInPandas(lambda part: tell(int(part["bucket"].iloc[0]), opened(part)[1]), told_schema)
@@ -391,16 +421,16 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Samp
             b.sweep(100 + s)
             if s >= how.burn_in:
                 mean += b.probability() / how.samples
-        log, count = np.log10(mean).astype(np.float32)[b.asked], b.count[b.word].astype(np.uint32)[b.asked]
+        log, count = np.round(np.log10(mean) * -FINE).astype(np.uint32)[b.asked], b.count[b.word].astype(np.uint64)[b.asked]
         at = np.append(0, np.cumsum(b.n_pairs))
         return pd.DataFrame({"batch": part["batch"], "bucket": part["bucket"], "answer": [pack(log[i:j], count[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]})
 
     answers = asked.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInPandas(answer, "batch long, bucket int, answer binary")
-    streams = docs.mapInArrow(_streams(buckets, hot, modulus, rest), "batch long, stream binary")
+    streams = docs.mapInArrow(_streams(buckets, known, modulus, rest), "batch long, stream binary")
 
     def add_up(stream: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         ids, unnamed, held, sizes, step = unpack(stream["stream"].iloc[0], np.int64, bool, bool, np.uint32, np.uint32)
-        got = [unpack(x, np.float32, np.uint32) for x in answer.sort_values("bucket")["answer"]]
+        got = [unpack(x, np.uint32, np.uint64) for x in answer.sort_values("bucket")["answer"]]
         log, count = (np.concatenate([g[k] for g in got]).astype(float) for k in (0, 1))
         base = np.log10((count + 0.5) / (sums.train + 0.5 * (sums.kinds + 1)))
         sizes = sizes.astype(np.int64)
@@ -408,7 +438,7 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Samp
         total = np.cumsum(step.astype(np.int64))
         pair = total - np.repeat(total[begin] - step[begin], sizes)
         summed = lambda x: np.add.reduceat(x[pair], begin)
-        out = pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": sizes, "n_known": summed((count > 0).astype(np.int64)), "train_tokens": sums.train, "base_score": summed(base), "score": summed(log)})
+        out = pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": sizes, "n_known": summed((count > 0).astype(np.int64)), "train_tokens": sums.train, "base_score": summed(base), "score": summed(log / -FINE)})
         out["doc_id"] = out["doc_id"].astype("Int64").mask(unnamed)
         return out
 
