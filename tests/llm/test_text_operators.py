@@ -114,7 +114,7 @@ def test_pitman_yor_is_the_dense_sampler(documents):
     assert all(x == pytest.approx(1) for x in total.values())
     for mb in (8, 1e-4):
         got = {r.doc_id: r for r in pitman_yor.score(documents(data), bucket_mb=mb).collect()}
-        assert {i: r.score for i, r in got.items()} == pytest.approx(want, abs=2e-3)
+        assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=3e-5)
     held = [r for r in got.values() if r.held_out and r.doc_id >= 100]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 

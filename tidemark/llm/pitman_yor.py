@@ -34,8 +34,6 @@ BATCH = 12 << 20
 HOT = 1 << 18
 #: Most words that blobs name by rank; also the mark of a word that has none.
 OTHER = (1 << 16) - 1
-#: Log probabilities travel rounded to this part of 1.
-FINE = 1 << 14
 _STEP, _SWEEP, _PART, _TAG = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _56 = np.uint64((1 << 56) - 1)
 
@@ -252,6 +250,11 @@ def seat(customers: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, few:
     return out
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Numbers to 16 significant bits: single-precision floats without their lowest byte."""
+    return (x.astype(np.float32).view(np.uint32) + np.uint32(128)) >> np.uint32(8)
+
+
 def discount(ones: float, twos: float) -> float:
     return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
 
@@ -421,7 +424,7 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Samp
             b.sweep(100 + s)
             if s >= how.burn_in:
                 mean += b.probability() / how.samples
-        log, count = np.round(np.log10(mean) * -FINE).astype(np.uint32)[b.asked], b.count[b.word].astype(np.uint64)[b.asked]
+        log, count = rounded(np.log10(mean))[b.asked], b.count[b.word].astype(np.uint64)[b.asked]
         at = np.append(0, np.cumsum(b.n_pairs))
         return pd.DataFrame({"batch": part["batch"], "bucket": part["bucket"], "answer": [pack(log[i:j], count[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]})
 
@@ -431,15 +434,19 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Samp
     def add_up(stream: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         ids, unnamed, held, sizes, step = unpack(stream["stream"].iloc[0], np.int64, bool, bool, np.uint32, np.uint32)
         got = [unpack(x, np.uint32, np.uint64) for x in answer.sort_values("bucket")["answer"]]
-        log, count = (np.concatenate([g[k] for g in got]).astype(float) for k in (0, 1))
+        log = (np.concatenate([g[0] for g in got]) << np.uint32(8)).view(np.float32).astype(float)
+        count = np.concatenate([g[1] for g in got]).astype(float)
         base = np.log10((count + 0.5) / (sums.train + 0.5 * (sums.kinds + 1)))
         sizes = sizes.astype(np.int64)
         begin = np.append(0, np.cumsum(sizes)[:-1])
         total = np.cumsum(step.astype(np.int64))
         pair = total - np.repeat(total[begin] - step[begin], sizes)
         summed = lambda x: np.add.reduceat(x[pair], begin)
-        out = pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": sizes, "n_known": summed((count > 0).astype(np.int64)), "train_tokens": sums.train, "base_score": summed(base), "score": summed(log / -FINE)})
+        out = pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": sizes, "n_known": summed((count > 0).astype(np.int64)), "train_tokens": sums.train, "base_score": summed(base), "score": summed(log)})
         out["doc_id"] = out["doc_id"].astype("Int64").mask(unnamed)
         return out
 
-    return streams.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = streams.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = materialise(out)
+    release(docs.sparkSession)
+    return out
