@@ -25,34 +25,59 @@ def words(t):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
 
 
+# Notices of well-known licences, as their texts begin or as files carry them.
+NOTICES = {
+    "MIT": ["Copyright (c) 2021 Acme", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "GPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "You should have received a copy of the GNU General Public License along with this program."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+}
+BSD = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation."]
+NOTICES["BSD-2-Clause"] = [*BSD, "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."]
+NOTICES["BSD-3-Clause"] = [*BSD, "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software.", NOTICES["BSD-2-Clause"][-1]]
+
+
 def test_licences(documents):
-    rows = licences.scan(documents([*HARD, (10, "Code.\nLicensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License."), (11, "Released under the MIT License. This work is licensed under CC BY-NC 4.0."), (12, "A licence of my own.")])).collect()
-    got = {r.doc_id: (r.licences, r.n_unmatched) for r in rows}
-    assert len(rows) == len(HARD) + 3
-    assert got[10] == ("Apache-2.0", 0)
-    assert got[11] == ("CC-BY-NC,MIT", 0)
-    assert got[12] == ("", 1)
-    assert got[1] == got[2] == ("", 0)
-
-
-def test_pitman_yor_counts_and_probabilities(documents):
-    rng = random.Random(1)
-    data = [*HARD[:-1], *[(100 + i, prose(rng, 40)) for i in range(60)]]
-    got = sorted((r.doc_id, r) for r in pitman_yor.score(documents(data)).collect())
-    train = Counter()
-    for i, t in data:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            train.update([*words(t), "</end>"])
-    n, v = sum(train.values()), len(train)
-    want = {}
-    for i, t in data:
-        tok = [*words(t), "</end>"]
-        want[i] = (len(tok), sum(w in train for w in tok), n, sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok))
-    assert len(got) == len(data)
-    for i, r in got:
-        assert (r.n_tokens, r.n_known, r.train_tokens) == want[i][:3]
-        assert r.base_score == pytest.approx(want[i][3])
-        assert r.score < 0
+    import textwrap
+
+    data, want = list(HARD), {}
+    for k, (name, parts) in enumerate(NOTICES.items()):
+        for j, (columns, lead) in enumerate(((72, ""), (80, ""), (72, "// "), (72, " * "), (60, "# "))):
+            lines = "\n\n".join(textwrap.fill(p, columns) for p in parts).split("\n")
+            data.append((100 + 10 * k + j, "code();\n\n" + "\n".join(f"{lead}{x}".rstrip() for x in lines) + "\n\nmore();"))
+            want[100 + 10 * k + j] = name
+    more = [
+        ("Copyright 2021 Acme, licensed under the Apache License, Version 2.0", "Apache-2.0"),
+        ("Not licensed under the Apache License, Version 2.0.", ""),
+        ("Released under the MIT License. This work is licensed under CC BY-NC 4.0.", "CC-BY-NC,MIT"),
+        ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */", "Apache-2.0,MIT"),
+        ("# SPDX-License-Identifier: Zed-9.1", "zed-9.1"),
+        ("A licence of my own.", ""),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ]
+    for k, (text, name) in enumerate(more):
+        data.append((300 + k, text))
+        want[300 + k] = name
+    rows = licences.scan(documents(data)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(data)
+    assert {i: got[i].licences for i in want} == want
+    assert got[305].n_unmatched == 1
+    assert got[1].licences == got[2].licences == ""
+    assert licences.scan(documents([])).count() == 0
+
+
+def test_licences_sql_agrees(documents):
+    import duckdb
+
+    data = [(k, "\n".join(parts).replace(". ", ".\n")) for k, parts in enumerate(NOTICES.values())] + HARD[:-1]
+    documents_table = documents(data).select("doc_id", "text").toPandas()
+    with duckdb.connect() as db:
+        db.register("documents", documents_table)
+        want = db.execute(licences.ORACLE_SQL).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in licences.scan(documents(data)).collect())
 
 
 def dense_model(data, how):

@@ -29,7 +29,7 @@ from tidemark.llm.words import Words, mix
 #: Words are known by 56 bits of their hash; this one is a text's end and also what stands before its first word.
 END = np.uint64(0xE5D)
 #: Bytes of text in a batch.
-BATCH = 12 << 20
+BATCH = 6 << 20
 #: Tokens of a context beyond which it is dealt over several buckets (of the `OTHER` most frequent words).
 HOT = 1 << 18
 #: Most words that blobs name by rank; also the mark of a word that has none.
@@ -86,7 +86,7 @@ def _batches(batches, bytes_each: int = BATCH):
     ids: list = []
     texts: list[bytes] = []
     size, k = 0, TaskContext.get().partitionId() << 24
-    for batch in batches:
+    for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
         for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
             if size and size + len(text) > bytes_each:
                 yield k, ids, texts
@@ -346,7 +346,7 @@ def known_words(docs: DataFrame) -> Known:
 SUMS = tuple(Sums.__dataclass_fields__)
 
 
-def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Sampling(), bucket_mb: float = 8) -> DataFrame:  # noqa: B008
+def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Sampling(), bucket_mb: float = 6) -> DataFrame:  # noqa: B008
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with crc32(doc_id) % modulus = rest are held out of training. The rows of a partition must come in the same order whenever it is computed, as those of files do."""
     buckets = pieces(docs, bucket_mb, 4)
     homes = max(4, buckets // 2)
