@@ -208,6 +208,7 @@ def test_contextual_pii(documents):
     assert got[100].n_phone == 0
     assert got[100].base_sha256 == hashlib.sha256(b"").hexdigest()
     clean = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert got[100].n_spans == 1
     assert clean[219].text.count("[PHONE]") == 1
     assert "555-010-2222" not in clean[100].text
     assert "555-010-3333" in clean[101].text
@@ -370,11 +371,11 @@ def test_quality_ledger(documents):
 
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "x" * 3000
-    rows = [(1, "http://a/", long), (2, "http://b/\r\nX: y", long), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "u", "é" * 900), (None, "u", long), (2, "u", long)]
+    rows = [(1, "http://a/", long), (2, "http://b/\r\nX: y", long), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "u", "é" * 900), (None, "u", long), (2, "u", long), (9, "http://h/" + "u" * (3 << 20), "long address")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = warc.round_trip(spark, pages).collect()
     kinds = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in got)
-    assert kinds == sorted([(1, "revisit", 2, 3003), (2, "response", 0, 3003), (2, "response", 0, 3003), (0, "revisit", 2, 3003), (3, "response", 0, 0), (4, "response", 0, 5), (5, "response", 0, 5), (6, "response", 0, 1800)])
+    assert kinds == sorted([(1, "revisit", 2, 3003), (2, "response", 0, 3003), (2, "response", 0, 3003), (0, "revisit", 2, 3003), (3, "response", 0, 0), (4, "response", 0, 5), (5, "response", 0, 5), (6, "response", 0, 1800), (9, "response", 0, 12)])
     assert {r.payload_digest for r in got} == {hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in rows}
 
 
@@ -409,6 +410,16 @@ def test_decontamination(documents, spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_judges_rows(documents, spark):
+    item = "A train leaves with Alice toward the coast and covers 60 km in 3 hours before it meets another train coming"
+    one, two = item.replace("Alice", "Robert").replace("60", "75"), item.replace("Alice", "Carla").replace("3 hours", "8 days")
+    bench = spark.createDataFrame([(1, item), (1, "unlike the other text of this item in every word there is"), (None, "four words of none")], "item_id long, text string")
+    docs = documents([(7, one), (7, two), (7, "nothing of it"), (None, one), (None, two), (None, None)])
+    assert sorted(r.contaminated for r in decontaminate.decontaminate(docs, bench).collect()) == [False] * 2 + [True] * 4
+    assert {r.text for r in decontaminate.keep_clean(docs, bench).collect()} == {"nothing of it", None}
+    assert decontaminate.decontaminate(documents([]), bench).count() == 0
+
+
 def test_decontamination_of_short_and_dense_questions(documents, spark):
     rng = random.Random(11)
     bench = spark.createDataFrame(

@@ -2,16 +2,16 @@
 
 Words are canonicalised: numbers, names (capitalised words inside a sentence) and units become typed placeholders, other words lose case and ASCII punctuation; words of punctuation alone vanish. Each text is read three ways: with placeholders; with placeholders that count a sentence's first word as a name too if it is capitalised, as a name may stand there; and with every word literal, so that texts in capitals, whose every word would be a name, are met as well.
 
-A template window has eight words, or as many more as it takes to hold five literals, so that questions dense with numbers have windows too; where its end follows from its words alone, documents and items agree on it. An item that has no such window, having less than five literals, is one window as a whole if it has five words and a literal among them. Literal windows have eight words; an item of fewer is one literal window as a whole, however short. Windows of the benchmark and of the documents are hash-joined; a fixed-size membership filter over the benchmark's windows keeps nearly all document windows from the join. A joined run (same document, item, reading and offset) counts if its slots are consistent: each benchmark value stands for one document value and the other way round, so that a re-parameterised question is caught and a coincidence of placeholders is not.
+A template window has eight words, or as many more as it takes to hold five literals, so that questions dense with numbers have windows too; where its end follows from its words alone, documents and items agree on it. An item that has no such window, having less than five literals, is one window as a whole if it has five words and a literal among them. Literal windows have eight words; an item of fewer is one literal window as a whole, however short. Windows of the benchmark and of the documents are hash-joined; a fixed-size membership filter over the benchmark's windows keeps nearly all document windows from the join. A joined run (same row, item, reading and offset) counts if its slots are consistent: each benchmark value stands for one document value and the other way round, so that a re-parameterised question is caught and a coincidence of placeholders is not.
 
-Defined results: null and empty texts match nothing; items may repeat; an item of words that are all numbers, names or units is met word for word only; rows that repeat a doc_id share what was found; a null doc_id is judged by its own row's windows as one group of null ids; empty tables give no rows, or rows without findings. Columns besides doc_id, text and item_id are not read.
+Defined results: null and empty texts match nothing; items may repeat; an item of words that are all numbers, names or units is met word for word only; each row is judged by its own text, also where a doc_id or item_id is null or repeated; empty tables give no rows, or rows without findings. Columns besides doc_id, text and item_id are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
@@ -87,11 +87,11 @@ TEMPLATE, NAMED, BARE = range(3)
 
 
 def _windows(whole: list[tuple[int, bool]], held: np.ndarray | None, items: bool):
-    """(id, h, pos, slots, kind) of each text's windows; held: only those that the filter lets through. Of an item also the window that is its whole text, where it has no other; of a document those of the sizes in whole, (words, literal or not)."""
+    """(id, row, h, pos, slots, kind) of each text's windows, from (id, row, text); held: only those that the filter lets through. Of an item also the window that is its whole text, where it has no other; of a document those of the sizes in whole, (words, literal or not)."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), byte_texts(batch.column(1))
+            ids, numbers, texts = batch.column(0), batch.column(1), byte_texts(batch.column(2))
             for lo, hi in runs(texts):
                 code, named, literal, owner = template(texts[lo:hi])
                 size = np.bincount(owner, minlength=hi - lo)
@@ -130,45 +130,51 @@ def _windows(whole: list[tuple[int, bool]], held: np.ndarray | None, items: bool
                     for s, e, x in zip(start[keep].tolist(), end[keep].tolist(), h[keep].view(np.int64).tolist(), strict=True):
                         rows.append((int(owner[s]), x, s - int(base[owner[s]]), np.zeros(e - s, np.int64) if kind == BARE else value[s:e], kind))
                 text, h, pos, slots, kinds = zip(*rows, strict=True) if rows else ([],) * 5
+                at = pa.array(text, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(text, pa.int64())), pa.array(h, pa.int64()), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.int64())), pa.array(kinds, pa.int32())], ["id", "h", "pos", "slots", "kind"]
+                    [ids.slice(lo, hi - lo).take(at), numbers.slice(lo, hi - lo).take(at), pa.array(h, pa.int64()), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.int64())), pa.array(kinds, pa.int32())], ["id", "row", "h", "pos", "slots", "kind"]
                 )
 
     return run
 
 
+def _row() -> Column:
+    """Rows are told apart by their text besides their id; rows that agree in both are found alike."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows of consistent matches."""
-    rows = "id long, h long, pos long, slots array<long>, kind int"
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows([], None, True), rows)
+    """doc_id, row, item_id, n_windows of consistent matches."""
+    rows = "id long, row long, h long, pos long, slots array<long>, kind int"
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), _row().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_windows([], None, True), rows)
     items = materialise(items.distinct())
     bare = F.col("kind") == BARE
     literals = F.size(F.filter("slots", lambda x: x == 0))
     sizes = items.filter(F.when(bare, F.size("slots") < WIDTH).otherwise(literals < LITERALS) | (F.size("slots") < WIDTH)).select(F.size("slots"), bare).distinct()
     whole = sorted((n, b) for n, b in sizes.collect())
     held = bloom.build(items.select("h"), FILTER_BITS)
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(whole, held, False), rows)
-    both = found.select(F.col("id").alias("doc_id"), "h", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items.select(F.col("id").alias("item_id"), "h", "pos", "slots", "kind"), "h")
-    run = both.select("doc_id", "item_id", "kind", (F.col("at") - F.col("pos")).alias("shift"), "at", F.explode(F.arrays_zip("slots", "theirs")).alias("z"))
-    slots = run.groupBy("doc_id", "item_id", "shift", "kind").agg(
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), _row().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(whole, held, False), rows)
+    both = found.select(F.col("id").alias("doc_id"), "row", "h", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "h", "pos", "slots", "kind"), "h")
+    run = both.select("doc_id", "row", "item_id", "item_row", "kind", (F.col("at") - F.col("pos")).alias("shift"), "at", F.explode(F.arrays_zip("slots", "theirs")).alias("z"))
+    slots = run.groupBy("doc_id", "row", "item_id", "item_row", "shift", "kind").agg(
         F.count_distinct("at").alias("n"),
         F.count_distinct(F.when(F.col("z.slots") != 0, F.col("z.slots"))).alias("a"),
         F.count_distinct(F.when(F.col("z.slots") != 0, F.col("z.theirs"))).alias("b"),
         F.count_distinct(F.when(F.col("z.slots") != 0, F.struct("z.slots", "z.theirs"))).alias("both"),
     )
-    return slots.filter("a = both and b = both").groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("n")).groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"))
+    return slots.filter("a = both and b = both").groupBy("doc_id", "row", "item_id", "item_row", "shift").agg(F.max("n").alias("n")).groupBy("doc_id", "row", "item_id").agg(F.sum("n").alias("n_windows"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_windows, item_ids (comma-joined, ascending) of every row."""
-    per_doc = findings(docs, benchmark).groupBy(F.col("doc_id").alias("found")).agg(F.sum("n_windows").alias("n"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["found"]), "left").select(
+    per_doc = findings(docs, benchmark).groupBy(F.col("doc_id").alias("found"), F.col("row").alias("found_row")).agg(F.sum("n_windows").alias("n"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"))
+    return rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["found"]) & (rows["row"] == per_doc["found_row"]), "left").select(
         "doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("long").alias("n_windows"), F.concat_ws(",", F.col("items").cast("array<string>")).alias("item_ids")
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which nothing of the benchmark was found, with all columns."""
-    gone = findings(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    gone = findings(docs, benchmark).select(F.col("doc_id").alias("__gone"), F.col("row").alias("__row")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__row"]), "left_anti")

@@ -25,6 +25,8 @@ from tidemark.llm.words import Words, windows
 
 KINDS = ("email", "ip", "card", "phone")
 FILTER_BITS = 1 << 22
+#: Sets the keys of a context apart by kind.
+_KIND = 0x2545F4914F6CDD1
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # The contract's patterns; possessive forms and look-behinds only keep failing starts from being tried again.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -230,7 +232,7 @@ def confident_patterns(texts: DataFrame, entities: DataFrame, support: int = 3,
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered, n_spans (of every kind, discovered ones too) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = materialise(rows.mapInArrow(_extract, EXTRACTED))
     entities = read.select("uid", F.explode("entities").alias("e")).select("uid", "e.*")
@@ -240,7 +242,7 @@ def find(docs: DataFrame) -> DataFrame:
     every = F.array_sort(F.concat(old, F.coalesce("found", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))))
     name = F.array(*[F.lit(k) for k in KINDS])
     said = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return read.join(new, "uid", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", said.alias("spans"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_discovered"))
+    return read.join(new, "uid", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", said.alias("spans"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_discovered"), F.size(every).cast("long").alias("n_spans"))
 
 
 def mask(text: str | None, spans: str | None) -> str | None:
@@ -262,8 +264,8 @@ def redact(docs: DataFrame) -> DataFrame:
     entities = read.select("uid", F.explode("entities").alias("e")).select("e.*")
     patterns = materialise(confident_patterns(rows, materialise(entities)))
     found = entities.filter("not seed").join(patterns.select("ctx", "kind"), ["ctx", "kind"])
-    # Only how an unmatched token is written decides here, together with its context; contexts that discover something are few, and their filter has a fixed size.
-    held = bloom.build(found.select("ctx").distinct(), FILTER_BITS)
+    # Only how an unmatched token is written decides here, together with its context and kind; contexts that discover something are few, and their filter has a fixed size.
+    held = bloom.build(found.select(F.col("ctx").bitwiseXOR(F.col("kind").cast("long") * _KIND).alias("key")).distinct(), FILTER_BITS)
 
     @F.pandas_udf("string")
     def masked(text: pd.Series) -> pd.Series:
@@ -273,7 +275,7 @@ def redact(docs: DataFrame) -> DataFrame:
             if t and held.any():
                 more = candidates(t, spans)
                 ctx = _left_contexts(_left_words(t, [a for _, a, _ in more])) if more else []
-                spans += [s for s, c in zip(more, ctx, strict=True) if c is not None and bloom.lets_through(held, np.array([c], np.int64))[0]]
+                spans += [s for s, c in zip(more, ctx, strict=True) if c is not None and bloom.lets_through(held, np.array([c ^ (s[0] * _KIND)], np.int64))[0]]
             out.append(mask(t, joined(spans)))
         return pd.Series(out)
 

@@ -2,7 +2,7 @@
 
 The writer compresses each page once, finds the newest page of every payload by its SHA-1, and lets the others of the payload refer to it. Each task writes its own archives into the shared folder and reports their paths; only reported archives are read, so a task that was lost and run again leaves no double records.
 
-The reader inflates a member piece by piece, takes header lines until the empty line, then exactly Content-Length bytes, and compares the block's digest, and a response's payload digest, with the header. Memory is bounded by the read size (and by one payload where payloads are asked for).
+The reader inflates a member piece by piece, takes header lines until the empty line, then exactly Content-Length bytes, and compares the block's digest, and a response's payload digest, with the header. Memory is bounded by the read size and one record's header, whose length follows that of its url (and by one payload where payloads are asked for).
 
 Defined results: a null page is empty; pages under `least` bytes are never revisits; of equal payloads the largest page_id is the response (rows that repeat it too), and a null page_id is never referred to: it revisits a named page of the payload, or is a response where there is none. Empty tables give no archives and no rows. Other columns are not read.
 """
@@ -77,12 +77,15 @@ class _Inflated:
                 return got
         return b""
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        held = self.ready
-        while mark not in held:
-            if len(held) > most or not (got := self.more()):
+    def until(self, mark: bytes) -> bytes:
+        held = bytearray(self.ready)
+        seen = 0
+        while held.find(mark, seen) < 0:
+            seen = max(0, len(held) - len(mark) + 1)
+            if not (got := self.more()):
                 raise Bad("a header without an end")
             held += got
+        held = bytes(held)
         head, _, self.ready = held.partition(mark)
         return head
 
