@@ -258,7 +258,7 @@ def test_near_duplicates_are_exact(documents):
             for _ in range(rng.randrange(7)):
                 x[rng.randrange(len(x))] = rng.choice(WORDS)
             data.append((100 + 20 * g + k, " ".join(x)))
-    rows = near.near_duplicates(documents(data), region=4, block=8).collect()
+    rows = near.near_duplicates(documents(data), region=4, reach=2).collect()
     ids = [i for i, _ in data if i is not None]
     parent = {i: i for i in ids}
 

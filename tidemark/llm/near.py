@@ -1,13 +1,13 @@
 """Near-duplicate documents: an LSH forest proposes, full shingle sets decide, links make components.
 
 1. Documents with equal shingle sets collapse into one representative, the smallest doc_id.
-2. A representative has a MinHash signature of 128 values. The forest has 32 trees; a tree is a fixed order of signature positions, and its rows are sorted by that prefix. Neighbours share a prefix of 4 values at least: a link at similarity s is missed by all trees with probability (1-s**4)**32, 5e-6 at 0.75.
+2. A representative has a MinHash signature of 128 values. The forest has 32 trees; a tree is a fixed order of signature positions, by which its rows are sorted. Rows that share a prefix of `FIRST` values are a region: a link at similarity s is missed by all trees with probability (1-s**4)**32, 5e-6 at 0.75.
 3. Every representative is compared with the first of the smallest region that any tree puts it in. Most links of a group come from this, one comparison each.
-4. Regions that still hold several components are searched. A region of at most `region` rows yields its pairs between components. A larger one is split at the next depth (adaptive depth) until its parts are small, and every row outside the region's largest component is compared with that whole component. These links come cheaply but not all do.
-   So the rows of larger regions that still hold several components then are joined with each other by an exact prefix filter, whatever their number: shingles are ordered by how rare they are, and of two linked sets the smaller one's first shingles of about a seventh and the larger one's of about a quarter meet in one shingle, at places that leave room for enough more. Crowded regions lose nothing.
-5. Comparisons use full shingle sets; 100 * intersection >= 75 * union links.
+4. Of regions that still hold several components each tree's sorted order is walked: a row is compared with the `reach` rows before it, its neighbours of the longest common prefix, so that depth adapts to how crowded a region is.
+5. Regions that hold several components even so are searched whole. One of at most `region` rows yields its pairs between components. The rows of larger ones are joined with each other by an exact prefix filter, whatever their number: shingles are ordered by how rare they are, and of two linked sets the smaller one's first shingles of about a seventh and the larger one's of about a quarter meet in one shingle, at places that leave room for enough more. Crowded regions lose nothing.
+6. Comparisons use full shingle sets; 100 * intersection >= 75 * union links. In steps 4 and 5 pairs inside a region are compared only if their signatures agree in at least four standard deviations fewer places than expected at the threshold (3e-5 to lose a link there).
 
-The comparison of many with a component goes in blocks of about `block` rows on either side, through an inverted index, so that no task holds a group. Hot keys are counted map-side before they are joined, and adaptive execution splits skewed joins.
+Pairs inside a component are never made. Hot keys are counted map-side before they are joined, and adaptive execution splits skewed joins.
 
 Defined results: null or empty text, or text without words, has n_shingles 0 and is linked with nothing; its component is its own doc_id. Fewer than five words are one shingle. Rows that repeat a doc_id are one document, whose texts may link to others each. A null doc_id belongs to no component (null) and is kept. An empty table gives no rows. Other columns are not read.
 """
@@ -25,8 +25,8 @@ from tidemark.llm.graph import components
 from tidemark.llm.words import Words, shingle_set
 
 HASHES, TREES = 128, 32
-#: Prefix lengths at which regions are looked at.
-DEPTHS = (4, 6, 9, 13, 18)
+#: Values that a region's rows share at least, and values by which a tree's order sorts further.
+FIRST, FURTHER = 4, 12
 #: Bits of the membership filter that spares most documents the second tokenisation.
 FILTER_BITS = 1 << 23
 #: Counters of the shingle counts that order shingles in the prefix filter; any order is right, a rare-first one is fast.
@@ -34,7 +34,7 @@ COUNTERS = 1 << 20
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_ORDERS = np.stack([_rng.permutation(HASHES)[: DEPTHS[-1]] for _ in range(TREES)])
+_ORDERS = np.stack([_rng.permutation(HASHES)[: FIRST + FURTHER] for _ in range(TREES)])
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -46,11 +46,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def prefix_keys(signatures: np.ndarray, depth: int) -> np.ndarray:
-    """For each signature, the key of its region at that depth in each tree."""
-    key = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth)
+def region_keys(signatures: np.ndarray) -> np.ndarray:
+    """For each signature, the key of its region in each tree."""
+    key = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(FIRST)
     key = np.broadcast_to(key, (len(signatures), TREES))
-    for k in range(depth):
+    for k in range(FIRST):
         key = (key ^ signatures[:, _ORDERS[:, k]].astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
         key = key ^ (key >> np.uint64(29))
     return key
@@ -75,34 +75,58 @@ def _sign(width: int):
     return run
 
 
-def _keys(depth: int):
-    """Rows (key, rid) of every tree at the first depth, from (rid, sig)."""
+def _keys(batches):
+    """Rows (key, rid) of every tree, from (rid, sig)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rid = batch.column(0).to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
+        for lo in range(0, len(rid), 4096):
+            keys = region_keys(sig[lo : lo + 4096])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rid[lo : lo + 4096], TREES))], ["key", "rid"])
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rid = batch.column(0).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
-            for lo in range(0, len(rid), 4096):
-                keys = prefix_keys(sig[lo : lo + 4096], depth)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rid[lo : lo + 4096], TREES))], ["key", "rid"])
 
-    return run
+def _places(batches):
+    """Rows (key, further, rid, comp, low) of the trees whose keys are given, from (rid, comp, sig, keys). further: the values that follow in the tree's order, as bytes that sort like them; low: the lowest byte of each value, enough to count agreements."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            rids, comps, sigs, lists = (c.to_pylist() for c in batch.slice(lo, 1024).columns)
+            sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, HASHES)
+            keys = region_keys(sig).view(np.int64)
+            row, tree = np.nonzero(np.stack([np.isin(o, k) for o, k in zip(keys, lists, strict=True)]))
+            further = sig[row[:, None], _ORDERS[tree, FIRST:]].astype(">u4")
+            low = sig.astype(np.uint8)
+            of = lambda x: pa.array(np.asarray(x, np.int64)[row])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, tree]), pa.array([x.tobytes() for x in further], pa.binary()), of(rids), of(comps), pa.array([low[i].tobytes() for i in row], pa.binary())], ["key", "further", "rid", "comp", "low"])
+
+
+def agreeing(percent: int) -> float:
+    """Least number of equal signature places of a pair worth comparing."""
+    p = percent / 100
+    return HASHES * p - 4 * (HASHES * p * (1 - p)) ** 0.5
 
 
-def _deeper(depth: int, before: int):
-    """Rows (key, rid) at a depth of the trees whose keys at the depth before are given: from (rid, sig, keys), so that a signature travels once however many trees go on."""
+def _neighbours(reach: int, percent: int):
+    """(a, b): the rows of a sorted order and those up to `reach` before them in the same region, of other components, whose signatures agree enough. Neighbours on different tasks are left to the search of regions."""
+    enough = agreeing(percent)
 
     def run(batches):
+        tail = None
         for batch in batches:
-            rids, sigs, lists = (c.to_pylist() for c in batch.columns)
-            if not rids:
+            if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, HASHES)
-            old, new = prefix_keys(sig, before).view(np.int64), prefix_keys(sig, depth).view(np.int64)
-            here = np.stack([np.isin(o, k) for o, k in zip(old, lists, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(new[here]), pa.array(np.repeat(np.array(rids, np.int64), here.sum(axis=1)))], ["key", "rid"])
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)]
+            cols = cols if tail is None else [np.concatenate([t, c]) for t, c in zip(tail, cols, strict=True)]
+            key, rid, comp, low = cols
+            a, b = [], []
+            for step in range(1, reach + 1):
+                at = np.flatnonzero((key[step:] == key[:-step]) & (comp[step:] != comp[:-step]))
+                at = at[(low[at] == low[at + step]).sum(axis=1) >= enough]
+                a.append(np.minimum(rid[at], rid[at + step]))
+                b.append(np.maximum(rid[at], rid[at + step]))
+            tail = [c[-reach:] for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
@@ -126,13 +150,6 @@ def _sets_of(wanted: np.ndarray, width: int):
     return run
 
 
-def _lowest_bytes(batches):
-    """(rid, sig) to (rid, low): a quarter of a signature, enough to count agreements."""
-    for batch in batches:
-        low = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["rid", "low"])
-
-
 def linked(n_a: int, n_b: int, shared: int, percent: int) -> bool:
     return 100 * shared >= percent * (n_a + n_b - shared)
 
@@ -153,38 +170,9 @@ def _compare(percent: int):
     return run
 
 
-def _against_block(percent: int):
-    """(rows xs of (rid, shingles), block of (rid, shingles)) to a link of each x with each block member that it is similar to; one link per x and block is enough, as the block's members are one component already."""
-
-    def run(batches):
-        for batch in batches:
-            for xs, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sets = [np.frombuffer(m["shingles"], np.uint64) for m in block]
-                sizes = np.array([len(s) for s in sets])
-                owner = np.repeat(np.arange(len(sets)), sizes)
-                flat = np.concatenate(sets)
-                order = np.argsort(flat, kind="stable")
-                flat, owner = flat[order], owner[order]
-                a, b = [], []
-                for x in xs:
-                    s = np.frombuffer(x["shingles"], np.uint64)
-                    lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                    n = hi - lo
-                    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    shared = np.bincount(owner[at], minlength=len(sets))
-                    hit = np.flatnonzero(100 * shared >= percent * (len(s) + sizes - shared))
-                    if len(hit):
-                        a.append(x["rid"])
-                        b.append(block[int(hit[0])]["rid"])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
 def _pairs_between(percent: int):
     """Lists of (rid, comp, low) of small regions to the pairs whose components differ and whose signatures agree in enough places: at the threshold, four standard deviations fewer than expected. low holds the lowest byte of each value; values that agree agree there, so no pair is lost by it."""
-    p = percent / 100
-    enough = HASHES * p - 4 * (HASHES * p * (1 - p)) ** 0.5
+    enough = agreeing(percent)
 
     def run(batches):
         for batch in batches:
@@ -266,14 +254,14 @@ def _crowd_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, region: int = 48, block: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, region: int = 48, reach: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, mark binary, sig binary"))
     named = signed.filter("doc_id is not null and mark is not null")
     reps = materialise(named.groupBy("mark").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("mark", F.col("m.doc_id").alias("rid"), F.col("m.sig").alias("sig")))
 
-    keys = materialise(reps.select("rid", "sig").mapInArrow(_keys(DEPTHS[0]), "key long, rid long").transform(_crowded))
+    keys = materialise(reps.select("rid", "sig").mapInArrow(_keys, "key long, rid long").transform(_crowded))
     leaders = keys.groupBy("rid").agg(F.min("leader").alias("leader"))
     wanted = bloom.build(keys.select("rid").distinct(), FILTER_BITS)
     parts = pieces(docs, 8, 4)
@@ -283,62 +271,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, region:
     def check(pairs: DataFrame) -> DataFrame:
         one = pairs.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
         both = one.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_compare(percent), "a long, b long")
+        return materialise(both.select("a", "b", "sa", "sb").mapInArrow(_compare(percent), "a long, b long"))
 
-    links = materialise(check(leaders.filter("leader <> rid").select(F.col("leader").alias("a"), F.col("rid").alias("b"))))
-    labels = components(links)
-
-    def mixed(rows: DataFrame) -> DataFrame:
+    def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows (key, rid, comp, n) of regions with several components."""
         with_comp = rows.join(labels, rows["rid"] == labels["node"], "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
         several = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
         return materialise(with_comp.join(several, "key"))
 
-    pairs, strays = [], []
-    rows = mixed(keys.select("key", "rid"))
-    signatures = materialise(reps.select("rid", "sig").join(rows.select("rid").distinct(), "rid", "left_semi"))
-    lows = materialise(signatures.select("rid", "sig").mapInArrow(_lowest_bytes, "rid long, low binary"))
-    for k, depth in enumerate(DEPTHS):
-        if k:
-            if not large.take(1):
-                break
-            deeper = large.groupBy("rid").agg(F.collect_list("key").alias("keys")).join(signatures, "rid").select("rid", "sig", "keys").mapInArrow(_deeper(depth, DEPTHS[k - 1]), "key long, rid long")
-            rows = mixed(deeper)
-        small, large = rows.filter(F.col("n") <= region), rows.filter(F.col("n") > region)
-        crowds = crowds if k else large
-        listed = small.join(lows, "rid").groupBy("key").agg(F.collect_list(F.struct("rid", "comp", "low")).alias("m"))
-        pairs.append(listed.select("m").mapInArrow(_pairs_between(percent), "a long, b long"))
-        largest = large.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        strays.append(large.join(largest, "key").filter("comp <> main").select("rid", "main"))
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionByName(p)
-    every = materialise(every.distinct())
-    found = links.unionByName(check(every))
-    out = strays[0]
-    for s in strays[1:]:
-        out = out.unionByName(s)
-    out = materialise(out.distinct())
-    if out.take(1):
-        members = labels.join(out.select(F.col("main").alias("component")).distinct(), "component").select(F.col("component").alias("main"), F.col("node").alias("rid"))
-        lone = out.select("main").distinct().join(labels.select(F.col("component").alias("main")), "main", "left_anti").select("main", F.col("main").alias("rid"))
-        blocked = lambda rows: (
-            rows.join(rows.groupBy("main").agg(F.ceil(F.count("*") / block).alias("blocks")), "main").join(sets, "rid").withColumn("k", F.pmod(F.xxhash64("rid"), F.col("blocks"))).groupBy("main", "k").agg(F.collect_list(F.struct("rid", "shingles")).alias("m"))
-        )
-        crossed = blocked(out).select("main", F.col("m").alias("xs")).join(blocked(members.unionByName(lone)).select("main", F.col("m").alias("block")), "main")
-        found = found.unionByName(crossed.select("xs", "block").mapInArrow(_against_block(percent), "a long, b long"))
+    found = check(leaders.filter("leader <> rid").select(F.col("leader").alias("a"), F.col("rid").alias("b")))
+    rows = mixed(keys.select("key", "rid"), components(found))
+
+    signatures = reps.select("rid", "sig")
+    placed = lambda r: r.groupBy("rid").agg(F.first("comp").alias("comp"), F.collect_list("key").alias("keys")).join(signatures, "rid").select("rid", "comp", "sig", "keys").mapInArrow(_places, "key long, further binary, rid long, comp long, low binary")
+    order = placed(rows).repartitionByRange(parts, "key", "further", "rid").sortWithinPartitions("key", "further", "rid")
+    near = materialise(order.select("key", "rid", "comp", "low").mapInArrow(_neighbours(reach, percent), "a long, b long").distinct())
+    found = found.unionByName(check(near))
+
+    rows = mixed(rows.select("key", "rid"), components(found))
+    listed = placed(rows.filter(F.col("n") <= region)).groupBy("key").agg(F.collect_list(F.struct("rid", "comp", "low")).alias("m"))
+    within = materialise(listed.select("m").mapInArrow(_pairs_between(percent), "a long, b long").distinct())
+    found = found.unionByName(check(within))
 
+    crowds = rows.filter(F.col("n") > region)
     if crowds.take(1):
-        found = materialise(found)
-        labels = components(found)
-        crowd = mixed(crowds.select("key", "rid")).select("rid", "comp").distinct()
+        crowd = mixed(crowds.select("key", "rid"), components(found)).select("rid", "comp").distinct()
         crowd = materialise(sets.join(crowd, "rid").select("rid", "comp", "shingles"))
         found = found.unionByName(check(materialise(_crowd_pairs(crowd, percent))))
 
     # Documents that share a set, and rows that share a doc_id, belong together.
     same = named.join(reps.select("mark", "rid"), "mark").select("doc_id", "rid").filter("doc_id <> rid").select(F.col("rid").alias("a"), F.col("doc_id").alias("b"))
     final = components(found.unionByName(same))
-    joined = signed.join(final, signed["doc_id"] == final["node"], "left")
+    joined = signed.select("doc_id", "n_shingles").join(final, signed["doc_id"] == final["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
