@@ -54,6 +54,14 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return f"{base if '://' in base else 'file://' + base}/{what}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Lets Arrow batches hold fewer rows than the default of 10,000, as texts are long; a setting that the user made stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(rows))
+    return df
+
+
 def pieces(df: DataFrame, mb_each: float, least: int = 1) -> int:
     """How many parts of about mb_each MB of stored input the frame makes, by Catalyst's own statistics (no job runs)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

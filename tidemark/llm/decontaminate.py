@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.common import byte_texts, materialise, runs
+from tidemark.llm.common import byte_texts, materialise, runs, small_batches
 from tidemark.llm.words import IS_SPACE, Words, _power_tables, mix
 
 WIDTH, LITERALS = 8, 5
@@ -153,7 +153,7 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = items.filter(F.when(bare, F.size("slots") < WIDTH).otherwise(literals < LITERALS) | (F.size("slots") < WIDTH)).select(F.size("slots"), bare).distinct()
     whole = sorted((n, b) for n, b in sizes.collect())
     held = bloom.build(items.select("h"), FILTER_BITS)
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), _row().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(whole, held, False), rows)
+    found = small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), _row().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(whole, held, False), rows)
     both = found.select(F.col("id").alias("doc_id"), "row", "h", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "h", "pos", "slots", "kind"), "h")
     run = both.select("doc_id", "row", "item_id", "item_row", "kind", (F.col("at") - F.col("pos")).alias("shift"), "at", F.explode(F.arrays_zip("slots", "theirs")).alias("z"))
     slots = run.groupBy("doc_id", "row", "item_id", "item_row", "shift", "kind").agg(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.common import byte_texts, materialise, pieces, runs
+from tidemark.llm.common import byte_texts, materialise, pieces, runs, small_batches
 from tidemark.llm.graph import components
 from tidemark.llm.words import Words, shingle_set
 
@@ -256,7 +256,7 @@ def _crowd_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, region: int = 48, reach: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, mark binary, sig binary"))
     named = signed.filter("doc_id is not null and mark is not null")
     reps = materialise(named.groupBy("mark").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("mark", F.col("m.doc_id").alias("rid"), F.col("m.sig").alias("sig")))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts, runs
+from tidemark.llm.common import byte_texts, runs, small_batches
 from tidemark.llm.words import span_hash
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int"
@@ -226,7 +226,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, shards: int, end_id: int =
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()] + ([pa.list_(pa.int32())] if with_ids else [])
     names = [x.split()[0] for x in PIECES.split(", ")] + (["ids"] if with_ids else [])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, cap: Capacity = Capacity(), end_id: int = 2, per_shard: int = 8192, with_ids: bool = False) -> DataFrame:  # noqa: B008

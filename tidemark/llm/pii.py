@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.common import byte_texts, materialise, runs
+from tidemark.llm.common import byte_texts, materialise, runs, small_batches
 from tidemark.llm.words import Words, windows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -233,7 +233,7 @@ def confident_patterns(texts: DataFrame, entities: DataFrame, support: int = 3,
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered, n_spans (of every kind, discovered ones too) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = materialise(rows.mapInArrow(_extract, EXTRACTED))
     entities = read.select("uid", F.explode("entities").alias("e")).select("uid", "e.*")
     patterns = confident_patterns(rows, entities)
@@ -259,7 +259,7 @@ def mask(text: str | None, spans: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text and n_chars to match (where there is such a column); other columns stay. Patterns are learned on these documents; each text's base spans are found again in place, so that texts are never joined."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = rows.mapInArrow(_extract, EXTRACTED)
     entities = read.select("uid", F.explode("entities").alias("e")).select("e.*")
     patterns = materialise(confident_patterns(rows, materialise(entities)))

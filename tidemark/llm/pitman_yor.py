@@ -4,7 +4,7 @@ Restaurants: one for every word that stands before another (or a text's begin),
 
 Seating is sampled by blocked Gibbs steps: a dish's customers leave a restaurant together, with the customers that their tables sent to the parent, and sit down again one after the other, each by the Chinese-restaurant probabilities; a new table sends a customer to the parent. A restaurant's number of tables is that of the sweep before, and the parent's seating that of the round before. Predictive probabilities are averaged over the samples. Chance is a hash of dish, sweep and customer, so that scores depend on the rows alone and not on how they are stored or spread.
 
-Data flow. A batch of neighbouring documents sends each bucket of contexts its distinct (context, word) pairs with their training counts, once per batch however often they occur. A bucket seats whole restaurants; a context with more than `HOT` tokens is dealt over several buckets by word, and its parts tell each other their totals in the same exchange that carries tables to the unigram restaurant, which is dealt over `homes` by word. After `rounds` exchanges the buckets answer with the pairs' probabilities, which a batch adds up per document. What moves grows with the input; to the driver come eight sums and at most 65,535 words, the most frequent ones, which blobs name by rank.
+Data flow. A batch of neighbouring documents sends each bucket of contexts its distinct (context, word) pairs with their training counts, once per batch however often they occur. A bucket seats whole restaurants; a context with more than `HOT` tokens is dealt over several buckets by word, and its parts tell each other their totals in the same exchange that carries tables to the unigram restaurant, which is dealt over `homes` by word. After `rounds` exchanges the buckets answer with the pairs' probabilities, which a batch adds up per document. What moves grows with the input; to the driver come eight sums and at most `RARE` words, of which blobs name the 65,535 most frequent by rank.
 
 Defined results: a null or empty text has one token, its end; repeated rows count and are scored each; a null doc_id is hashed as empty text; an empty table gives no rows. With no training token every count is 0 and the model is its uniform base. Other columns are not read.
 """
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts, materialise, pieces, release, runs
+from tidemark.llm.common import byte_texts, materialise, pieces, release, runs, small_batches
 from tidemark.llm.words import Words, mix
 
 #: Words are known by 56 bits of their hash; this one is a text's end and also what stands before its first word.
@@ -32,6 +32,7 @@ END = np.uint64(0xE5D)
 BATCH = 6 << 20
 #: Tokens of a context beyond which it is dealt over several buckets (of the `OTHER` most frequent words).
 HOT = 1 << 18
+RARE = 1 << 20
 #: Most words that blobs name by rank; also the mark of a word that has none.
 OTHER = (1 << 16) - 1
 _STEP, _SWEEP, _PART, _TAG = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -337,9 +338,10 @@ def home_tables(key: np.ndarray, customers: np.ndarray, sums: Sums | None, how:
 
 
 def known_words(docs: DataFrame) -> Known:
-    """The most frequent words of the documents."""
-    counts = docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(OTHER).toPandas()
+    """The most frequent words of the documents. Only words of at least a `RARE`-th of all tokens, which are at most `RARE`, come to the driver."""
+    counts = materialise(docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.filter(F.col("n") * RARE >= tokens).toPandas().sort_values(["n", "word"], ascending=[False, True])[:OTHER]
     return Known(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), HOT)
 
 
@@ -350,7 +352,7 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Samp
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with crc32(doc_id) % modulus = rest are held out of training. The rows of a partition must come in the same order whenever it is computed, as those of files do."""
     buckets = pieces(docs, bucket_mb, 4)
     homes = max(4, buckets // 2)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = known_words(docs)
     asked = docs.mapInArrow(_requests(buckets, known, modulus, rest), "batch long, bucket int, pairs binary")
 
