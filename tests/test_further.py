@@ -63,3 +63,9 @@ def test_unfolding_by_chunk_and_loop(spark):
 def test_rotation_without_a_key(spark):
     df = spark.createDataFrame([(i, "x" * 9) for i in range(6)], "seq long, text string")
     assert [r.file for r in files.rotated(df, "text", 20).orderBy("seq").collect()] == [0, 0, 1, 1, 2, 2]
+
+
+def test_unfolding_has_no_limit(spark):
+    got = generators.unfold(spark, 0, lambda i: (i, i + 1) if i < 1_200_000 else None, "long")
+    assert got.agg({"seq": "max", "value": "sum"}).first() == (1_199_999, 1_200_000 * 1_199_999 // 2)
+    assert generators.unfold_chunk(spark, 0, lambda i: (range(30_000), 1) if i < 1 else None, "long").count() == 30_000

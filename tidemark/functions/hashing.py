@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac as _hmac
 
 import numpy as np
 import pandas as pd
@@ -35,7 +34,12 @@ def digest(data: Column, algorithm: str) -> Column:
 
 
 def hmac(data: Column, key: bytes, algorithm: str) -> Column:
-    return _per_value("string", lambda b: _hmac.new(key, b, algorithm.lower().replace("-", "")).hexdigest())(data)
+    """Lower-case hex of the keyed digest: the digest of the key's outer pad and of the digest of its inner pad and the data."""
+    name = algorithm.lower().replace("-", "")
+    made = hashlib.new(name.replace("/", "_") if "/" in name else f"sha3_{name[4:]}" if name.startswith("sha3") else name)
+    key = hashlib.new(made.name, key).digest() if len(key) > made.block_size else key
+    inner, outer = (F.lit(bytes(b ^ pad for b in key.ljust(made.block_size, b"\0"))) for pad in (0x36, 0x5C))
+    return digest(F.concat(outer, F.unhex(digest(F.concat(inner, data), algorithm))), algorithm)
 
 
 def crc32(data: Column) -> Column:

@@ -33,18 +33,21 @@ def iterate(spark: SparkSession, start: str, following: str, until: str) -> Data
     return spark.sql(f"WITH RECURSIVE r(seq, v) AS (SELECT 0L, {start} UNION ALL SELECT seq + 1, {following} FROM r WHERE {until}) SELECT seq, v FROM r")
 
 
-def unfold(spark: SparkSession, state, step: Callable, kind: str, most: int = 1_000_000) -> DataFrame:
-    """step(state) gives (value, state) or None; runs in one generator task."""
+def unfold(spark: SparkSession, state, step: Callable, kind: str, batch: int = 10_000) -> DataFrame:
+    """step(state) gives (value, state) or None; runs in one generator task, which holds `batch` values at a time. A step that never ends makes rows as long as they are asked for."""
 
     def run(batches):
         import pandas as pd
 
         for _ in batches:
-            s, out = state, []
-            while len(out) < most and (got := step(s)) is not None:
+            s, n, out = state, 0, []
+            while (got := step(s)) is not None:
                 v, s = got
                 out.append(v)
-            yield pd.DataFrame({"seq": range(len(out)), "value": out})
+                if len(out) == batch:
+                    yield pd.DataFrame({"seq": range(n, n + batch), "value": out})
+                    n, out = n + batch, []
+            yield pd.DataFrame({"seq": range(n, n + len(out)), "value": out})
 
     return spark.range(1).mapInPandas(run, f"seq long, value {kind}")
 
@@ -54,21 +57,60 @@ def fixed_rate(spark: SparkSession, start_us: int, period: int, n: int, immediat
     return spark.range(n).select(F.col("id").alias("seq"), (F.lit(start_us) + (F.col("id") + (0 if immediately else 1)) * F.lit(period).cast("long")).alias("us"))
 
 
-def unfold_chunk(spark: SparkSession, state, step: Callable, kind: str, most: int = 1_000_000) -> DataFrame:
+def unfold_chunk(spark: SparkSession, state, step: Callable, kind: str) -> DataFrame:
     """step(state) gives (values, state) or None; the values of all steps in a row."""
 
     def one(held):
-        s, rest = held
-        while not rest:
+        s, rest, at = held
+        while at == len(rest):
             if (got := step(s)) is None:
                 return None
-            rest, s = list(got[0]), got[1]
-        return rest[0], (s, rest[1:])
+            rest, s, at = list(got[0]), got[1], 0
+        return rest[at], (s, rest, at + 1)
 
-    return unfold(spark, (state, []), one, kind, most)
+    return unfold(spark, (state, [], 0), one, kind)
 
 
-def unfold_loop(spark: SparkSession, state, step: Callable, kind: str, most: int = 1_000_000) -> DataFrame:
+def unfold_chunk_loop(spark: SparkSession, state, step: Callable, kind: str) -> DataFrame:
+    """step(state) gives (values, state or None); the values of all steps in a row, of one step at least."""
+
+    def chunk(held):
+        if held is None:
+            return None
+        values, s = step(held[0])
+        return values, None if s is None else (s,)
+
+    return unfold_chunk(spark, (state,), chunk, kind)
+
+
+def iterate_eval(spark: SparkSession, start, following: Callable, kind: str) -> DataFrame:
+    """start, following(start) and so on without end; take what is needed with limit."""
+    return unfold(spark, start, lambda v: (v, following(v)), kind)
+
+
+def repeat_eval(spark: SparkSession, effect: Callable, n: int, kind: str) -> DataFrame:
+    """The values of n runs of effect, on as many tasks as there are partitions."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"seq": batch["id"], "value": [effect() for _ in range(len(batch))]})
+
+    return spark.range(n).mapInPandas(run, f"seq long, value {kind}")
+
+
+def evals(spark: SparkSession, effect: Callable, kind: str) -> DataFrame:
+    """The values that one run of effect, in a task, gives."""
+    return unfold_chunk(spark, True, lambda first: (effect(), False) if first else None, kind)
+
+
+def from_option(spark: SparkSession, value, kind: str) -> DataFrame:
+    """One row, or none for None."""
+    return emits(spark, [] if value is None else [value], kind)
+
+
+def unfold_loop(spark: SparkSession, state, step: Callable, kind: str) -> DataFrame:
     """step(state) gives (value, state or None); there is one value at least."""
 
     def one(held):
@@ -77,4 +119,4 @@ def unfold_loop(spark: SparkSession, state, step: Callable, kind: str, most: int
         v, s = step(held[0])
         return v, None if s is None else (s,)
 
-    return unfold(spark, (state,), one, kind, most)
+    return unfold(spark, (state,), one, kind)

@@ -105,5 +105,5 @@ def _array(name, sql, f):
 _array("array_split_at", "len(a[1:5]) AS lo, len(a[6:]) AS hi, a[6] AS pivot", lambda a: [F.size(arrays.split_at(a, 5)[0]).cast("long").alias("lo"), F.size(arrays.split_at(a, 5)[1]).cast("long").alias("hi"), F.get(arrays.split_at(a, 5)[1], 0).alias("pivot")])
 _array("array_starts_with", "a[1] = a[2] AS twice, true AS own", lambda a: [arrays.starts_with(arrays.drop(a, 1), arrays.take(a, 1)).alias("twice"), arrays.starts_with(a, arrays.take(a, 3)).alias("own")])
 _array("array_map_filter", "len(list_filter(a, lambda x: x > 0)) AS n", lambda a: [F.size(arrays.map_filter(a, lambda x: F.when(x > 0, x * 2))).cast("long").alias("n")])
-_array("array_map_accumulate", "len(a[1:4]) AS n, round(list_sum(list_transform(a[1:4], lambda x: CAST(x AS DOUBLE))), 5) AS last", lambda a: [F.size(arrays.map_accumulate(arrays.take(a, 4), F.lit(0.0), lambda s, x: s + x.cast("double"))).cast("long").alias("n"), F.round(F.element_at(arrays.map_accumulate(arrays.take(a, 4), F.lit(0.0), lambda s, x: s + x.cast("double")), -1), 5).alias("last")])
-_array("array_scan_left_carry", "round(CAST(a[1] AS DOUBLE), 5) AS second_state, round(list_sum(list_transform(a[1:3], lambda x: CAST(x AS DOUBLE))), 5) AS carry", lambda a: [F.round(F.get(arrays.scan_left_carry(arrays.take(a, 3), F.lit(0.0), lambda s, x: s + x.cast("double"))["states"], 1), 5).alias("second_state"), F.round(arrays.scan_left_carry(arrays.take(a, 3), F.lit(0.0), lambda s, x: s + x.cast("double"))["carry"], 5).alias("carry")])
+_array("array_map_accumulate", "len(a) AS n, round(list_sum(list_transform(a, lambda x: CAST(x AS DOUBLE))), 5) AS last", lambda a: [F.size(arrays.map_accumulate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))).cast("long").alias("n"), F.round(F.element_at(arrays.map_accumulate(a, F.lit(0.0), lambda s, x: s + x.cast("double")), -1), 5).alias("last")])
+_array("array_scan_left_carry", "round(CAST(a[1] AS DOUBLE), 5) AS second_state, round(list_sum(list_transform(a, lambda x: CAST(x AS DOUBLE))), 5) AS carry", lambda a: [F.round(F.get(arrays.scan_left_carry(a, F.lit(0.0), lambda s, x: s + x.cast("double"))["states"], 1), 5).alias("second_state"), F.round(arrays.scan_left_carry(a, F.lit(0.0), lambda s, x: s + x.cast("double"))["carry"], 5).alias("carry")])

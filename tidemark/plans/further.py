@@ -50,6 +50,11 @@ query("either", f"SELECT seq, value, CASE event_type WHEN 'click' THEN 'L' ELSE
 query("fixed_rate", "SELECT i AS seq, 1000 + (i + 1) * 250 AS us FROM (SELECT unnest(range(0, 1000)) AS i)")(lambda s, d: generators.fixed_rate(s, 1000, 250, 1000))
 query("fixed_rate_start_immediately", "SELECT i AS seq, 1000 + i * 250 AS us FROM (SELECT unnest(range(0, 1000)) AS i)")(lambda s, d: generators.fixed_rate(s, 1000, 250, 1000, True))
 query("unfold_chunk", "SELECT CAST(row_number() OVER (ORDER BY i, k) - 1 AS BIGINT) AS seq, CAST(k AS BIGINT) AS value FROM (SELECT unnest(range(0, 20)) AS i), LATERAL (SELECT unnest(range(0, i)) AS k)")(lambda s, d: generators.unfold_chunk(s, 0, lambda i: (list(range(i)), i + 1) if i < 20 else None, "long"))
+query("unfold_chunk_loop", "SELECT CAST(row_number() OVER (ORDER BY i, k) - 1 AS BIGINT) AS seq, CAST(k AS BIGINT) AS value FROM (SELECT unnest(range(1, 31)) AS i), LATERAL (SELECT unnest(range(0, i)) AS k)")(lambda s, d: generators.unfold_chunk_loop(s, 1, lambda i: (list(range(i)), i + 1 if i < 30 else None), "long"))
+query("iterate_eval", "SELECT i AS seq, 3 * i + 5 AS value FROM (SELECT unnest(range(0, 50)) AS i)")(lambda s, d: generators.iterate_eval(s, 5, lambda v: v + 3, "long").filter("seq < 50").limit(50))
+query("repeat_eval", "SELECT i AS seq, CAST(42 AS BIGINT) AS value FROM (SELECT unnest(range(0, 1000)) AS i)")(lambda s, d: generators.repeat_eval(s, lambda: 6 * 7, 1000, "long"))
+query("evals", "SELECT i AS seq, i * i AS value FROM (SELECT unnest(range(0, 40)) AS i)")(lambda s, d: generators.evals(s, lambda: [i * i for i in range(40)], "long"))
+query("from_option", "SELECT CAST(0 AS BIGINT) AS seq, CAST(7 AS BIGINT) AS value")(lambda s, d: generators.from_option(s, 7, "bigint").unionByName(generators.from_option(s, None, "bigint")))
 query("unfold_loop", "SELECT i AS seq, i * i AS value FROM (SELECT unnest(range(0, 11)) AS i)")(lambda s, d: generators.unfold_loop(s, 0, lambda i: (i * i, i + 1 if i < 10 else None), "long"))
 
 _V = "(SELECT vec_id, embedding AS a FROM embeddings)"

@@ -127,10 +127,13 @@ query("ranges", "SELECT v AS lo, least(v + 64, 1000) AS hi FROM (SELECT unnest(r
 query("constant_n", "SELECT i AS seq, 7 AS value FROM range(20) t(i)")(lambda s, d: generators.constant(s, 7, 20))
 query("emits", "SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS seq, unnest([3, 1, 2]) AS value")(lambda s, d: generators.emits(s, [3, 1, 2], "int"))
 query("iterate_powers", "WITH RECURSIVE r(seq, v) AS (SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT seq + 1, v * 3 FROM r WHERE v < 100000) SELECT seq, v FROM r")(lambda s, d: generators.iterate(s, "1L", "v * 3", "v < 100000"))
-query("unfold_collatz")(lambda s, d: generators.unfold(s, 27, lambda v: None if v is None else (v, None if v == 1 else v // 2 if v % 2 == 0 else 3 * v + 1), "long"))
+query("unfold_collatz", "WITH RECURSIVE r(seq, value) AS (SELECT CAST(0 AS BIGINT), CAST(27 AS BIGINT) UNION ALL SELECT seq + 1, CASE WHEN value % 2 = 0 THEN value // 2 ELSE 3 * value + 1 END FROM r WHERE value <> 1) SELECT seq, value FROM r")(lambda s, d: generators.unfold(s, 27, lambda v: None if v is None else (v, None if v == 1 else v // 2 if v % 2 == 0 else 3 * v + 1), "long"))
 
 SCANNED = "user_id long, seq long, value double"
-query("filter_with_previous")(lambda s, d: scans.run(events(s, d, "user_id", "value"), scans.FilterWithPrevious(lambda a, b: b > a), SCANNED, "user_id"))
+_KEPT = """WITH RECURSIVE e AS (SELECT user_id, seq, value, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM (SELECT event_id AS seq, user_id, value FROM events)),
+r AS (SELECT user_id, seq, value, k, value AS last, true AS kept FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.seq, e.value, e.k, greatest(e.value, r.last), e.value > r.last FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, seq, value FROM r WHERE kept"""
+query("filter_with_previous", _KEPT)(lambda s, d: scans.run(events(s, d, "user_id", "value"), scans.FilterWithPrevious(lambda a, b: b > a), SCANNED, "user_id"))
 query("resplit_words")(lambda s, d: scans.run(table(s, d, "documents").select(F.col("doc_id").alias("seq"), "lang", "text"), scans.Resplit("\n"), "lang string, seq long, k int, piece string", "lang"))
 
 _V = "(SELECT vec_id, embedding AS a FROM embeddings)"
@@ -143,4 +146,4 @@ def _array(name, sql, f):
 _array("array_take_drop", "CAST(len(a[1:3]) AS INTEGER) AS taken, a[1] AS first, CAST(len(a[4:]) AS INTEGER) AS dropped, a[4] AS fourth", lambda a: [F.size(arrays.take(a, 3)).alias("taken"), F.get(arrays.take(a, 3), 0).alias("first"), F.size(arrays.drop(a, 3)).alias("dropped"), F.get(arrays.drop(a, 3), 0).alias("fourth")])
 _array("array_filter_map", "CAST(len(list_filter(a, lambda x: x > 0)) AS INTEGER) AS positive, round(list_sum(list_transform(a, lambda x: CAST(x AS DOUBLE) * 2)), 4) AS doubled", lambda a: [F.size(F.filter(a, lambda x: x > 0)).alias("positive"), F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * 2), 4).alias("doubled")])
 _array("array_index_where", "coalesce(CAST(list_position(list_transform(a, lambda x: x > 0), true) AS INTEGER) - 1, -1) AS at", lambda a: [F.coalesce(arrays.index_where(a, lambda x: x > 0), F.lit(-1)).alias("at")])
-_array("array_scan", "round(list_sum(list_transform(a[1:3], lambda x: CAST(x AS DOUBLE))), 5) AS third_state", lambda a: [F.round(F.element_at(arrays.scan_left(arrays.take(a, 3), F.lit(0.0), lambda s, x: s + x.cast("double")), -1), 5).alias("third_state")])
+_array("array_scan", "round(list_sum(list_transform(a, lambda x: CAST(x AS DOUBLE))), 5) AS last_state", lambda a: [F.round(F.element_at(arrays.scan_left(a, F.lit(0.0), lambda s, x: s + x.cast("double")), -1), 5).alias("last_state")])
