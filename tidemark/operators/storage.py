@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df computed once into spark.checkpoint.dir (a folder of our own where that is unset, as in tests), with its lineage cut there.
+    """df computed once into spark.checkpoint.dir (on a local master, where that may be unset, a folder of our own), with its lineage cut there.
 
     What depends on physical layout, as partition numbers do, is the same for every later reader, and lost executors cost nothing.
     """
@@ -19,6 +19,8 @@ def pinned(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
