@@ -67,5 +67,5 @@ def test_rotation_without_a_key(spark):
 
 def test_unfolding_has_no_limit(spark):
     got = generators.unfold(spark, 0, lambda i: (i, i + 1) if i < 1_200_000 else None, "long")
-    assert got.agg({"seq": "max", "value": "sum"}).first() == (1_199_999, 1_200_000 * 1_199_999 // 2)
+    assert got.selectExpr("max(seq)", "sum(value)").first() == (1_199_999, 1_200_000 * 1_199_999 // 2)
     assert generators.unfold_chunk(spark, 0, lambda i: (range(30_000), 1) if i < 1 else None, "long").count() == 30_000
