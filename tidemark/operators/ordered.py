@@ -74,6 +74,6 @@ def scalar(df: DataFrame, aggregate: Column, name: str) -> DataFrame:
     return df.agg(aggregate.alias(name))
 
 
-def with_scalar(df: DataFrame, aggregate: Column, name: str) -> DataFrame:
-    """df with one aggregate of the whole frame on every row; the aggregate is one row by construction."""
-    return df.crossJoin(F.broadcast(scalar(df, aggregate, name)))
+def with_scalar(df: DataFrame, aggregate: Column, name: str, of: DataFrame | None = None) -> DataFrame:
+    """df with one aggregate of the whole frame (or of another one) on every row; the aggregate is one row by construction."""
+    return df.crossJoin(F.broadcast(scalar(df if of is None else of, aggregate, name)))

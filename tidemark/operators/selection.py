@@ -43,8 +43,22 @@ def take(df, n: int, order="seq"):
     return df.orderBy(order).limit(n)
 
 
+#: Up to so many rows an end is found by a top-k pass over the order column; further in, by positions.
+NEAR_END = 10_000
+
+
+def _beyond(df, n: int, order: str, least: bool):
+    """df with __end, the order value of the n-th row from an end (of the farthest one, if there are fewer)."""
+    ends = df.select(order).orderBy(F.col(order) if least else F.col(order).desc()).limit(max(n, 0))
+    return with_scalar(df, (F.max if least else F.min)(order), "__end", ends)
+
+
 def drop(df, n: int, order="seq"):
-    return with_index(df, order, name="__i").filter(F.col("__i") >= n).drop("__i")
+    if n <= 0:
+        return df
+    if n > NEAR_END:
+        return with_index(df, order, name="__i").filter(F.col("__i") >= n).drop("__i")
+    return _beyond(df, n, order, True).filter(F.col(order) > F.col("__end")).drop("__end")
 
 
 def tail(df, order="seq"):
@@ -56,6 +70,10 @@ def take_right(df, n: int, order="seq"):
 
 
 def drop_right(df, n: int, order="seq"):
+    if n <= 0:
+        return df
+    if n <= NEAR_END:
+        return _beyond(df, n, order, False).filter(F.col(order) < F.col("__end")).drop("__end")
     rows = with_index(df, order, name="__i")
     return with_scalar(rows, F.count("*"), "__n").filter(F.col("__i") < F.col("__n") - n).drop("__i", "__n")
 
@@ -191,4 +209,6 @@ def or_error(df, message: str):
 
 def uncons_n(df, n: int, order="seq"):
     """Adds in_head: among the first n rows. One pass gives the head and the rest."""
-    return with_index(df, order, name="__i").withColumn("in_head", F.col("__i") < n).drop("__i")
+    if n > NEAR_END:
+        return with_index(df, order, name="__i").withColumn("in_head", F.col("__i") < n).drop("__i")
+    return _beyond(df, n, order, True).withColumn("in_head", F.coalesce(F.col(order) <= F.col("__end"), F.lit(False))).drop("__end")

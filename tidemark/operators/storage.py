@@ -5,23 +5,34 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir or, on a local master, where it may be unset, a folder of our own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, named, True)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
+
+
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    """The name of a folder below the shared one that nobody has used."""
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df computed once into spark.checkpoint.dir (on a local master, where that may be unset, a folder of our own), with its lineage cut there.
+    """df computed once into the shared folder, with its lineage cut there.
 
     What depends on physical layout, as partition numbers do, is the same for every later reader, and lost executors cost nothing.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            named = tempfile.mkdtemp(prefix="tidemark-")
-            atexit.register(shutil.rmtree, named, True)
-        sc.setCheckpointDir(named)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
