@@ -99,3 +99,50 @@ def count(a: Column, p) -> Column:
 
 def compact_nulls(a: Column) -> Column:
     return F.array_compact(a)
+
+
+def singleton(x: Column) -> Column:
+    return F.array(x)
+
+
+def constant(x: Column, n: int) -> Column:
+    return F.array_repeat(x, max(n, 0))
+
+
+def from_option(x: Column) -> Column:
+    """One element, or none for null."""
+    return F.array_compact(F.array(x))
+
+
+def first_of_queue(parts: Column, n: int) -> tuple[Column, Column]:
+    """The first n elements of an array of arrays, as one array, and the rest."""
+    return split_at(F.flatten(parts), n)
+
+
+def take_exactly(a: Column, n: int) -> Column:
+    """The first n elements, null where there are fewer."""
+    return F.when(F.size(a) >= n, take(a, n))
+
+
+def collect_while(a: Column, f) -> Column:
+    """f of each element up to the first one for which it is null."""
+    return take_while(F.transform(a, f), lambda x: x.isNotNull())
+
+
+def traverse(a: Column, f) -> Column:
+    """f of each element, or null if f is null for any."""
+    return F.when(F.forall(F.transform(a, f), lambda x: x.isNotNull()), F.transform(a, f))
+
+
+def traverse_filter(a: Column, f, keep) -> Column:
+    """f of the elements that keep(f) lets through, or null if f is null for any."""
+    return F.filter(traverse(a, f), keep)
+
+
+def is_empty(a: Column) -> Column:
+    return F.size(a) == 0
+
+
+def zip_pairs(a: Column, b: Column) -> Column:
+    """Structs of (left, right), as far as the shorter goes."""
+    return zip_with(a, b, lambda x, y: F.struct(x.alias("left"), y.alias("right")))

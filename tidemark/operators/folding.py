@@ -41,3 +41,14 @@ def zip_with_scan(df: DataFrame, value: Column, seed=0, name: str = "state", ord
         return df.withColumn(name, F.coalesce(F.sum(value).over(upto(order, key) if after else before(order, key)), F.lit(0)) + F.lit(seed))
     out = running(df, value, name, "sum", order)
     return out.withColumn(name, F.col(name) + F.lit(seed) if after else F.col(name) - F.coalesce(value, F.lit(0)) + F.lit(seed))
+
+
+def compiled_list(df: DataFrame, value: Column, key: str, order="seq", name: str = "values") -> DataFrame:
+    """(key, values): each key's values in order. A key's list is one value, so keys must be as small as a row may be."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
+    return df.groupBy(key).agg(F.transform(pairs, lambda p: p["v"]).alias(name))
+
+
+def compiled_string(df: DataFrame, value: Column, key: str, order="seq", name: str = "text") -> DataFrame:
+    """(key, text): each key's strings in order, joined; nulls are left out."""
+    return compiled_list(df, value, key, order, name).withColumn(name, F.array_join(name, ""))

@@ -81,7 +81,7 @@ def buffer_by(df: DataFrame, p: Column, order="seq", key=None) -> DataFrame:
 
 def rechunk_randomly(df: DataFrame, seed: int, mean: int, order="seq", key=None) -> DataFrame:
     """Adds chunk, in groups of `mean` rows on average whose bounds depend on the seed and the order column only, not on partitions."""
-    begin = F.when(F.pmod(F.xxhash64(F.lit(seed), order), F.lit(mean)) == 0, 1).otherwise(0)
+    begin = F.when(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(order))), 1, 8), 16, 10).cast("long") % mean == 0, 1).otherwise(0)
     return running(df, begin, "chunk", "sum", order, key)
 
 

@@ -90,3 +90,35 @@ def timeout_on_pull_to(df: DataFrame, duration: int, other: DataFrame, order="se
 def map_chunks(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """f of each physical batch of rows; what f does must not depend on where batches end."""
     return df.mapInPandas(lambda parts: (f(p) for p in parts), schema)
+
+
+def eval_tap(df: DataFrame, column: str, effect: Callable) -> DataFrame:
+    """df, with effect run on each value of a column; what it returns is forgotten, an error of it fails the query. A task that is tried again runs its effects again."""
+
+    def done(v) -> bool:
+        effect(v)
+        return True
+
+    return eval_filter(df, column, done)
+
+
+def eval_filter_not(df: DataFrame, column: str, p: Callable) -> DataFrame:
+    """Rows whose value the Python predicate doesn't hold for."""
+    return eval_filter(df, column, lambda v: not p(v))
+
+
+def from_either(df: DataFrame, left: str, right: str) -> DataFrame:
+    """The right values, or at run time the error that a left value names."""
+    return rethrow(df.filter(F.col(left).isNotNull() | F.col(right).isNotNull()), left)
+
+
+def on_complete(df: DataFrame, error: Column, other: DataFrame, order="seq") -> DataFrame:
+    """The rows before the first failure (part 0), those of other in any case (part 1), and the failure, if there was one, as a last row of its own (part 2, `failed` its text): (part, order) is the new order."""
+    first = df.withColumn("__e", error.cast("string")).filter("__e is not null").agg(F.min_by("__e", order).alias("failed"), F.min(order).alias(order)).filter("failed is not null").withColumn("part", F.lit(2))
+    rows = mask(df, error, order).withColumn("part", F.lit(0)).unionByName(other.withColumn("part", F.lit(1)))
+    return rows.withColumn("failed", F.lit(None).cast("string")).unionByName(first, allowMissingColumns=True)
+
+
+def observe_either(df: DataFrame, is_left: Column, left: Callable[[DataFrame], DataFrame], right: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Both sides' rows, each handed to an observer of its own; a null test is right."""
+    return left(df.filter(true(is_left))), right(df.filter(~true(is_left)))

@@ -90,3 +90,9 @@ def par_join(parts: dict[str, DataFrame]) -> DataFrame:
         df = df.withColumn("source", F.lit(name))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def get_and_updates(df: DataFrame, at, order="seq") -> DataFrame:
+    """What a held signal is at an order value, its last row up to there (part 0), and the rows after it (part 1)."""
+    current = df.filter(F.col(order) <= at).orderBy(F.col(order).desc()).limit(1)
+    return current.withColumn("part", F.lit(0)).unionByName(df.filter(F.col(order) > at).withColumn("part", F.lit(1)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import near, running, with_scalar
+from tidemark.operators.ordered import near, running, with_index, with_scalar
 
 HOUR = 3_600_000_000
 
@@ -77,3 +77,42 @@ def drain(df: DataFrame, side: str, column: str = "side") -> DataFrame:
 def lift(df: DataFrame, value: str, f) -> DataFrame:
     """Maps values and keeps ticks."""
     return df.withColumn(value, F.when(~F.col("is_tick"), f(F.col(value))))
+
+
+def now(df: DataFrame, ts="ts") -> DataFrame:
+    """Stamps rows with the time at which the query began: one time for all, however often a task runs."""
+    return df.withColumn(ts, F.current_timestamp())
+
+
+def tick(spark: SparkSession, us: int, value_type: str = "double") -> DataFrame:
+    """(ts, value): one row without a value at a time."""
+    return spark.range(1).select(F.timestamp_micros(F.lit(us)).alias("ts"), F.lit(None).cast(value_type).alias("value"))
+
+
+def map_value(df: DataFrame, f, value: str = "value") -> DataFrame:
+    """Other values at the same times."""
+    return df.withColumn(value, f(F.col(value)))
+
+
+def map_time(df: DataFrame, f, ts="ts") -> DataFrame:
+    """The same values at other times; f maps microseconds."""
+    return df.withColumn(ts, F.timestamp_micros(f(micros(ts))))
+
+
+def in_time_order(df: DataFrame, order="seq", ts="ts", name: str = "pos") -> DataFrame:
+    """Adds the position by (time, order)."""
+    return with_index(df.withColumn("__o", F.struct(micros(ts).alias("us"), order)), "__o", name=name).drop("__o")
+
+
+def attempt_reorder_locally(df: DataFrame, over: int, order="seq", ts="ts") -> DataFrame:
+    """Adds release and pos. A row waits in a buffer until the maximum of time is `over` beyond it; release is the order value of the row that then comes (its own, if it is that late), null if only the end lets it go. Rows leave by (release, time, order), of which pos is the place.
+
+    The maximum only grows, so the row that lets another go is the next one by value: rises of the maximum and deadlines are sorted together and the last rise is carried down. Nothing is simulated row by row.
+    """
+    rows = running(df.withColumn("__us", micros(ts)), F.col("__us"), "__max", "max", order)
+    rises = rows.groupBy("__max").agg(F.min(order).alias("__rise")).select(F.struct((-F.col("__max")).alias("v"), F.lit(0).alias("kind"), F.col("__rise").alias("s")).alias("__o"), "__rise")
+    due = rows.drop("__max").withColumn("__o", F.struct((-F.col("__us") - over).alias("v"), F.lit(1).alias("kind"), F.col(order).cast("long").alias("s")))
+    both = running(due.unionByName(rises, allowMissingColumns=True).withColumn("__due", F.col("__o.kind") == 1), F.col("__rise"), "__first", "min", "__o").filter("__due")
+    let_go = both.withColumn("release", F.when(F.col("__first").isNotNull(), F.greatest(F.col(order), "__first")))
+    placed = let_go.withColumn("__p", F.struct(F.col("release").isNull().alias("rest"), "release", "__us", order))
+    return with_index(placed, "__p", name="pos").drop("__p", "__o", "__due", "__rise", "__first", "__us")
