@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.plans import effects, further, machines, more, sequences, texts, times  # noqa: F401
+from tidemark.plans import binaries, effects, further, machines, more, sequences, streams, texts, times  # noqa: F401

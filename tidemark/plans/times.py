@@ -53,5 +53,12 @@ def timed(s, d):
     return events(s, d, "user_id", "ts", "value").select("seq", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
 
 
-query("debounce_replay")(lambda s, d: scans.run(timed(s, d), scans.Debounce(6 * HOUR), "user_id long, seq long, us long, value double", "user_id"))
-query("group_within_replay")(lambda s, d: scans.run(timed(s, d), scans.GroupWithin(5, 24 * HOUR), "user_id long, seq long, us long, value double, group long", "user_id"))
+_U = "(SELECT user_id, event_id AS seq, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)"
+_DEBOUNCED = f"""WITH RECURSIVE e AS (SELECT * FROM {_U}), r AS (SELECT user_id, k, us AS begun, 1 AS span FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.k, CASE WHEN e.us >= r.begun + {6 * HOUR} THEN e.us ELSE r.begun END, CASE WHEN e.us >= r.begun + {6 * HOUR} THEN r.span + 1 ELSE r.span END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, max(seq) AS seq, arg_max(us, seq) AS us, arg_max(value, seq) AS value FROM r JOIN e USING (user_id, k) GROUP BY user_id, span"""
+_GROUPED = f"""WITH RECURSIVE e AS (SELECT * FROM {_U}), r AS (SELECT user_id, k, us AS begun, 1 AS n, CAST(0 AS BIGINT) AS g FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.k, CASE WHEN r.n >= 5 OR e.us >= r.begun + {24 * HOUR} THEN e.us ELSE r.begun END, CASE WHEN r.n >= 5 OR e.us >= r.begun + {24 * HOUR} THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 5 OR e.us >= r.begun + {24 * HOUR} THEN r.g + 1 ELSE r.g END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, seq, us, value, g AS "group" FROM r JOIN e USING (user_id, k)"""
+query("debounce_replay", _DEBOUNCED)(lambda s, d: scans.run(timed(s, d), scans.Debounce(6 * HOUR), "user_id long, seq long, us long, value double", "user_id"))
+query("group_within_replay", _GROUPED)(lambda s, d: scans.run(timed(s, d), scans.GroupWithin(5, 24 * HOUR), "user_id long, seq long, us long, value double, group long", "user_id"))

@@ -5,14 +5,17 @@
 
 from __future__ import annotations
 
-import glob
 import struct
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from tidemark.functions.records import bit, field
+from tidemark.sources.paths import listed, opened, store_of
 
 SCHEMA = "path string, seq long, ts timestamp, link int, incl_len long, orig_len long, data binary"
 # Magic numbers of the two formats.
@@ -92,18 +95,79 @@ class _Reader(DataSourceReader):
         self.path, self.parse = path, parse
 
     def partitions(self):
-        return [_File(p) for p in sorted(glob.glob(self.path))] or [_File("")]
+        return [_File(p) for p, _ in listed(self.path)] or [_File("")]
 
     def read(self, partition):
         if partition.path:
-            with open(partition.path, "rb") as stream:
+            with opened(partition.path) as stream:
                 for k, row in enumerate(self.parse(stream)):
                     yield (partition.path, k, *row)
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, name: str):
+        self.name = name
+
+
+class _Writer(DataSourceWriter):
+    """A file per task, written under a name that readers pass over and renamed once all tasks are done; files of failed attempts are never renamed."""
+
+    def __init__(self, folder: str, start: bytes, record, extension: str):
+        self.folder, self.first, self.record, self.extension = folder, start, record, extension
+
+    def write(self, iterator):
+        store, folder = store_of(self.folder)
+        store.create_dir(folder, recursive=True)
+        name = uuid.uuid4().hex
+        with store.open_output_stream(f"{folder}/_{name}") as out:
+            out.write(self.first)
+            for row in iterator:
+                out.write(self.record(row["ts"], bytes(row["data"])))
+        return _Written(name)
+
+    def commit(self, messages):
+        store, folder = store_of(self.folder)
+        for k, m in enumerate(messages):
+            store.move(f"{folder}/_{m.name}", f"{folder}/part-{k:05d}-{m.name}.{self.extension}")
+
+    def abort(self, messages):
+        store, folder = store_of(self.folder)
+        for m in messages:
+            if m is not None:
+                store.delete_file(f"{folder}/_{m.name}")
+
+
+def _micros(ts: datetime) -> int:
+    return (ts.astimezone(timezone.utc) - _EPOCH) // timedelta(microseconds=1)
+
+
+def pcap_record(ts: datetime, data: bytes) -> bytes:
+    sec, frac = divmod(_micros(ts), 1_000_000)
+    return struct.pack("<IIII", sec, frac, len(data), len(data)) + data
+
+
+def block(kind: int, body: bytes) -> bytes:
+    """A pcapng block: its length before and after a body that is filled up to four bytes."""
+    body += bytes(-len(body) % 4)
+    return struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+
+
+def pcapng_record(ts: datetime, data: bytes) -> bytes:
+    us = _micros(ts)
+    return block(ENHANCED, struct.pack("<IIIII", 0, us >> 32, us & 0xFFFFFFFF, len(data), len(data)) + data)
+
+
+ETHERNET, SNAP = 1, 1 << 18
+
+
 class PcapSource(DataSource):
+    """Reads captures; writes (ts, data) rows of Ethernet frames, a file per task."""
+
     parse = staticmethod(read_pcap)
 
+    def writer(self, schema, overwrite):
+        return _Writer(self.options["path"], struct.pack("<IHHiIII", PCAP_MICROS, 2, 4, 0, 0, SNAP, ETHERNET), pcap_record, "pcap")
+
     @classmethod
     def name(cls):
         return "pcap"
@@ -122,9 +186,29 @@ class PcapngSource(PcapSource):
     def name(cls):
         return "pcapng"
 
+    def writer(self, schema, overwrite):
+        start = block(PCAPNG_SECTION, struct.pack("<IHHq", PCAPNG_ORDER, 1, 0, -1)) + block(INTERFACE, struct.pack("<HHI", ETHERNET, 0, SNAP))
+        return _Writer(self.options["path"], start, pcapng_record, "pcapng")
+
+
+class PcapngBlocks(PcapSource):
+    """All blocks of pcapng files as they are: (path, seq, big_endian, kind, body)."""
+
+    parse = staticmethod(lambda stream: ((order == ">", kind, body) for order, kind, body in read_blocks(stream)))
+
+    @classmethod
+    def name(cls):
+        return "pcapng_blocks"
+
+    def schema(self):
+        return "path string, seq long, big_endian boolean, kind long, body binary"
+
+    def writer(self, schema, overwrite):
+        raise ValueError("blocks can't be written")
+
 
 def register(spark: SparkSession) -> None:
-    for source in (PcapSource, PcapngSource):
+    for source in (PcapSource, PcapngSource, PcapngBlocks):
         spark.dataSource.register(source)
 
 
@@ -154,3 +238,38 @@ def with_headers(df: DataFrame, data: str = "data") -> DataFrame:
     )
     at = (F.col("ip.header_bytes") + 14).cast("int")
     return out.withColumn("ports", F.when(F.col("ip.protocol").isin(6, 17) & (F.length(d) >= at + 4), F.struct(unsigned(d, at, 2).alias("src"), unsigned(d, at + 2, 2).alias("dst"))))
+
+
+#: Names of block kinds.
+BLOCKS = {PCAPNG_SECTION: "section", INTERFACE: "interface", 2: "packet", SIMPLE: "simple packet", 4: "name resolution", 5: "interface statistics", ENHANCED: "enhanced packet", 0x80000001: "process information"}
+#: Names of link types.
+LINKS = {0: "null", 1: "ethernet", 101: "raw", 113: "linux_sll", 228: "ipv4", 229: "ipv6", 243: "mpeg2_ts"}
+#: The flag bits of a TCP header, from the highest.
+TCP_FLAGS = ("cwr", "ece", "urg", "ack", "psh", "rst", "syn", "fin")
+
+
+def named(column: Column, names: dict[int, str]) -> Column:
+    """The name of a number, "unknown" for others."""
+    return F.coalesce(F.element_at(F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in names]), F.array(*[F.lit(v) for v in names.values()])), column.cast("long")), F.lit("unknown"))
+
+
+def checksum(data: Column, at, n: Column) -> Column:
+    """The ones' complement sum of the 16-bit words of n bytes (an even number) at an offset: 0 over an intact header that holds its checksum."""
+    place = at if isinstance(at, Column) else F.lit(at)
+    total = F.aggregate(F.sequence(F.lit(0), (n / 2).cast("int") - 1), F.lit(0).cast("long"), lambda s, k: s + field(data, place + k * 2, 2))
+    fold = lambda s: s % 65536 + F.floor(s / 65536)
+    return F.lit(65535) - fold(fold(total))
+
+
+def with_transport(df: DataFrame, data: str = "data") -> DataFrame:
+    """Adds to with_headers(df) ip_options (bytes between the first 20 and the header's end), ip_intact (its checksum holds), tcp and udp: fields, flags, and where the payload is. Null where a header isn't there."""
+    d, out = F.col(data), df
+    begin = (F.col("ip.header_bytes") + 14).cast("int")
+    v4 = F.col("ip.version") == 4
+    out = out.withColumn("ip_options", F.when(v4, F.substring(d, F.lit(35), begin - 34))).withColumn("ip_intact", F.when(v4 & (F.length(d) >= begin), checksum(d, 14, begin - 14) == 0))
+    offset = F.shiftright(field(d, begin + 12, 1), 4) * 4
+    flags = F.struct(*[bit(d, begin + 13, k).alias(f) for k, f in enumerate(TCP_FLAGS)])
+    numbers = [field(d, begin + at, n).alias(name) for name, at, n in (("src", 0, 2), ("dst", 2, 2), ("sequence", 4, 4), ("acknowledgement", 8, 4), ("window", 14, 2), ("checksum", 16, 2), ("urgent", 18, 2))]
+    tcp = F.struct(*numbers, offset.alias("header_bytes"), flags.alias("flags"), (begin + offset).alias("payload_at"))
+    udp = F.struct(*[field(d, begin + 2 * k, 2).alias(name) for k, name in enumerate(("src", "dst", "length", "checksum"))], (begin + 8).alias("payload_at"))
+    return out.withColumn("tcp", F.when((F.col("ip.protocol") == 6) & (F.length(d) >= begin + 20), tcp)).withColumn("udp", F.when((F.col("ip.protocol") == 17) & (F.length(d) >= begin + 8), udp))

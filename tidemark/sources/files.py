@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import lines, utf8_decode
 from tidemark.operators.ordered import running
+from tidemark.sources import ranges
 
 
 def walk(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -15,14 +16,19 @@ def walk(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def read_range(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
-    """Bytes from start to end of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.substring("content", start + 1, end - start).alias("data"))
+    """(path, data): the bytes from start to end of each file that has any there, as one value; larger ranges come in pieces from ranges.read."""
+    return ranges.read(spark, path, start, end, max(end - start, 1)).select("path", "data")
 
 
 def read_chunks(spark: SparkSession, path: str, size: int) -> DataFrame:
     """path, off, data: each file in pieces of size bytes."""
-    whole = spark.read.format("binaryFile").load(path).select("path", "content", "length").filter("length > 0")
-    return whole.withColumn("off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long")))).select("path", "off", F.substring(F.col("content"), F.col("off").cast("int") + 1, F.lit(size)).alias("data"))
+    return ranges.read(spark, path, chunk=size)
+
+
+def attributes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """walk() with name, extension, folder and is_empty."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return walk(spark, path, pattern).select("*", name.alias("name"), F.when(F.instr(name, ".") > 0, F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))).otherwise("").alias("extension"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"), (F.col("length") == 0).alias("is_empty"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -43,3 +49,18 @@ def rotated(df: DataFrame, value: str, limit: int, order: str = "seq", key: str
 
 def write_rotated(df: DataFrame, folder: str, value: str, limit: int, order: str = "seq", key: str | None = None) -> None:
     rotated(df, value, limit, order, key).sortWithinPartitions("file", order).select(F.col(value).alias("value"), "file").write.partitionBy("file").text(folder)
+
+
+def write_lines(df: DataFrame, folder: str, value: str, order: str = "seq") -> None:
+    """Text files whose names follow the order: their lines, file by file, are the values in order, each with a line end. Null is an empty line."""
+    df.select(order, F.coalesce(F.col(value), F.lit("")).alias("value")).sort(order).select("value").write.text(folder)
+
+
+def written(spark: SparkSession, folder: str, name: str = "pos") -> DataFrame:
+    """(file, pos, value): the lines that write_lines wrote, with their place in their file."""
+    return read_lines(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("line_no").alias(name), F.col("line").alias("value"))
+
+
+def arrivals(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modificationTime) of each file that appears in a folder, once, as a stream."""
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder).select("path", "length", "modificationTime")
