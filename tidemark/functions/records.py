@@ -92,21 +92,22 @@ def explode(df: DataFrame, records: Column, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(records).alias("record_no", "__r")).select(*keep, "record_no", "__r.*")
 
 
-def frames(data: Column, prefix: int = 4) -> Column:
-    """Length-prefixed messages as an array of bytes; an incomplete last one is left out. Where frames begin is found in Arrow batches, they are cut in the JVM."""
+def frames(data: Column, prefix: int = 4, at: int = 0, n: int | None = None, mask: int = -1, whole: bool = False) -> Column:
+    """Messages as an array of bytes, each after a header of `prefix` bytes (in it, if whole) that holds the message's length: n bytes at an offset, of which mask says the bits. An incomplete last message is left out. Where messages begin is found in Arrow batches, they are cut in the JVM."""
+    n = prefix - at if n is None else n
 
     @F.pandas_udf("array<struct<at:int,n:int>>")
     def places(values: pd.Series) -> pd.Series:
         def of(b):
             if b is None:
                 return None
-            at, out = 0, []
-            while at + prefix <= len(b):
-                n = int.from_bytes(b[at : at + prefix], "big")
-                if at + prefix + n > len(b):
+            k, out = 0, []
+            while k + prefix <= len(b):
+                size = int.from_bytes(b[k + at : k + at + n], "big") & mask
+                if k + prefix + size > len(b):
                     break
-                out.append({"at": at + prefix, "n": n})
-                at += prefix + n
+                out.append({"at": k if whole else k + prefix, "n": size + prefix if whole else size})
+                k += prefix + size
             return out
 
         return values.map(of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +96,21 @@ def scan_chunks(df: DataFrame, chunk: str, value: Column, name: str = "state") -
 def chunk_all(df: DataFrame) -> DataFrame:
     """df as a single chunk (chunk 0), said by its number; nothing is brought together."""
     return df.withColumn("chunk", F.lit(0).cast("long"))
+
+
+def resplit(df: DataFrame, by: str, value: str = "text", order="seq", key: str | None = None) -> DataFrame:
+    """(key, order, k, piece): the texts (of each key) joined in order and split again; a piece goes to the row that ends it, what is left at the end has no row, and is no piece if empty.
+
+    A row's inner pieces are its own; only the first and the last one may go on in another row. They meet by the number of delimiters before them, which is a running sum over narrow rows.
+    """
+    keys = [key] if key else []
+    parts = F.split(F.coalesce(F.col(value), F.lit("")), re.escape(by), -1)
+    narrow = df.select(*keys, order, (F.size(parts) - 1).cast("long").alias("__n")).withColumn("__o", F.struct(*keys, order))
+    counted = running(narrow, F.col("__n"), "__upto", "sum", "__o").select(F.col("__o"), "__n", "__upto")
+    own = df.select(*keys, order, F.struct(*keys, order).alias("__o"), F.posexplode(parts).alias("k", "piece"), F.size(parts).alias("__size"))
+    inner = own.filter("k > 0 and k < __size - 1").select(*keys, order, "k", "piece")
+    edge = own.filter("k = 0 or k = __size - 1").withColumnRenamed("__o", "__own").join(counted, F.col("__own").eqNullSafe(F.col("__o")))
+    edge = edge.withColumn("__number", F.col("__upto") - F.col("__n") + F.col("k")).withColumn("__ends", (F.col("k") == 0) & (F.col("__n") > 0))
+    sorted_parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("piece").alias("p"))))
+    joined = edge.groupBy(*keys, "__number").agg(F.max(F.when(F.col("__ends"), F.col(order))).alias(order), F.array_join(F.transform(sorted_parts, lambda x: x["p"]), "").alias("piece"))
+    return inner.unionByName(joined.filter(F.col(order).isNotNull() | (F.col("piece") != "")).select(*keys, order, F.lit(0).alias("k"), "piece"))

@@ -83,7 +83,12 @@ _rows("buffer_by", f"SELECT CAST(block AS BIGINT) AS block, count(*) AS n, min(s
 _rows("rechunk_randomly", f"SELECT seq, value FROM {E}", lambda e: grouping.rechunk_randomly(e, 7, 64).drop("chunk"))
 
 
-@query("chunk_min")
+_CHUNK_MIN = f"""WITH RECURSIVE e AS (SELECT user_id, us // {DAY} AS chunk, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY us // {DAY}) AS k FROM {E} GROUP BY 1, 2),
+r AS (SELECT user_id, k, chunk, n, n AS held, CAST(0 AS BIGINT) AS g FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.chunk, e.n, CASE WHEN r.held >= 10 THEN e.n ELSE r.held + e.n END, CASE WHEN r.held >= 10 THEN r.g + 1 ELSE r.g END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, chunk, n, g AS "group" FROM r"""
+
+
+@query("chunk_min", _CHUNK_MIN)
 def chunk_min(s, d):
     days = events(s, d, "user_id", "ts").groupBy("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / DAY).alias("chunk")).agg(F.count("*").alias("n"))
     return scans.run(days, scans.ChunkMin(10), "user_id long, chunk long, n long, group long", "user_id", "chunk")

@@ -134,7 +134,10 @@ _KEPT = """WITH RECURSIVE e AS (SELECT user_id, seq, value, row_number() OVER (P
 r AS (SELECT user_id, seq, value, k, value AS last, true AS kept FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.seq, e.value, e.k, greatest(e.value, r.last), e.value > r.last FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
 SELECT user_id, seq, value FROM r WHERE kept"""
 query("filter_with_previous", _KEPT)(lambda s, d: scans.run(events(s, d, "user_id", "value"), scans.FilterWithPrevious(lambda a, b: b > a), SCANNED, "user_id"))
-query("resplit_words")(lambda s, d: scans.run(table(s, d, "documents").select(F.col("doc_id").alias("seq"), "lang", "text"), scans.Resplit("\n"), "lang string, seq long, k int, piece string", "lang"))
+_RESPLIT = """WITH d AS (SELECT lang, doc_id, text, n, CAST(sum(n) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS upto FROM (SELECT lang, doc_id, coalesce(text, '') AS text, length(text) - length(replace(text, chr(10), '')) AS n FROM documents)),
+p AS (SELECT lang, generate_subscripts(x, 1) AS i, unnest(x) AS piece, len(x) AS most FROM (SELECT lang, string_split(string_agg(text, '' ORDER BY doc_id), chr(10)) AS x FROM d GROUP BY lang))
+SELECT p.lang, d.doc_id AS seq, CAST(i - 1 - (upto - n) AS INTEGER) AS k, piece FROM p JOIN d ON d.lang = p.lang AND i > upto - n AND i <= upto UNION ALL SELECT lang, NULL, 0, piece FROM p WHERE i = most AND piece <> ''"""
+query("resplit_words", _RESPLIT)(lambda s, d: grouping.resplit(table(s, d, "documents").select(F.col("doc_id").alias("seq"), "lang", "text"), "\n", key="lang"))
 
 _V = "(SELECT vec_id, embedding AS a FROM embeddings)"
 
