@@ -77,3 +77,16 @@ def scalar(df: DataFrame, aggregate: Column, name: str) -> DataFrame:
 def with_scalar(df: DataFrame, aggregate: Column, name: str, of: DataFrame | None = None) -> DataFrame:
     """df with one aggregate of the whole frame (or of another one) on every row; the aggregate is one row by construction."""
     return df.crossJoin(F.broadcast(scalar(df if of is None else of, aggregate, name)))
+
+
+#: Numbers that one row makes at once in spread().
+SPREAD = 4096
+
+
+def spread(df: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """Rows for every number from low to high, none if low is the larger one. Blocks of numbers are made first, then the numbers of each, so that no row holds a long list of them."""
+    rows = df.withColumns({"__low": low.cast("long"), "__high": high.cast("long")}).filter("__low <= __high")
+    block = lambda c: F.floor(F.col(c) / SPREAD)
+    blocks = rows.withColumn("__b", F.explode(F.sequence(block("__low"), block("__high"))))
+    first = F.col("__b") * SPREAD
+    return blocks.withColumn(name, F.explode(F.sequence(F.greatest("__low", first), F.least(F.col("__high"), first + SPREAD - 1)))).drop("__low", "__high", "__b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import near, running, with_index, with_scalar
+from tidemark.operators.ordered import near, running, spread, with_index, with_scalar
 from tidemark.operators.pairing import latest
 from tidemark.operators.timeseries import micros
 
@@ -24,7 +24,7 @@ def keep_alive(df: DataFrame, idle: int, order="seq", ts="ts") -> DataFrame:
     """(seq, us, beat): the rows and, in gaps, a heartbeat after every `idle`; its seq is that of the row before the gap. A gap makes its own beats."""
     gaps = near(df.select(order, micros(ts).alias("us")), lambda w: {"__next": F.lead("us").over(w)}, 0, 1, order)
     beats = F.floor((F.col("__next") - F.col("us") - 1) / idle).cast("long")
-    added = gaps.filter(beats >= 1).select(order, F.col("us"), F.explode(F.sequence(F.lit(1).cast("long"), beats)).alias("k")).select(order, (F.col("us") + F.col("k") * idle).alias("us"), F.lit(True).alias("beat"))
+    added = spread(gaps.filter(F.col("__next").isNotNull()), F.lit(1), beats, "k").select(order, (F.col("us") + F.col("k") * idle).alias("us"), F.lit(True).alias("beat"))
     return gaps.select(order, "us", F.lit(False).alias("beat")).unionByName(added)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import near, running, with_index, with_scalar
+from tidemark.operators.ordered import near, running, spread, with_index, with_scalar
 
 HOUR = 3_600_000_000
 
@@ -25,7 +25,7 @@ def rate(df: DataFrame, period: int, value: Column, order="seq", ts="ts", name="
     rows = _bucketed(df, period, order, ts)
     sums = rows.withColumn("__v", value).groupBy("__b").agg(F.count("*").alias("n"), F.sum("__v").alias(name))
     span = rows.agg(F.max("__b").alias("m"), F.min("__t0").alias("t0")).filter("m is not null")
-    every = span.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("bucket"), "t0")
+    every = spread(span, F.lit(0), F.col("m"), "bucket").select("bucket", "t0")
     joined = every.join(sums, every["bucket"] == sums["__b"], "left")
     return joined.select("bucket", F.timestamp_micros(F.col("t0") + (F.col("bucket") + 1) * period).alias("ts"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(name, F.lit(0)).alias(name))
 
@@ -59,7 +59,7 @@ def interpolate_ticks(df: DataFrame, period: int, value: str, order="seq", ts="t
     rows = with_scalar(df.withColumn("__us", micros(ts)), F.min("__us"), "__t0")
     gaps = near(rows, lambda w: {"__prev": F.lag("__us").over(w)}, 1, 0, order)
     k = lambda c: F.floor((c - F.col("__t0")) / period)
-    ticks = gaps.filter(F.col("__prev").isNotNull() & (k(F.col("__us")) > k(F.col("__prev")))).select(F.explode(F.sequence(k(F.col("__prev")) + 1, k(F.col("__us")))).alias("n"), "__t0")
+    ticks = spread(gaps.filter(F.col("__prev").isNotNull()).select("__prev", "__us", "__t0"), k(F.col("__prev")) + 1, k(F.col("__us")), "n")
     out = ticks.select(F.timestamp_micros(F.col("__t0") + F.col("n") * period).alias("ts"), F.lit(True).alias("is_tick"), F.lit(None).cast("long").alias(order), F.lit(None).cast(dict(df.dtypes)[value]).alias(value))
     return df.select(F.col(ts).alias("ts"), F.lit(False).alias("is_tick"), F.col(order).cast("long").alias(order), value).unionByName(out)
 
