@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("decontamination", benchmark), ("personal data", personal_data), ("packing", packed)]
-#: The classifier, the forest and the tokenizer have no SQL form; tests compare each stage with brute force.
+#: The classifier, the forest and the tokenizer have no SQL form; tests hold each stage against plain Python on a small corpus.
 ORACLE_SQL = None
 
 
