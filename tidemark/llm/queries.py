@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, licences, near, packing, pii, pitman_yor, quality_rules, ranking, token_counts, warc
+from tidemark.llm import chat, decontaminate, licences, near, packing, pii, pitman_yor, prefix_trie, quality_rules, ranking, token_counts, warc
 from tidemark.llm.common import table
 
 
@@ -59,12 +59,16 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.regrown(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_pitman_yor, op3_bradley_terry, op4_contextual_pii, op5_lsh_forest, op6_chat_format, op7_best_fit_packing, op8_quality_ledger, op9_warc_round_trip, op10_template_decontamination, op12_token_counts)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pitman_yor, op3_bradley_terry, op4_contextual_pii, op5_lsh_forest, op6_chat_format, op7_best_fit_packing, op8_quality_ledger, op9_warc_round_trip, op10_template_decontamination, op12_token_counts, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licences.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL, "op8_quality_ledger": quality_rules.ORACLE_SQL, "op9_warc_round_trip": WARC_SQL}
+    return {"op1_license_scan": licences.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL, "op8_quality_ledger": quality_rules.ORACLE_SQL, "op9_warc_round_trip": WARC_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
 
 
 WARC_SQL = """
