@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, licences, near, packing, pii, pitman_yor, prefix_trie, quality_rules, ranking, token_counts, warc
+from tidemark.llm import alignment, chat, decontaminate, licences, near, packing, pii, pitman_yor, prefix_trie, quality_rules, ranking, token_counts, warc
 from tidemark.llm.common import table
 
 
@@ -55,6 +55,12 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,7 +70,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_pitman_yor, op3_bradley_terry, op4_contextual_pii, op5_lsh_forest, op6_chat_format, op7_best_fit_packing, op8_quality_ledger, op9_warc_round_trip, op10_template_decontamination, op12_token_counts, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pitman_yor, op3_bradley_terry, op4_contextual_pii, op5_lsh_forest, op6_chat_format, op7_best_fit_packing, op8_quality_ledger, op9_warc_round_trip, op10_template_decontamination, op11_cross_tokenizer_alignment, op12_token_counts, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
