@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_folder, small_batches
+from tidemark.llm.common import fresh_folder, most_frequent, small_batches
 
 #: Id pairs whose counts are broadcast.
 COMMON = 1 << 18
@@ -260,7 +260,7 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str, common: int =
     found = spark.read.schema(ALIGNED).parquet(path)
     pair_counts(found, n_b).write.parquet(path := fresh_folder(spark, "pairs"))
     counts = spark.read.schema("pair long, n_docs long, best boolean").parquet(path)
-    top = F.broadcast(counts.orderBy(F.desc("n_docs"), "pair").limit(common))
+    top = F.broadcast(most_frequent(counts, "n_docs", common))
     links = found.select("row", F.inline("pairs"))
     sums = [F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n_docs")).alias("count_sum")]
     near = links.join(top, "pair").groupBy("row").agg(*sums)
