@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_folder, most_frequent, small_batches
+from tidemark.llm.words import span_index
 
 #: Id pairs whose counts are broadcast.
 COMMON = 1 << 18
@@ -32,12 +33,6 @@ _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
 
-def span_index(at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """at[0], at[0] + 1 ... (size[0] numbers), then those of at[1] and so on."""
-    ends = np.cumsum(size)
-    return np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Side:
     """The tokens of remembered pieces, one after another: ids, and their ends within the piece."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
 from tidemark.llm.common import byte_texts, materialise, runs, small_batches
-from tidemark.llm.words import IS_SPACE, Words, _power_tables, mix
+from tidemark.llm.words import IS_SPACE, Words, mix
 
 WIDTH, LITERALS = 8, 5
 FILTER_BITS = 1 << 24
@@ -65,6 +65,20 @@ def is_literal(code: np.ndarray) -> np.ndarray:
     return (code != NUM) & (code != NAME) & (code != UNIT)
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _UNBASE)):
+            steps = np.full(max(n, 1 << 21) + 1024, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers
+
+
 def hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the words code[start:end] for every pair, at the same cost whatever their lengths."""
     up, down = _power_tables(len(code) + 1)

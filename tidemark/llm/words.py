@@ -1,27 +1,38 @@
-"""64-bit hashes of words and word windows, a few hundred thousand words per numpy call.
+"""64-bit hashes of words and word windows, a few hundred thousand words at a time.
 
-A word is a maximal run without space or tab..carriage return; A-Z is lower-cased. A word's hash is a polynomial of its bytes modulo 2**64, taken as a difference of prefix sums, then mixed.
+A word is a maximal run without space or tab..carriage return; A-Z is lower-cased. A word's hash is eight bytes of its BLAKE2b digest, found once for each distinct word that a worker remembers.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Most distinct words that a worker remembers, and their bytes, before it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 1 << 25
+
+
+class Hashes(dict):
+    """The hash of each word; `ignored` bytes are no part of it, and a word of such bytes alone has hash 0."""
+
+    def __init__(self, ignored: bytes = b""):
+        self.ignored, self.held = ignored, 0
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.clear()
+            self.held = 0
+        kept = word.translate(None, self.ignored) if self.ignored else word
+        self[word] = out = int.from_bytes(hashlib.blake2b(kept, digest_size=8).digest(), "little") if kept else 0
+        self.held += len(word)
+        return out
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _UNBASE)):
-            steps = np.full(max(n, 1 << 21) + 1024, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+_known: dict[bytes, Hashes] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,40 +42,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for every pair; spans may touch but not overlap the end of data."""
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
-
-
 class Words:
     """The words of some texts in order. bounds[k]:bounds[k+1] are those of text k; start and end index data."""
 
     def __init__(self, texts: list[bytes], keep: np.ndarray | None = None):
-        """keep: a 256-entry flag table; other bytes are no part of a word's hash (a word of such bytes alone hashes as empty)."""
-        self.data = np.frombuffer(b" ".join(texts).translate(TO_LOWER) + b" ", np.uint8)
+        """keep: a 256-entry flag table; other bytes are no part of a word's hash (a word of such bytes alone has hash 0)."""
+        raw = b" ".join(texts).translate(TO_LOWER) + b" "
+        self.data = np.frombuffer(raw, np.uint8)
         space = IS_SPACE[self.data].view(np.int8)
         edge = np.diff(space, prepend=np.int8(1))
         self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if keep is None:
-            self.hash = span_hash(self.data, self.start, self.end)
-        else:
-            up, down = _power_tables(len(self.data) + 1)
-            held = keep[self.data]
-            rank = np.zeros(len(self.data) + 1, np.int64)
-            np.cumsum(held, out=rank[1:])
-            values = self.data[held].astype(np.uint64) + np.uint64(1)
-            total = np.zeros(len(values) + 1, np.uint64)
-            np.cumsum(values * up[: len(values)], out=total[1:])
-            lo, hi = rank[self.start], rank[self.end]
-            self.hash = mix((total[hi] - total[lo]) * down[lo])
+        ignored = b"" if keep is None else bytes(np.flatnonzero(~keep).tolist())
+        known = _known.setdefault(ignored, Hashes(ignored))
+        self.hash = np.fromiter(map(known.__getitem__, raw.split()), np.uint64, len(self.start))
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(x) + 1 for x in texts], out=at[1:])
         self.bounds = np.searchsorted(self.start, at)
 
 
+def span_index(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1 ... (size[0] numbers), then those of at[1] and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def windows(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` neighbours of h, in order."""
     n = len(h) - width + 1
