@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.plans import binaries, broadcasts, effects, further, machines, more, parallel, sequences, streams, texts, times  # noqa: F401
+from tidemark.plans import binaries, broadcasts, effects, further, machines, more, parallel, sequences, streams, texts, timed, times  # noqa: F401
