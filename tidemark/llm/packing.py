@@ -8,7 +8,6 @@ Defined results: a null or empty text is one piece holding the end id alone; rep
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import os
 import zlib
@@ -22,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_texts, runs, small_batches
-from tidemark.llm.words import span_index
+from tidemark.llm.words import mix, span_index
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int"
 #: Most distinct words whose ids a worker remembers, and their bytes, before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 1 << 26
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 1 << 26
 #: Bytes of text that are looked up together.
 TOGETHER = 1 << 21
 
@@ -41,22 +40,28 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
 
 
-class Numbers(dict):
-    """Numbers words as they are met; `met` lists the words of several such tables in the order of their numbers, as they stand in texts."""
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self, met: list[bytes], lead: bytes):
-        self.met, self.lead = met, lead
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.met)
-        self.met.append(self.lead + word)
-        return n
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial of data[start:end] modulo 2 ** 64 for every pair, as a difference of prefix sums, mixed. Some different words agree; bytes must be compared."""
+    if len(_powers[0]) <= len(data):
+        for k, base in enumerate((_BASE, _UNBASE)):
+            steps = np.full(max(len(data) + 1, 1 << 21) + 1024, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    up, down = _powers
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
 
 
 class WordTokenizer:
     """A byte-level BPE tokenizer applied to space-led words, each distinct word once.
 
-    Such a tokenizer never merges across the start of a space-led word, so where every space stands alone between other characters, a text's ids are those of its words in a row. Other texts, and those with an added token's text, are encoded whole. Words are told apart by their bytes; new ones are encoded together in one text, where each begins with the only ids that start with a space.
+    Such a tokenizer never merges across the start of a space-led word, so where every space stands alone between other characters, a text's ids are those of its words in a row. Other texts, and those with an added token's text, are encoded whole. Words are found by 64-bit hashes in sorted arrays and compared by their bytes; a text with a word that shares its hash with another one is encoded whole. New words are encoded together in one text, where each begins with the only ids that start with a space.
     """
 
     def __init__(self, path: str):
@@ -70,10 +75,10 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.met: list[bytes] = []
-        self.led, self.bare, self.held = Numbers(self.met, b" "), Numbers(self.met, b""), 0
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.letters, self.written = np.zeros(1 << 16, np.uint8), 0  # the words themselves, one after another
+        self.word, self.long = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,41 +99,83 @@ class WordTokenizer:
         return out
 
     def _words(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.met) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            self._forget()
-        split = [x.split(b" ") for x in texts]
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        first = np.cumsum(count) - count
-        numbers = np.fromiter(itertools.chain.from_iterable(itertools.chain((self.bare[x[0]],), map(self.led.__getitem__, itertools.islice(x, 1, None))) for x in split), np.int64, int(count.sum()))
-        if len(self.met) > len(self.at):
-            self._learn(self.met[len(self.at) :])
-        size = self.size[numbers]
-        ids = self.pool[span_index(self.at[numbers], size)]
-        ends = np.append(0, np.cumsum(size))
-        return [ids[a:b] for a, b in zip(ends[first].tolist(), ends[first + count].tolist(), strict=True)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of the words with the next numbers."""
-        led = np.array([w[:1] == b" " for w in new])
-        size = np.zeros(len(new), np.int64)
-        texts = [w.decode() for w in new]
-        joined = self.whole(["".join(texts[i] for i in part) for part in np.array_split(np.flatnonzero(led), led.sum() // 512 + 1) if len(part)])
-        begins = [np.flatnonzero(self.leads[ids]) for ids in joined]
-        sizes = [np.diff(np.append(b, len(ids))) for b, ids in zip(begins, joined, strict=True)]
-        bare = self.whole([texts[i] for i in np.flatnonzero(~led)])
-        if sum(map(len, sizes)) != led.sum() or any(len(b) and b[0] for b in begins):
+        data = np.frombuffer(b" " + b" ".join(texts), np.uint8)
+        start = np.flatnonzero(data == 32)
+        end = np.append(start[1:], len(data))
+        lengths = np.array([len(x) + 1 for x in texts])
+        first = np.searchsorted(start, np.cumsum(lengths) - lengths)
+        hashed = span_hash(data, start, end)
+        hashed[first] ^= np.uint64(0x5851F42D4C957F2D)  # the same letters without a space before them
+        keys, sample, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        found = np.searchsorted(self.keys, keys)
+        known = found < len(self.keys)
+        known[known] = self.keys[found[known]] == keys[known]
+        if not known.all():
+            if len(self.keys) > REMEMBERED or self.written > REMEMBERED_BYTES:
+                self._forget()
+                known[:] = False
+            self._learn(data, start, end, keys[~known], sample[~known], np.isin(sample[~known], first))
+            found = np.searchsorted(self.keys, keys)
+        other = self._others(data, start, end, sample, inverse, found)
+        at, size = self.at[found][inverse], self.size[found][inverse]
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(at - ends + size, size) + np.arange(ends[-1])]
+        cuts = np.append(ends - size, ends[-1])[np.append(first, len(start))]
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k in np.unique(np.searchsorted(first, np.flatnonzero(other), "right") - 1).tolist():
+            out[k] = self.whole([texts[k].decode()])[0]
+        return out
+
+    def _others(self, data, start, end, sample, inverse, found) -> np.ndarray:
+        """Which words are not the remembered one of the same hash. All words are compared with their sample, the samples with what is remembered."""
+        long = end - start
+
+        def differ(a, size, pool, b, n) -> np.ndarray:
+            """Whether data[a:a+size] and pool[b:b+n] do."""
+            out = size != n
+            like = np.flatnonzero(~out)
+            size = size[like]
+            unequal = data[span_index(a[like], size)] != pool[span_index(b[like], size)]
+            total = np.append(0, np.cumsum(unequal))
+            ends = np.cumsum(size)
+            out[like] = total[ends] > total[ends - size]
+            return out
+
+        of_sample = differ(start[sample], long[sample], self.letters, self.word[found], self.long[found])
+        return of_sample[inverse] | differ(start, long, data, start[sample][inverse], long[sample][inverse])
+
+    def _learn(self, data, start, end, keys, sample, leading) -> None:
+        raw = data.tobytes()
+        order = np.argsort(leading, kind="stable")
+        keys, sample, n_led = keys[order], sample[order], int((~leading).sum())
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        texts = [raw[start[s] : end[s]].decode() for s in sample[:n_led]]
+        for ids in self.whole(["".join(texts[lo : lo + 512]) for lo in range(0, n_led, 512)]):
+            begin = np.flatnonzero(self.leads[ids])
+            parts.append(ids)
+            sizes.append(np.diff(np.append(begin, len(ids))))
+        bare = self.whole([raw[start[s] + 1 : end[s]].decode() for s in sample[n_led:]])
+        parts += bare
+        sizes.append(np.array([len(x) for x in bare], np.int64))
+        size, ids = np.concatenate(sizes), np.concatenate(parts)
+        if len(size) != len(keys):
             raise ValueError("the tokenizer doesn't keep words apart")
-        size[led], size[~led] = np.concatenate([*sizes, np.zeros(0, np.int64)]), [len(x) for x in bare]
-        ids = np.concatenate([*joined, *bare])
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(len(ids) + self.used // 2, "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
-        order = np.append(np.flatnonzero(led), np.flatnonzero(~led))  # as the ids stand in the pool
-        at = np.zeros(len(new), np.int64)
-        at[order] = self.used + np.cumsum(size[order]) - size[order]
+        at = self.used + np.cumsum(size) - size
         self.used += len(ids)
-        self.held += sum(map(len, new))
-        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        order = np.argsort(keys)
+        put = np.searchsorted(self.keys, keys[order])
+        self.keys, self.at, self.size = np.insert(self.keys, put, keys[order]), np.insert(self.at, put, at[order]), np.insert(self.size, put, size[order])
+        long = end[sample] - start[sample]
+        if self.written + long.sum() > len(self.letters):
+            self.letters = np.concatenate([self.letters[: self.written], np.zeros(int(long.sum()) + self.written // 2, np.uint8)])
+        self.letters[self.written : self.written + long.sum()] = data[span_index(start[sample], long)]
+        word = self.written + np.cumsum(long) - long
+        self.written += int(long.sum())
+        self.word, self.long = np.insert(self.word, put, word[order]), np.insert(self.long, put, long[order])
 
 
 @functools.lru_cache(maxsize=1)
