@@ -93,23 +93,23 @@ def _before(blocks: DataFrame, identity: list[int], fan: int) -> DataFrame:
     return up.groupBy("__up").cogroup(above.withColumnRenamed("__block", "__up").groupBy("__up")).applyInPandas(inside, schema)
 
 
-def run(df: DataFrame, machine: Machine, symbol: Column, order: str = "seq", key: str | None = None, state: str = "state", output: str = "output", block: int = 0, fan: int = 0) -> DataFrame:
-    """df with the state after each row and what the machine puts out there; a null symbol has no step."""
-    known, (goes, says, outputs) = machine.symbols(), machine.tables()
-    size, n_states, first = block or BLOCK, len(machine.states), machine.first
-    number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, s in enumerate(known) for x in (s, k)]), symbol) if known else F.lit(None).cast("int"), F.lit(len(known)))
-    rows = with_index(df, [key, order] if key else order, name="__i")
-    if key:
-        rows = pinned(rows)
-        firsts = rows.groupBy(key).agg(F.min("__i").alias("__i")).select("__i", F.lit(True).alias("__new"))
-        rows = rows.join(firsts, "__i", "left").na.fill(False, ["__new"])
-    else:
-        rows = rows.withColumn("__new", F.col("__i") == 0)
-    rows = pinned(rows.withColumns({"__s": number.cast("int"), "__block": F.floor(F.col("__i") / size)}))
-    narrow = rows.select("__i", "__s", "__new", "__block")
+def numbered(df: DataFrame, order: str, key: str | list[str] | None) -> DataFrame:
+    """df, pinned, with __i, its position in the order of the keys and `order`, and __new where a key's rows begin."""
+    keys = [key] if isinstance(key, str) else list(key or [])
+    rows = pinned(with_index(df, [*keys, order], name="__i"))
+    if not keys:
+        return rows.withColumn("__new", F.col("__i") == 0)
+    firsts = rows.groupBy(*keys).agg(F.min("__i").alias("__i")).select("__i", F.lit(True).alias("__new"))
+    return rows.join(firsts, "__i", "left").na.fill(False, ["__new"])
+
+
+def entering(rows: DataFrame, n_states: int, first: int = 0, block: int = 0, fan: int = 0) -> DataFrame:
+    """__i and __enters, the state before each row. rows: __i without gaps, __new where a sequence begins (in state `first`), and __f, an array with the state after the row for each state before it."""
+    size = block or BLOCK
+    narrow = pinned(rows.select("__i", "__new", "__f", F.floor(F.col("__i") / size).alias("__block")))
 
     def functions(part: pd.DataFrame) -> np.ndarray:
-        f = goes[part["__s"].to_numpy()]
+        f = np.stack(part["__f"].to_list())
         new = part["__new"].to_numpy(bool)
         f[new] = f[new][:, [first]]
         return f
@@ -120,17 +120,27 @@ def run(df: DataFrame, machine: Machine, symbol: Column, order: str = "seq", key
 
     def told(part: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         if part.empty:
-            return pd.DataFrame({"__i": [], "__state": [], "__says": []}).astype({"__i": np.int64, "__state": np.int32, "__says": np.int32})
+            return pd.DataFrame({"__i": np.zeros(0, np.int64), "__enters": np.zeros(0, np.int32)})
         part = part.sort_values("__i")
         enters = int(above["__f"].iloc[0][first])
-        after = prefixes(functions(part))[:, enters]
-        held = np.append(enters, after[:-1])
+        held = np.append(enters, prefixes(functions(part))[:-1, enters])
         held[part["__new"].to_numpy(bool)] = first
-        return pd.DataFrame({"__i": part["__i"].to_numpy(np.int64), "__state": after.astype(np.int32), "__says": says[part["__s"].to_numpy(), held].astype(np.int32)})
+        return pd.DataFrame({"__i": part["__i"].to_numpy(np.int64), "__enters": held.astype(np.int32)})
 
     before = _before(pinned(narrow.groupBy("__block").applyInPandas(whole, "__block long, __f array<long>")), list(range(n_states)), fan or FAN)
-    states = narrow.groupBy("__block").cogroup(before.groupBy("__block")).applyInPandas(told, "__i long, __state int, __says int")
+    return narrow.groupBy("__block").cogroup(before.select(F.col("__block").alias("__of"), F.col("__f").alias("__above")).withColumnRenamed("__above", "__f").groupBy("__of")).applyInPandas(told, "__i long, __enters int")
+
+
+def run(df: DataFrame, machine: Machine, symbol: Column, order: str = "seq", key: str | None = None, state: str = "state", output: str = "output", block: int = 0, fan: int = 0) -> DataFrame:
+    """df with the state after each row and what the machine puts out there; a null symbol has no step."""
+    known, (goes, says, outputs) = machine.symbols(), machine.tables()
+    number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, s in enumerate(known) for x in (s, k)]), symbol) if known else F.lit(None).cast("int"), F.lit(len(known))).cast("int")
+    by_symbol = lambda table: F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in row]) for row in table]), F.col("__s") + 1)
+    rows = numbered(df, order, key).withColumn("__s", number)
+    states = entering(rows.withColumn("__f", by_symbol(goes)), len(machine.states), machine.first, block, fan)
+    here = F.col("__enters") + 1
     named = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at)
+    said = F.element_at(by_symbol(says), here)
     out = rows.join(states, "__i")
-    said = F.when(F.col("__says") > 0, named(outputs, F.greatest(F.col("__says"), F.lit(1)))) if outputs else F.lit(None).cast("string")
-    return out.withColumns({state: named(machine.states, F.col("__state") + 1), output: said}).select(*df.columns, state, output)
+    spoken = F.when(said > 0, named(outputs, F.greatest(said, F.lit(1)))) if outputs else F.lit(None).cast("string")
+    return out.withColumns({state: named(machine.states, F.element_at(by_symbol(goes), here) + 1), output: spoken}).select(*df.columns, state, output)

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import automata
 from tidemark.operators.ordered import near, running, with_index, with_scalar
+from tidemark.operators.storage import pinned
 
 
 def chunk_n(df: DataFrame, n: int, order="seq", key=None, partial: bool = True) -> DataFrame:
@@ -98,19 +100,67 @@ def chunk_all(df: DataFrame) -> DataFrame:
     return df.withColumn("chunk", F.lit(0).cast("long"))
 
 
-def resplit(df: DataFrame, by: str, value: str = "text", order="seq", key: str | None = None) -> DataFrame:
-    """(key, order, k, piece): the texts (of each key) joined in order and split again; a piece goes to the row that ends it, what is left at the end has no row, and is no piece if empty.
+def resplit(df: DataFrame, by: str, value: str = "text", order="seq", key: str | None = None, number: str = "k", piece: str = "piece") -> DataFrame:
+    """(key, order, k, piece): the texts (of each key) joined in order and split again; a piece goes to the row that ends it, what is left at the end has no row, and is no piece if empty. A null text is empty.
+
+    A delimiter of several characters may lie across rows. What matters of the rows before is how much of a delimiter they end with: a state, of which there are as many as the delimiter has characters, and which automata.entering finds for all rows in parallel. A row then begins with that part of a delimiter and leaves its own to the next.
 
     A row's inner pieces are its own; only the first and the last one may go on in another row. They meet by the number of delimiters before them, which is a running sum over narrow rows.
     """
+    if not by:
+        raise ValueError("an empty delimiter splits nothing")
     keys = [key] if key else []
-    parts = F.split(F.coalesce(F.col(value), F.lit("")), re.escape(by), -1)
-    narrow = df.select(*keys, order, (F.size(parts) - 1).cast("long").alias("__n")).withColumn("__o", F.struct(*keys, order))
-    counted = running(narrow, F.col("__n"), "__upto", "sum", "__o").select(F.col("__o"), "__n", "__upto")
-    own = df.select(*keys, order, F.struct(*keys, order).alias("__o"), F.posexplode(parts).alias("k", "piece"), F.size(parts).alias("__size"))
-    inner = own.filter("k > 0 and k < __size - 1").select(*keys, order, "k", "piece")
-    edge = own.filter("k = 0 or k = __size - 1").withColumnRenamed("__o", "__own").join(counted, F.col("__own").eqNullSafe(F.col("__o")))
-    edge = edge.withColumn("__number", F.col("__upto") - F.col("__n") + F.col("k")).withColumn("__ends", (F.col("k") == 0) & (F.col("__n") > 0))
-    sorted_parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("piece").alias("p"))))
-    joined = edge.groupBy(*keys, "__number").agg(F.max(F.when(F.col("__ends"), F.col(order))).alias(order), F.array_join(F.transform(sorted_parts, lambda x: x["p"]), "").alias("piece"))
-    return inner.unionByName(joined.filter(F.col(order).isNotNull() | (F.col("piece") != "")).select(*keys, order, F.lit(0).alias("k"), "piece"))
+    if {number, piece} & {order, *keys}:
+        raise ValueError(f"{number} and {piece} must not name the order or the key; choose other names")
+    cut = lambda text: F.split(text, re.escape(by), -1)
+
+    def held(text: Column) -> Column:
+        """Characters of an unfinished delimiter at the end of text, which begins inside none."""
+        rest = F.element_at(cut(text), -1)
+        return F.coalesce(*[F.when(F.endswith(rest, F.lit(by[:k])), k) for k in range(len(by) - 1, 0, -1)], F.lit(0))
+
+    own = F.coalesce(F.col(value), F.lit(""))
+    if len(by) == 1:
+        rows = df.select(*keys, F.col(order), own.alias("__t"), F.lit(0).alias("__leaves"))
+    else:
+        placed = pinned(automata.numbered(df.select(*keys, order, own.alias("__own")), order, key))
+        states = automata.entering(placed.withColumn("__f", F.array(*[held(F.concat(F.lit(by[:k]), "__own")) for k in range(len(by))])), len(by))
+        led = F.concat(F.element_at(F.array(*[F.lit(by[:k]) for k in range(len(by))]), F.col("__enters") + 1), "__own")
+        rows = placed.join(states, "__i").select(*keys, order, led.alias("__t")).withColumn("__leaves", held(F.col("__t")))
+    rows = rows.select(F.struct(*keys, order).alias("__o"), cut(F.col("__t")).alias("__parts"), "__leaves")
+    last = F.element_at("__parts", -1)
+    whole = rows.select("__o", F.concat(F.slice("__parts", 1, F.size("__parts") - 1), F.array(last.substr(F.lit(1), F.length(last) - F.col("__leaves")))).alias("__parts"))
+    tails = None
+    if len(by) > 1:  # what the last row of all, or of a key, leaves is no delimiter
+        ends = rows.groupBy(*[F.col(f"__o.{c}").alias(f"__k{i}") for i, c in enumerate(keys)]).agg(F.max("__o").alias("__last"), F.max_by("__leaves", "__o").alias("__leaves"))
+        tails = ends.filter("__leaves > 0").select("__last", F.lit(by).substr(F.lit(1), F.col("__leaves")).alias("__p"))
+    met = meeting(whole, keys, tails).filter(F.col("__end").isNotNull() | (F.col("__p") != ""))
+    return met.select(*[F.col(f"__any.{c}").alias(c) for c in keys], F.col(f"__end.{order}").alias(order), F.col("__k").alias(number), F.col("__p").alias(piece))
+
+
+def meeting(rows: DataFrame, keys: list[str], tails: DataFrame | None = None, indexed: bool = False) -> DataFrame:
+    """Parts of rows' texts, the last part of a row going on in the first of the next one (of its key). rows: __o, a struct of the keys and an order, and __parts. tails: __last, the __o of a row, and __p, text that follows it.
+
+    Returns __any, the __o of a row of the part; __end, that of the row that ends it (null where no row does); __k, its number among the parts of that row; __p; and, if indexed, __index, its number among the parts of its key.
+    """
+    narrow = rows.select("__o", (F.size("__parts") - 1).cast("long").alias("__n"))
+    upto = running(narrow, F.col("__n"), "__upto", "sum", "__o")
+    counted = pinned(upto.select(F.col("__o").alias("__at"), (F.col("__upto") - F.col("__n")).alias("__before"), F.col("__upto").alias("__upto")))
+    parts = rows.join(counted.select("__at", "__before"), F.col("__o").eqNullSafe(F.col("__at"))).drop("__at") if indexed else rows.withColumn("__before", F.lit(None).cast("long"))
+    parts = parts.select("__o", "__before", F.size("__parts").alias("__size"), F.posexplode("__parts").alias("__k", "__p"))
+    inner = parts.filter("__k > 0 and __k < __size - 1").select(F.col("__o").alias("__any"), F.col("__o").alias("__end"), "__k", "__p", (F.col("__before") + F.col("__k")).alias("__index"))
+    edge = parts.filter("__k = 0 or __k = __size - 1").drop("__before").join(counted, F.col("__o").eqNullSafe(F.col("__at")))
+    edge = edge.select("__o", (F.col("__before") + F.col("__k")).alias("__number"), ((F.col("__k") == 0) & (F.col("__size") > 1)).alias("__ends"), "__p", F.lit(0).alias("__after"))
+    if tails is not None:
+        edge = edge.unionByName(tails.join(counted, F.col("__last").eqNullSafe(F.col("__at"))).select(F.col("__last").alias("__o"), F.col("__upto").alias("__number"), F.lit(False).alias("__ends"), "__p", F.lit(1).alias("__after")))
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("__o").alias("o"), F.col("__after").alias("a"), F.col("__p").alias("p"))))
+    of_key = [F.col(f"__o.{c}").alias(f"__k{i}") for i, c in enumerate(keys)]
+    joined = edge.groupBy(*of_key, "__number").agg(F.max("__o").alias("__any"), F.max(F.when(F.col("__ends"), F.col("__o"))).alias("__end"), F.array_join(F.transform(in_order, lambda x: x["p"]), "").alias("__p"))
+    out = inner.unionByName(joined.select("__any", "__end", F.lit(0).alias("__k"), "__p", F.col("__number").alias("__index")))
+    if not indexed:
+        return out.drop("__index")
+    if not keys:
+        return out
+    first = counted.groupBy(*[F.col(f"__at.{c}").alias(f"__f{i}") for i, c in enumerate(keys)]).agg(F.min("__before").alias("__first"))
+    same = [F.col(f"__any.{c}").eqNullSafe(F.col(f"__f{i}")) for i, c in enumerate(keys)]
+    return out.join(first, same).withColumn("__index", F.col("__index") - F.col("__first")).drop("__first", *[f"__f{i}" for i in range(len(keys))])

@@ -53,11 +53,25 @@ def _beyond(df, n: int, order: str, least: bool):
     return with_scalar(df, (F.max if least else F.min)(order), "__end", ends)
 
 
+def _by_bound(df, n: int, order: str, least: bool) -> bool:
+    """Whether comparing orders tells the n rows at an end from the rest: they lie near it, and exactly n have an order up to that of the n-th. Otherwise positions do, in the order of the other columns where orders are equal."""
+    if n > NEAR_END:
+        return False
+    inside = F.col(order).isNull() | (F.col(order) <= F.col("__end")) if least else F.col(order) >= F.col("__end")
+    return _beyond(df, n, order, least).filter(F.col("__end").isNotNull() & inside).count() == n
+
+
+def _positions(df, order: str) -> DataFrame:
+    """df with positions __i; rows of equal order stand in the order of their other columns."""
+    others = [F.to_json(F.struct(c)) if "map<" in t or t == "variant" else F.col(c) for c, t in df.dtypes if c != order]
+    return with_index(df, [F.col(order), *others], name="__i")
+
+
 def drop(df, n: int, order="seq"):
     if n <= 0:
         return df
-    if n > NEAR_END:
-        return with_index(df, order, name="__i").filter(F.col("__i") >= n).drop("__i")
+    if not _by_bound(df, n, order, True):
+        return _positions(df, order).filter(F.col("__i") >= n).drop("__i")
     return _beyond(df, n, order, True).filter(F.col(order) > F.col("__end")).drop("__end")
 
 
@@ -72,9 +86,9 @@ def take_right(df, n: int, order="seq"):
 def drop_right(df, n: int, order="seq"):
     if n <= 0:
         return df
-    if n <= NEAR_END:
-        return _beyond(df, n, order, False).filter(F.col(order) < F.col("__end")).drop("__end")
-    rows = with_index(df, order, name="__i")
+    if _by_bound(df, n, order, False):
+        return _beyond(df, n, order, False).filter(F.col(order).isNull() | (F.col(order) < F.col("__end"))).drop("__end")
+    rows = _positions(df, order)
     return with_scalar(rows, F.count("*"), "__n").filter(F.col("__i") < F.col("__n") - n).drop("__i", "__n")
 
 
@@ -209,6 +223,8 @@ def or_error(df, message: str):
 
 def uncons_n(df, n: int, order="seq"):
     """Adds in_head: among the first n rows. One pass gives the head and the rest."""
-    if n > NEAR_END:
-        return with_index(df, order, name="__i").withColumn("in_head", F.col("__i") < n).drop("__i")
-    return _beyond(df, n, order, True).withColumn("in_head", F.coalesce(F.col(order) <= F.col("__end"), F.lit(False))).drop("__end")
+    if n <= 0:
+        return df.withColumn("in_head", F.lit(False))
+    if not _by_bound(df, n, order, True):
+        return _positions(df, order).withColumn("in_head", F.col("__i") < n).drop("__i")
+    return _beyond(df, n, order, True).withColumn("in_head", F.col(order).isNull() | (F.col(order) <= F.col("__end"))).drop("__end")
