@@ -50,7 +50,7 @@ def _or_error(value: Column, message: str) -> Column:
 def once(data: Column, layout: Layout, quiet: bool = False) -> tuple[Column, Column]:
     """The first record and the bytes after it. Too few bytes are an error or, if quiet, no record and all of the bytes."""
     value = decode(data, layout)
-    rest = F.when(F.length(data) >= width(layout), F.substring(data, width(layout) + 1, 1 << 30)).otherwise(data)
+    rest = F.when(F.length(data) >= width(layout), data.substr(F.lit(width(layout) + 1), F.length(data))).otherwise(data)
     return (value if quiet else _or_error(value, "a record is cut short")), rest
 
 
@@ -79,7 +79,7 @@ def isolate(data: Column, n: int) -> Column:
 
 def ignore(data: Column, n: int) -> Column:
     """The bytes after the first n; fewer are an error."""
-    return F.when(F.length(data) >= n, F.substring(data, n + 1, 1 << 30)).otherwise(F.raise_error(F.lit(f"fewer than {n} bytes")))
+    return F.when(F.length(data) >= n, data.substr(F.lit(n + 1), F.length(data))).otherwise(F.raise_error(F.lit(f"fewer than {n} bytes")))
 
 
 def or_else(value: Column, other: Column) -> Column:

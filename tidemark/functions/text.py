@@ -12,7 +12,7 @@ NATIVE = {"us-ascii", "iso-8859-1", "utf-8", "utf-16be", "utf-16le", "utf-16", "
 def utf8_decode(data: Column) -> Column:
     """Bad bytes become U+FFFD; a leading byte-order mark goes."""
     text = F.make_valid_utf8(data.cast("string"))
-    return F.when(F.startswith(text, F.lit("﻿")), F.substring(text, 2, 1 << 30)).otherwise(text)
+    return F.when(F.startswith(text, F.lit("﻿")), text.substr(F.lit(2), F.length(text))).otherwise(text)
 
 
 def utf8_encode(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import lines, utf8_decode
+from tidemark.operators import pieces
 from tidemark.operators.ordered import running
 from tidemark.sources import ranges
 
@@ -31,9 +31,16 @@ def attributes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return walk(spark, path, pattern).select("*", name.alias("name"), F.when(F.instr(name, ".") > 0, F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))).otherwise("").alias("extension"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"), (F.col("length") == 0).alias("is_empty"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, line by the exact rule, the empty line after a last line end included."""
-    return spark.read.format("binaryFile").load(path).select("path", F.posexplode(lines(utf8_decode(F.col("content")))).alias("line_no", "line"))
+def read_text(spark: SparkSession, path: str, chunk: int = 1 << 20, span: int = 1 << 27) -> DataFrame:
+    """(path, off, text): each file's text by the bytes that it begins at, in pieces that many tasks read; a leading byte-order mark goes."""
+    found = pieces.decode_utf8(ranges.read(spark, path, chunk=chunk, span=span), key="path")
+    mark = (F.col("off") == 0) & F.startswith("text", F.lit("\ufeff"))
+    return found.withColumn("text", F.when(mark, F.col("text").substr(F.lit(2), F.length("text"))).otherwise(F.col("text")))
+
+
+def read_lines(spark: SparkSession, path: str, chunk: int = 1 << 20, span: int = 1 << 27) -> DataFrame:
+    """path, line_no, line by the exact rule, the empty line after a last line end included. Tasks read `span` bytes each, so a large file is no single value and no single task."""
+    return pieces.lines(read_text(spark, path, chunk, span), key="path").withColumn("line_no", F.col("line_no").cast("int"))
 
 
 def tail(spark: SparkSession, folder: str) -> DataFrame:
