@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.plans import aggregates, binaries, broadcasts, effects, further, machines, more, parallel, sequences, spanning, streams, texts, timed, times  # noqa: F401
+from tidemark.plans import aggregates, binaries, broadcasts, effects, further, machines, more, options, parallel, sequences, spanning, streams, texts, timed, times  # noqa: F401
