@@ -39,6 +39,29 @@ NOTICES["BSD-2-Clause"] = [*BSD, "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOL
 NOTICES["BSD-3-Clause"] = [*BSD, "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software.", NOTICES["BSD-2-Clause"][-1]]
 
 
+# The notices that the licences themselves recommend, wrapped, and short names.
+_FREE = "This {0} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {1} General Public\nLicense as published by the Free Software Foundation; either\nversion {2} of the License, or (at your option) any later version.\n"
+CANONICAL = [
+    (_FREE.format("program", "", "2"), "GPL-2.0-or-later"),
+    (_FREE.format("library", "Lesser", "2.1"), "LGPL-2.1-or-later"),
+    (_FREE.format("library", "Library", "2.1"), "LGPL-2.1-or-later"),
+    ("This code is not distributed under the GPL but released under the MIT license.", "MIT"),
+    ("MIT License", "MIT"),
+    ("This project is MIT licensed.", "MIT"),
+    ("Licensed under the Apache License 2.0", "Apache-2.0"),
+    ("Licensed under the Apache-2.0 license.", "Apache-2.0"),
+    ("Apache License\nVersion 2.0, January 2004", "Apache-2.0"),
+    ("BSD 3-Clause License", "BSD-3-Clause"),
+    ("Under the 2-clause BSD license.", "BSD-2-Clause"),
+    ("Licensed under GPLv3.", "GPL-3.0"),
+    ("Licensed under the GPLv2+.", "GPL-2.0-or-later"),
+    ("Distributed under LGPL-2.1-or-later, as a licence goes.", "LGPL-2.1-or-later"),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license", "Apache-2.0,MIT"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+    ("The Artistic License 2.0", "Artistic-2.0"),
+]
+
+
 def test_licences(documents):
     import textwrap
 
@@ -56,6 +79,7 @@ def test_licences(documents):
         ("# SPDX-License-Identifier: Zed-9.1", "zed-9.1"),
         ("A licence of my own.", ""),
         ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        *CANONICAL,
     ]
     for k, (text, name) in enumerate(more):
         data.append((300 + k, text))

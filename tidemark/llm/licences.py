@@ -1,6 +1,6 @@
 """Licence scan by sentence rules: sentences get identifiers, ordered rules match identifier sequences.
 
-Comment signs at line starts go, the lines of a paragraph are joined, and a paragraph falls into sentences after . ; ! ? before white space. Only sentences with a critical word are looked at; they are lower-cased, without quotes, slashes and repeated spaces. A sentence yields the identifiers of all patterns of SENTENCES that it holds, from left to right, of those that begin at one place the one listed first (UNKNOWN if it holds none). What is said not to be licensed so yields NotLicensed, and nothing else up to its end. Identifiers in NEUTRAL are left out of the sequence that RULES are matched with; rules are tried in order, longest sequences first; one that fits takes its identifiers out, so that a long notice isn't reported again by the shorter rule that it contains. A licence that an SPDX line names is reported as such.
+Comment signs at line starts go, the lines of a paragraph are joined, and a paragraph falls into sentences after . ; ! ? before white space (but not before `either version`, which says more of the licence named), and where `but` follows what is not licensed. Only sentences with a critical word are looked at; they are lower-cased, without quotes, slashes and repeated spaces. A sentence yields the identifiers of all patterns of SENTENCES that it holds, from left to right, of those that begin at one place the one listed first (UNKNOWN if it holds none). What is said not to be licensed so yields NotLicensed, and nothing else up to its end. Identifiers in NEUTRAL are left out of the sequence that RULES are matched with; rules are tried in order, longest sequences first; one that fits takes its identifiers out, so that a long notice isn't reported again by the shorter rule that it contains. A licence that an SPDX line names is reported as such.
 
 All in column expressions. Defined results: null or empty text, or text without critical words, has no sentence and no licence; a licence found twice in a text counts once; repeated rows are reported each; an empty table gives no rows. Columns besides doc_id and text are not read.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import LOWER, UPPER, ascii_lower, let
 
 # Words that make a sentence worth a look.
-CRITICAL = "licen[cs]e|copyright|spdx|permission|redistribut|warrant|as[ -]is|liab|public domain|all rights reserved|creative commons|cc by|cc0|unencumbered"
+CRITICAL = "licen[cs]e|gpl|copyright|spdx|permission|redistribut|warrant|as[ -]is|liab|public domain|all rights reserved|creative commons|cc by|cc0|unencumbered"
 # How the licence versions that a sentence names may be written.
 _OF = r"gnu general public license[^;]{0,120}?"
 _LATER = r"[^;]{0,80}?any later version"
@@ -32,7 +32,7 @@ SENTENCES = [
     ("Cc0", r"([ (]cc0|creative commons zero)"),
     ("Unlicense", r"free and unencumbered software released into the public domain"),
     ("PublicDomain", r"public domain"),
-    ("ApacheVer2", r"licensed under the apache license, version 2[.]0"),
+    ("ApacheVer2", r"(licensed under the )?(apache( software)? license,? *-? *(version|v[.]?)? *2[.]0|[ (]apache-2[.]0)"),
     ("ApacheNote", r"you may not use this file except in compliance with the license"),
     ("ApacheCopy", r"you may obtain a copy of the license at"),
     ("ApacheAsIs", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is"),
@@ -52,7 +52,21 @@ SENTENCES = [
     ("MplVer2", r"mozilla public license,? (version 2[.]0|v[.]? ?2[.]0)"),
     ("EplVer2", r"eclipse public license,? (-|version|v)?[.]? ?v?2[.]0"),
     ("BoostVer1", r"boost software license,? ?-? ?(version )?1[.]0"),
-    ("MitName", r"(released|licensed|distributed|available) under the (terms of the )?mit license"),
+    ("OflVer1", r"open font license,? *-? *(version |v[.]?)? *1[.]1|[ (]ofl-1[.]1"),
+    ("ArtisticVer2", r"artistic license,? *-? *(version |v[.]?)? *2[.]0|[ (]artistic-2[.]0"),
+    ("Agpl3Later", r"[ (]agpl[ -]?v?3([.]0)?( or later|-or-later|[+])"),
+    ("Agpl3Name", r"[ (]agpl[ -]?v?3([.]0)?"),
+    ("Lgpl21Later", r"[ (]lgpl[ -]?v?2[.]1( or later|-or-later|[+])"),
+    ("Lgpl21Name", r"[ (]lgpl[ -]?v?2[.]1"),
+    ("Lgpl3Later", r"[ (]lgpl[ -]?v?3([.]0)?( or later|-or-later|[+])"),
+    ("Lgpl3Name", r"[ (]lgpl[ -]?v?3([.]0)?"),
+    ("Gpl3Later", r"[ (]gpl[ -]?v?3([.]0)?( or later|-or-later|[+])"),
+    ("Gpl3Name", r"[ (]gpl[ -]?v?3([.]0)?"),
+    ("Gpl2Later", r"[ (]gpl[ -]?v?2([.]0)?( or later|-or-later|[+])"),
+    ("Gpl2Name", r"[ (]gpl[ -]?v?2([.]0)?"),
+    ("Bsd3Name", r"[ (](bsd[ -]3[ -]clause|3[ -]clause bsd|new bsd|modified bsd|revised bsd)"),
+    ("Bsd2Name", r"[ (](bsd[ -]2[ -]clause|2[ -]clause bsd|simplified bsd|freebsd license)"),
+    ("MitName", r"(released|licensed|distributed|available) under the (terms of the )?mit license|[ (]mit[ -]licen[sc]ed?"),
     ("MitPerm", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("MitCond", r"the above copyright notice and this permission notice shall be included"),
     ("MitAsIs", r"the software is provided as is"),
@@ -87,6 +101,20 @@ RULES = [
     ("Apache-2.0", ["ApacheVer2"]),
     ("MIT", ["MitName"]),
     ("ISC", ["IscPerm"]),
+    ("BSD-3-Clause", ["Bsd3Name"]),
+    ("BSD-2-Clause", ["Bsd2Name"]),
+    ("OFL-1.1", ["OflVer1"]),
+    ("Artistic-2.0", ["ArtisticVer2"]),
+    ("AGPL-3.0-or-later", ["Agpl3Later"]),
+    ("AGPL-3.0", ["Agpl3Name"]),
+    ("LGPL-2.1-or-later", ["Lgpl21Later"]),
+    ("LGPL-2.1", ["Lgpl21Name"]),
+    ("LGPL-3.0-or-later", ["Lgpl3Later"]),
+    ("LGPL-3.0", ["Lgpl3Name"]),
+    ("GPL-3.0-or-later", ["Gpl3Later"]),
+    ("GPL-3.0", ["Gpl3Name"]),
+    ("GPL-2.0-or-later", ["Gpl2Later"]),
+    ("GPL-2.0", ["Gpl2Name"]),
     ("AGPL-3.0-or-later", ["AgplLater3"]),
     ("AGPL-3.0", ["Agpl3"]),
     ("AGPL", ["AgplAny"]),
@@ -122,6 +150,8 @@ STEPS = [
     (r"\n[ \t]*(\n[ \t]*)+", "\x1e"),
     (r"[ \t\n\"'`*#/]+", " "),
     (r" v[.] +([0-9])", " v.{1}"),
+    (r"; (either version )", " {1}"),
+    (r"((not|never|no longer) (be )?(licensed|released|distributed|available|covered) [^;.!?\x1e]{0,200}?),? but ", "{1}\x1e"),
     (r"([.;!?]) ", "{1}\x1e"),
 ]
 
