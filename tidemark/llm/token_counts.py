@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_folder, small_batches
+from tidemark.llm.common import fresh_folder, most_frequent, small_batches
 
 #: Most frequent pre-tokens that every worker holds with their pieces.
 COMMON = 1 << 19
@@ -222,7 +222,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, common: int
     spark = docs.sparkSession
     with_pieces(distinct_pre_tokens(docs, tokenizer), tokenizer).write.parquet(path := fresh_folder(spark, "pre-tokens"))
     vocabulary = spark.read.schema(VOCABULARY).parquet(path)
-    top = vocabulary.orderBy(F.desc("n"), "token").limit(common).select("token", "pieces").toArrow()
+    top = most_frequent(vocabulary, "n", common).select("token", "pieces").toArrow()
     held = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     frequencies(docs, tokenizer, held).write.parquet(path := fresh_folder(spark, "frequencies"))
     found = spark.read.schema(FREQUENCIES).parquet(path)
