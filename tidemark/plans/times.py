@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
-from tidemark.operators import scans, timeseries
+from tidemark.operators import boundaries, timeseries
 from tidemark.plans.inputs import events, table
 
 HOUR = timeseries.HOUR
@@ -60,5 +60,5 @@ SELECT user_id, max(seq) AS seq, arg_max(us, seq) AS us, arg_max(value, seq) AS
 _GROUPED = f"""WITH RECURSIVE e AS (SELECT * FROM {_U}), r AS (SELECT user_id, k, us AS begun, 1 AS n, CAST(0 AS BIGINT) AS g FROM e WHERE k = 1
 UNION ALL SELECT e.user_id, e.k, CASE WHEN r.n >= 5 OR e.us >= r.begun + {24 * HOUR} THEN e.us ELSE r.begun END, CASE WHEN r.n >= 5 OR e.us >= r.begun + {24 * HOUR} THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 5 OR e.us >= r.begun + {24 * HOUR} THEN r.g + 1 ELSE r.g END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
 SELECT user_id, seq, us, value, g AS "group" FROM r JOIN e USING (user_id, k)"""
-query("debounce_replay", _DEBOUNCED)(lambda s, d: scans.run(timed(s, d), scans.Debounce(6 * HOUR), "user_id long, seq long, us long, value double", "user_id"))
-query("group_within_replay", _GROUPED)(lambda s, d: scans.run(timed(s, d), scans.GroupWithin(5, 24 * HOUR), "user_id long, seq long, us long, value double, group long", "user_id"))
+query("debounce_replay", _DEBOUNCED)(lambda s, d: boundaries.debounce(timed(s, d), 6 * HOUR, key="user_id"))
+query("group_within_replay", _GROUPED)(lambda s, d: boundaries.group_within(timed(s, d), 5, 24 * HOUR, key="user_id"))
