@@ -9,8 +9,6 @@ from tidemark.catalog import query
 from tidemark.plans.inputs import events
 from tidemark.sources import captures, pcapng
 
-LITTLE = F.lit(True)
-
 
 def put(value: Column, n: int, little: Column) -> Column:
     """A number as n bytes."""
