@@ -71,7 +71,8 @@ def named_prefixes(paths: DataFrame, ids: DataFrame, steps: int) -> DataFrame:
     for j in reversed(range(steps)):  # every trie of height 2 h is cut after h turns
         h = 1 << j
         cut = names.join(blocks[j].filter(even).select("conv_id", (F.col("i") * h).alias("depth"), "dig"), ["conv_id", "depth"])
-        same = cut.groupBy("depth", "name", "dig").agg(F.min("conv_id").alias("new"))
+        # Written, so that the join below deals its sides anew and a hot prefix can be split.
+        same = materialise(cut.groupBy("depth", "name", "dig").agg(F.min("conv_id").alias("new")))
         below = cut.join(same, ["depth", "name", "dig"]).select("conv_id", (F.col("depth") + h).alias("depth"), F.col("new").alias("name"))
         names = materialise(names.unionByName(below))
     return names
