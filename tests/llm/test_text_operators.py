@@ -204,6 +204,35 @@ def test_ranking(documents, spark):
     assert kept.columns == documents(data).columns
 
 
+def test_ranking_fits_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    label = (rng.random(300) < 0.7).astype(int)
+    x = rng.normal(size=(300, ranking.FEATURES)) + 0.5 * label[:, None] * (np.arange(ranking.FEATURES) < 4)
+    model = ranking.fit(spark.createDataFrame([(int(y), bytearray(r.tobytes())) for y, r in zip(label, x, strict=True)], "quality int, x binary").repartition(3))
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -6, 6)
+    diff = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, ranking.FEATURES)
+    w = np.zeros(ranking.FEATURES)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(diff @ w))
+        w += np.linalg.solve(2400 / len(diff) * (diff * (p * (1 - p))[:, None]).T @ diff + np.eye(len(w)), 2400 / len(diff) * diff.T @ p - w)
+    assert np.abs(model["w"] - w).max() < 1e-4
+    s, bad = np.sort((z * model["w"]).sum(axis=1)), int((label == 0).sum())
+    assert abs(model["at"] - (s[bad - 1] + s[bad]) / 2) < 1e-9
+    assert abs(3 / model["slope"] + model["at"] - np.median((z @ model["w"])[label == 1])) < 1e-9
+
+
+def test_ranking_learns_from_every_label(spark):
+    ids = [i for i in range(28_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(ids) > 20_500
+    order = [r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", "xxhash64(id) as h").orderBy("h", "id").collect()]
+    bad = set(order[20_000:])
+    docs = spark.createDataFrame([(i, "*** ## ## ###" if i in bad else "some plain words of text") for i in ids], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id long, quality int")
+    rows = ranking.score(docs, labels).collect()
+    assert len(rows) == len(ids) and all(r.predicted == (r.doc_id not in bad) for r in rows)
+    assert {r.doc_id for r in ranking.keep_good(docs, labels).collect()} == set(ids) - bad
+
+
 def brute_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
