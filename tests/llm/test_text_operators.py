@@ -189,6 +189,17 @@ def test_newcomers_drawn_at_once_sit_as_one_by_one():
         assert abs(side.mean() - alone.mean()) < 5 * (side.std() + 1e-9) / 400**0.5 * 1.5
 
 
+def test_pitman_yor_moves_requests_once(spark):
+    asked = spark.range(200).selectExpr("id as batch", "int(id % 7) as bucket", "binary('x') as pairs").repartition(3)
+    stored = pitman_yor.dealt(asked, 5)
+    assert stored.count() == 200
+    back = spark.range(7).selectExpr("int(id) as bucket", "id as home").repartition(2)
+    both = stored.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInPandas(lambda a, b: a[["batch"]].assign(home=b["home"].iloc[0]), "batch long, home long")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(bucket") == 1  # that of the answers alone
+    assert sorted((r.batch, r.home) for r in both.collect()) == [(i, i % 7) for i in range(200)]
+
+
 def test_ranking(documents, spark):
     rng = random.Random(2)
     data = [(i, prose(rng, 80) if i % 4 else " ".join(w + "***" for w in prose(rng, 80).split())) for i in range(120)]

@@ -4,7 +4,7 @@ Restaurants: one for every word that stands before another (or a text's begin),
 
 Seating is sampled by blocked Gibbs steps: a dish's customers leave a restaurant together, with the customers that their tables sent to the parent, and sit down again one after the other, each by the Chinese-restaurant probabilities; a new table sends a customer to the parent. A restaurant's number of tables is that of the sweep before, and the parent's seating that of the round before. Predictive probabilities are averaged over the samples. Chance is a hash of dish, sweep and customer, so that scores depend on the rows alone and not on how they are stored or spread.
 
-Data flow. A batch of neighbouring documents sends each bucket of contexts its distinct (context, word) pairs with their training counts, once per batch however often they occur. A bucket seats whole restaurants; a context with more than `HOT` tokens is dealt over several buckets by word, and its parts tell each other their totals in the same exchange that carries tables to the unigram restaurant, which is dealt over `homes` by word. After `rounds` exchanges the buckets answer with the pairs' probabilities, which a batch adds up per document. What moves grows with the input; to the driver come eight sums and at most `RARE` words, of which blobs name the 65,535 most frequent by rank.
+Data flow. A batch of neighbouring documents sends each bucket of contexts its distinct (context, word) pairs with their training counts, once per batch however often they occur. A bucket seats whole restaurants; a context with more than `HOT` tokens is dealt over several buckets by word, and its parts tell each other their totals in the same exchange that carries tables to the unigram restaurant, which is dealt over `homes` by word. Requests are stored by bucket, so that no exchange finds or moves them again. After `rounds` exchanges the buckets answer with the pairs' probabilities, which a batch adds up per document. What moves grows with the input; to the driver come eight sums and at most `RARE` words, of which blobs name the 65,535 most frequent by rank.
 
 Defined results: a null or empty text has one token, its end; repeated rows count and are scored each; a null doc_id is hashed as empty text; an empty table gives no rows. With no training token every count is 0 and the model is its uniform base. Other columns are not read.
 """
@@ -345,6 +345,17 @@ def known_words(docs: DataFrame) -> Known:
     return Known(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), HOT)
 
 
+def dealt(asked: DataFrame, buckets: int) -> DataFrame:
+    """Requests, stored where their buckets are: found and shuffled once, however often they are grouped by bucket."""
+    conf, name = asked.sparkSession.conf, "spark.sql.adaptive.enabled"
+    adaptive = conf.get(name)
+    conf.set(name, "false")  # an adaptive plan doesn't tell how its result is dealt
+    try:
+        return materialise(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket"))
+    finally:
+        conf.set(name, adaptive)
+
+
 SUMS = tuple(Sums.__dataclass_fields__)
 
 
@@ -354,7 +365,7 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, how: Sampling = Samp
     homes = max(4, buckets // 2)
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = known_words(docs)
-    asked = docs.mapInArrow(_requests(buckets, known, modulus, rest), "batch long, bucket int, pairs binary")
+    asked = dealt(docs.mapInArrow(_requests(buckets, known, modulus, rest), "batch long, bucket int, pairs binary"), buckets)
 
     def tell(bucket: int, b: Bucket) -> pd.DataFrame:
         keys, count, tables = b.told()
