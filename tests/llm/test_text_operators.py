@@ -402,6 +402,27 @@ def test_packing_is_exact_and_tight(documents):
     assert len(bins) <= math.ceil(sum(r.length for r in rows) / 1024) + 2
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_packing_tells_words_apart(monkeypatch, clash):
+    import public_tokenizers
+
+    if clash:  # all words have one hash
+        monkeypatch.setattr(packing, "mix", lambda h: h * np.uint64(0))
+    words = [a + m + b for a in ("q", "abcdefgh") for m in ("", "x", "\0", "xy" * 3, "middle-one", "middle-two", "é" * 9) for b in ("", "\0", "stuvwxyz")]
+    raw = " " + " ".join(words)
+    data = np.frombuffer(raw.encode(), np.uint8)
+    start = np.flatnonzero(data == 32)
+    end = np.append(start[1:], len(data))
+    head, tail, kind, _ = packing.span_names(raw.encode(), start, end, np.zeros(len(start), np.int64))
+    short = np.flatnonzero(end - start <= packing.HELD)
+    assert len({*zip(head[short].tolist(), tail[short].tolist(), kind[short].tolist(), strict=True)}) == len({raw.encode()[start[k] : end[k]] for k in short.tolist()})
+    tokenizer = packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for texts in ([" ".join(words), " ".join(words[::-1])], [" ".join(words[k:]) for k in range(0, len(words), 3)]):
+        texts = [t.strip(" ") for t in texts]
+        want = [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in tokenizer.encode([t.encode() for t in texts])] == want
+
+
 def test_packing_keeps_every_capacity():
     rng = np.random.default_rng(7)
     lengths = rng.integers(1, 1024, 400)

@@ -8,6 +8,7 @@ Defined results: a null or empty text is one piece holding the end id alone; rep
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import os
 import zlib
@@ -40,28 +41,29 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a word that its two numbers hold.
+HELD = 16
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A polynomial of data[start:end] modulo 2 ** 64 for every pair, as a difference of prefix sums, mixed. Some different words agree; bytes must be compared."""
-    if len(_powers[0]) <= len(data):
-        for k, base in enumerate((_BASE, _UNBASE)):
-            steps = np.full(max(len(data) + 1, 1 << 21) + 1024, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    up, down = _powers
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+def span_names(raw: bytes, start: np.ndarray, end: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of raw[start:end] for every pair: its first eight bytes and, beyond these, its last eight, as numbers; length and mark as one number; a hash of all. The numbers are the whole span where it has at most `HELD` bytes; of longer ones bytes must be compared."""
+    size = end - start
+    eight = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from each place on
+    head = eight[start] & _MASK[np.minimum(size, 8)]
+    tail = np.where(size > 8, eight[np.maximum(end - 8, 0)], np.uint64(0))
+    kind = 2 * size + mark
+    hashed = head ^ mix(tail + kind.astype(np.uint64) * _MIX)
+    for k in np.flatnonzero(size > HELD).tolist():
+        hashed[k] ^= np.uint64(int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]], digest_size=8).digest(), "little"))
+    return head, tail, kind, mix(hashed)
 
 
 class WordTokenizer:
     """A byte-level BPE tokenizer applied to space-led words, each distinct word once.
 
-    Such a tokenizer never merges across the start of a space-led word, so where every space stands alone between other characters, a text's ids are those of its words in a row. Other texts, and those with an added token's text, are encoded whole. Words are found by 64-bit hashes in sorted arrays and compared by their bytes; a text with a word that shares its hash with another one is encoded whole. New words are encoded together in one text, where each begins with the only ids that start with a space.
+    Such a tokenizer never merges across the start of a space-led word, so where every space stands alone between other characters, a text's ids are those of its words in a row. Other texts, and those with an added token's text, are encoded whole. Words are found by 64-bit hashes in sorted arrays and compared by their bytes, those of up to `HELD` bytes as two numbers and a length; a text with a word that shares its hash with another one is encoded whole. New words are encoded together in one text, where each begins with the only ids that start with a space.
     """
 
     def __init__(self, path: str):
@@ -77,8 +79,9 @@ class WordTokenizer:
     def _forget(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.letters, self.written = np.zeros(1 << 16, np.uint8), 0  # the words themselves, one after another
-        self.word, self.long = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.letters, self.written = np.zeros(1 << 16, np.uint8), 0  # the words of more than HELD bytes, one after another
+        self.word, self.kind = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.head, self.tail = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -99,14 +102,18 @@ class WordTokenizer:
         return out
 
     def _words(self, texts: list[bytes]) -> list[np.ndarray]:
-        data = np.frombuffer(b" " + b" ".join(texts), np.uint8)
+        raw = b" " + b" ".join(texts)
+        data = np.frombuffer(raw, np.uint8)
         start = np.flatnonzero(data == 32)
         end = np.append(start[1:], len(data))
         lengths = np.array([len(x) + 1 for x in texts])
         first = np.searchsorted(start, np.cumsum(lengths) - lengths)
-        hashed = span_hash(data, start, end)
-        hashed[first] ^= np.uint64(0x5851F42D4C957F2D)  # the same letters without a space before them
-        keys, sample, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        leading = np.zeros(len(start), np.int64)
+        leading[first] = 1  # the same letters without a space before them are another word
+        *names, hashed = span_names(raw, start, end, leading)
+        inverse, keys = pd.factorize(hashed)
+        sample = np.empty(len(keys), np.int64)
+        sample[inverse[::-1]] = np.arange(len(start))[::-1]
         found = np.searchsorted(self.keys, keys)
         known = found < len(self.keys)
         known[known] = self.keys[found[known]] == keys[known]
@@ -114,9 +121,9 @@ class WordTokenizer:
             if len(self.keys) > REMEMBERED or self.written > REMEMBERED_BYTES:
                 self._forget()
                 known[:] = False
-            self._learn(data, start, end, keys[~known], sample[~known], np.isin(sample[~known], first))
+            self._learn(raw, data, start, end, keys[~known], sample[~known], leading[sample[~known]] > 0, names)
             found = np.searchsorted(self.keys, keys)
-        other = self._others(data, start, end, sample, inverse, found)
+        other = self._others(data, start, end, sample, inverse, found, names)
         at, size = self.at[found][inverse], self.size[found][inverse]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(at - ends + size, size) + np.arange(ends[-1])]
@@ -126,26 +133,28 @@ class WordTokenizer:
             out[k] = self.whole([texts[k].decode()])[0]
         return out
 
-    def _others(self, data, start, end, sample, inverse, found) -> np.ndarray:
+    def _others(self, data, start, end, sample, inverse, found, names) -> np.ndarray:
         """Which words are not the remembered one of the same hash. All words are compared with their sample, the samples with what is remembered."""
         long = end - start
 
-        def differ(a, size, pool, b, n) -> np.ndarray:
-            """Whether data[a:a+size] and pool[b:b+n] do."""
-            out = size != n
-            like = np.flatnonzero(~out)
-            size = size[like]
-            unequal = data[span_index(a[like], size)] != pool[span_index(b[like], size)]
+        def differ(a, size, pool, b) -> np.ndarray:
+            """Whether data[a:a+size] and pool[b:b+size] do."""
+            unequal = data[span_index(a, size)] != pool[span_index(b, size)]
             total = np.append(0, np.cumsum(unequal))
             ends = np.cumsum(size)
-            out[like] = total[ends] > total[ends - size]
-            return out
-
-        of_sample = differ(start[sample], long[sample], self.letters, self.word[found], self.long[found])
-        return of_sample[inverse] | differ(start, long, data, start[sample][inverse], long[sample][inverse])
-
-    def _learn(self, data, start, end, keys, sample, leading) -> None:
-        raw = data.tobytes()
+            return total[ends] > total[ends - size]
+
+        of_sample, out = np.zeros(len(sample), bool), np.zeros(len(start), bool)
+        for x, held in zip(names, (self.head, self.tail, self.kind), strict=True):
+            of_sample |= x[sample] != held[found]
+            out |= x != x[sample][inverse]
+        at = np.flatnonzero(~of_sample & (long[sample] > HELD))
+        of_sample[at] = differ(start[sample[at]], long[sample[at]], self.letters, self.word[found[at]])
+        at = np.flatnonzero(~out & (long > HELD))
+        out[at] = differ(start[at], long[at], data, start[sample[inverse[at]]])
+        return of_sample[inverse] | out
+
+    def _learn(self, raw, data, start, end, keys, sample, leading, names) -> None:
         order = np.argsort(leading, kind="stable")
         keys, sample, n_led = keys[order], sample[order], int((~leading).sum())
         parts: list[np.ndarray] = []
@@ -169,13 +178,14 @@ class WordTokenizer:
         order = np.argsort(keys)
         put = np.searchsorted(self.keys, keys[order])
         self.keys, self.at, self.size = np.insert(self.keys, put, keys[order]), np.insert(self.at, put, at[order]), np.insert(self.size, put, size[order])
-        long = end[sample] - start[sample]
+        self.head, self.tail, self.kind = (np.insert(held, put, x[sample[order]]) for held, x in zip((self.head, self.tail, self.kind), names, strict=True))
+        long = np.where(end[sample] - start[sample] > HELD, end[sample] - start[sample], 0)
         if self.written + long.sum() > len(self.letters):
             self.letters = np.concatenate([self.letters[: self.written], np.zeros(int(long.sum()) + self.written // 2, np.uint8)])
         self.letters[self.written : self.written + long.sum()] = data[span_index(start[sample], long)]
         word = self.written + np.cumsum(long) - long
         self.written += int(long.sum())
-        self.word, self.long = np.insert(self.word, put, word[order]), np.insert(self.long, put, long[order])
+        self.word = np.insert(self.word, put, word[order])
 
 
 @functools.lru_cache(maxsize=1)
@@ -250,7 +260,9 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> list[list[int]]:
     """The better of the two vector rules; pieces that fill a sequence stand alone."""
     full = lengths >= cap.tokens
     at = np.flatnonzero(~full)
-    packed = min((rule(lengths[at], cap) for rule in (by_norm, by_dot)), key=len)
+    packed = by_dot(lengths[at], cap)
+    if len(packed) > -(-int(lengths[at].sum()) // cap.tokens):  # more than the least possible
+        packed = min(by_norm(lengths[at], cap), packed, key=len)
     return [[int(i)] for i in np.flatnonzero(full)] + [[int(at[i]) for i in b] for b in packed]
 
 
