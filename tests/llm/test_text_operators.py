@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import chat, decontaminate, licences, near, packing, pii, pitman_yor, quality_rules, ranking, warc
+from tidemark.llm import chat, common, decontaminate, licences, near, packing, pii, pitman_yor, quality_rules, ranking, warc
 
 WORDS = [a + b for a in "bcdfglmnprst" for b in ("an", "el", "ir", "os", "ut")]
 HARD = [(1, None), (2, ""), (3, "one"), (4, "x " * 5000), (5, "a b c"), (5, "a b c"), (6, " \n\t "), (7, "é ü 汉字 \U0001f600"), (None, "no id here at all today")]
@@ -342,6 +342,15 @@ def test_near_duplicates_are_exact(documents):
     assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == sorted({find(i) for i in ids})
 
 
+def test_shingle_counts_are_few_rows_of_each_task(spark):
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 63, 3000, dtype=np.uint64) for _ in range(12)]
+    table = spark.createDataFrame([(bytearray(s.tobytes()),) for s in sets for _ in range(2)], "shingles binary").repartition(6)
+    want = np.bincount(near._counters(np.concatenate(sets + sets)), minlength=near.COUNTERS)
+    assert (near._shingle_counts(table) == want).all()
+    assert common.task_sums(table, near._counted, near.COUNT_PARTS).count() <= 6 * near.COUNT_PARTS
+
+
 def test_near_duplicates_in_a_crowd(documents):
     """A family of unlinked documents from one form (similarity 0.739) with planted pairs just above the threshold."""
     form = " ".join(f"form{k}" for k in range(174))

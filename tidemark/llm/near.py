@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.common import byte_texts, materialise, pieces, runs, small_batches
+from tidemark.llm.common import byte_texts, materialise, pieces, runs, small_batches, summed
 from tidemark.llm.graph import components
 from tidemark.llm.words import Words, shingle_set
 
@@ -31,6 +31,8 @@ FIRST, FURTHER = 4, 12
 FILTER_BITS = 1 << 23
 #: Counters of the shingle counts that order shingles in the prefix filter; any order is right, a rare-first one is fast.
 COUNTERS = 1 << 20
+#: Parts in which tasks' counts are added up.
+COUNT_PARTS = 256
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -195,20 +197,21 @@ def _counters(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(40)).astype(np.int64) % COUNTERS
 
 
-def _shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How often shingles stand in a column of sets, by counter; COUNTERS numbers come to the driver, however many shingles there are."""
+def _counted(batches) -> tuple[np.ndarray, np.ndarray]:
+    """Counters of the shingles of a column of sets, and their counts."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for s in batch.column(0).to_pylist():
+            np.add.at(total, _counters(np.frombuffer(s, np.uint64)), 1)
+    at = np.flatnonzero(total)
+    return at, total[at].astype(float)
 
-    def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                np.add.at(total, _counters(np.frombuffer(s, np.uint64)), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles stand in a column of sets, by counter; COUNTERS numbers come to the driver, however many shingles there are. A task's counts are at most `COUNT_PARTS` rows."""
     out = np.zeros(COUNTERS, np.int64)
-    got = sets.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    at, n = summed(sets, _counted, COUNT_PARTS)
+    out[at] = n
     return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
 
 
