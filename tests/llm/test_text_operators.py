@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import chat, common, decontaminate, licences, near, packing, pii, pitman_yor, quality_rules, ranking, warc
+from tidemark.llm import chat, common, decontaminate, graph, licences, near, packing, pii, pitman_yor, quality_rules, ranking, warc
 
 WORDS = [a + b for a in "bcdfglmnprst" for b in ("an", "el", "ir", "os", "ut")]
 HARD = [(1, None), (2, ""), (3, "one"), (4, "x " * 5000), (5, "a b c"), (5, "a b c"), (6, " \n\t "), (7, "é ü 汉字 \U0001f600"), (None, "no id here at all today")]
@@ -540,3 +540,66 @@ def test_decontamination_of_short_and_dense_questions(documents, spark):
     ]
     got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(documents([x[:2] for x in texts]), bench).collect()}
     assert got == {i: found for i, _, found in texts}
+
+
+def tasks_of(spark, group, run):
+    """What run() returns, and how many tasks Spark planned for it."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    at = spark.sparkContext.statusTracker()
+    return out, sum(at.getStageInfo(s).numTasks for j in at.getJobIdsForGroup(group) for s in at.getJobInfo(j).stageIds if at.getStageInfo(s))
+
+
+def test_ranking_reads_few_labelled_rows_in_few_tasks(spark):
+    rng = np.random.default_rng(5)
+    label, x = rng.integers(0, 2, 400), rng.normal(size=(400, ranking.FEATURES))
+    x[:, 0] += label
+    rows = spark.createDataFrame([(int(y), bytearray(r.tobytes())) for y, r in zip(label, x, strict=True)], "quality int, x binary")
+    one = ranking.fit(common.materialise(rows.repartition(1)))
+    spread = common.materialise(rows.repartition(60))
+    model, tasks = tasks_of(spark, "fit of 60 parts", lambda: ranking.fit(spread))
+    assert tasks <= 400  # two passes over 60 parts a round were 60 * 2 * rounds
+    assert np.abs(model["w"] - one["w"]).max() <= 1e-7
+    assert abs(model["at"] - one["at"]) <= 1e-5
+
+
+def test_order_statistics_of_several_ranks(spark):
+    rng = random.Random(7)
+    values = [rng.choice([0.0, 1e-9, 2e-9, 5.0, 1e6, -3.5]) + k % 13 for k in range(500)]
+    scores = spark.createDataFrame([(v,) for v in values], "s double").repartition(3)
+    ranks = [0, 249, 250, 499]
+    assert ranking.order_statistics(scores, ranks, parts=4) == [sorted(values)[r] for r in ranks]
+
+
+def test_sums_of_many_tasks_are_added_before_the_driver(spark):
+    def gather(batches):
+        x = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in batches] or [np.zeros(0, np.int64)])
+        return common.added_up(x % 7, np.ones(len(x)))
+
+    for parts in (3, 40):
+        at, n = common.tree_summed(spark.range(0, 1000, 1, parts), gather, parts)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == Counter(k % 7 for k in range(1000))
+
+
+def test_components_that_are_stars_take_no_step(spark, monkeypatch):
+    stored, keep = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df: stored.append(1) or keep(df))
+
+    def found(links):
+        stored.clear()
+        return {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+
+    assert found([(1, 5), (7, 1), (1, 5), (2, 9), (3, 3), (None, 4)]) == {1: 1, 5: 1, 7: 1, 2: 2, 9: 2}
+    assert len(stored) == 1
+    assert found([]) == {}
+    rng = random.Random(3)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(k, k + 1) for k in range(200, 240)]
+    least = {k: k for ab in links for k in ab if ab[0] != ab[1]}
+    for _ in range(300):
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert found(links) == least

@@ -2,25 +2,29 @@
 
 A document's score is linear in its features; of a pair of labelled documents the better one wins with the logistic of the score difference. Every labelled document of one class meets every one of the other; Newton's method minimises the regularised logistic loss of all these pairs. The threshold is the quantile of the training scores at the share of low-quality labels, and scores are mapped so that it becomes 0.7.
 
-Data flow. Labelled features are stored once, and each Newton round passes over them twice. The loss of all pairs depends on the opponents by the distribution of their scores alone: the first pass counts scores on a grid (a score between two points is shared by them), from which the driver finds how much any score loses against a class; the second pass sums gradient and curvature by these tables. To the driver come sums and grid counts, whose number doesn't grow with the rows. Threshold and slope are exact order statistics, found by narrowing ranges of scores.
+Data flow. Labelled features are stored once, and each Newton round passes over them twice. The loss of all pairs depends on the opponents by the distribution of their scores alone: the first pass counts scores on a grid (a score between two points is shared by them), from which the driver finds how much any score loses against a class; the second pass sums gradient and curvature by these tables. To the driver come sums and grid counts, whose number doesn't grow with the rows. Threshold and slope are exact order statistics, found by narrowing ranges of scores. Features take a small part of their texts' room, so the rounds read them in fewer tasks than there are parts of the input.
 
 Defined results: null or empty text has all features 0 and is scored like any other; of labelled rows that repeat a doc_id the lowest label and one text count; null labels and ids are not learned from; without labels of both classes every score is 0.7, so that nothing is rejected; an empty table gives no rows. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.common import added_up, byte_texts, materialise, remainder, runs, small_batches, summed
+from tidemark.llm.common import added_up, byte_texts, materialise, remainder, runs, small_batches, summed, tree_summed
 from tidemark.llm.words import Words, windows
 
 THRESHOLD = 0.7
 #: Width of the score grid on which opponents are counted, and of the one on which their features are summed, which only the curvature needs.
 STEP, COARSE = 1 / 64, 1 / 8
+#: Labelled rows of a task of a Newton round, of some 150 bytes each.
+TASK_ROWS = 1 << 16
 #: Bits of the membership filter that spares documents without a label.
 FILTER_BITS = 1 << 23
 _CLASSES = [b"#*$%&<>~^_=+@", b"|", b"!?", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", bytes(range(128, 256)), b" \t\r\n\x0b\x0c", b"()[]{}\"'`\\/-"]
@@ -64,8 +68,8 @@ def _standard(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarra
     return np.clip((x - centre) / scale, -6, 6)
 
 
-def _sums(rows: DataFrame, part) -> dict[int, float]:
-    """The sums over all rows (quality, x) of what part(label, x) gives for some of them: long keys and values. A task adds up its own first."""
+def _sums(rows: DataFrame, part, tasks: int | None = None) -> dict[int, float]:
+    """The sums over all rows (quality, x) of what part(label, x) gives for some of them: long keys and values. A task adds up its own first; tasks: how many there are, if that is known."""
 
     def gather(batches):
         at, value = np.zeros(0, np.int64), np.zeros(0)
@@ -76,7 +80,8 @@ def _sums(rows: DataFrame, part) -> dict[int, float]:
                 at, value = added_up(np.append(at, more[0]), np.append(value, more[1]))
         return at, value
 
-    at, value = summed(rows.select("quality", "x"), gather, 4)
+    rows = rows.select("quality", "x")
+    at, value = tree_summed(rows, gather, tasks) if tasks else summed(rows, gather, 4)
     return dict(zip(at.tolist(), value.tolist(), strict=True))
 
 
@@ -138,12 +143,14 @@ def fit(rows: DataFrame, each: int = 8, ridge: float = 1.0, rounds: int = 30) ->
     if not all(counts):
         return {}
     n = sum(counts)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_ROWS))
+    rows = rows.coalesce(tasks)
     total = np.array([got[k] for k in range(2, 2 + 2 * FEATURES)]).reshape(2, -1) / n
     centre = np.round(total[0], 12)
     scale = np.round(np.maximum(np.sqrt(np.maximum(total[1] - total[0] ** 2, 0)), 1e-6), 12)
     w = np.zeros(FEATURES)
     for _ in range(rounds):
-        grid = _sums(rows, _grid_counts(w, centre, scale))
+        grid = _sums(rows, _grid_counts(w, centre, scale), tasks)
         first = min(grid) // 2
         weights = np.zeros((max(grid) // 2 - first + 1, 2))
         for key, value in grid.items():
@@ -151,7 +158,7 @@ def fit(rows: DataFrame, each: int = 8, ridge: float = 1.0, rounds: int = 30) ->
         # A good one loses against the bad ones above it, a bad one against the good ones below it.
         bend = lambda x: _logistic(x) * _logistic(-x)
         tables = np.stack([[_spread(weights[:, 1], _logistic, STEP), _spread(weights[:, 0], lambda x: _logistic(-x), STEP)], [_spread(weights[:, 1], bend, STEP), _spread(weights[:, 0], bend, STEP)]])
-        got = _sums(rows, _slopes(w, centre, scale, first, tables, counts))
+        got = _sums(rows, _slopes(w, centre, scale, first, tables, counts), tasks)
         ends = np.array([k for k in got if k >= 1 << 39])
         places = (ends - (1 << 40)) // FEATURES // 2
         held = np.zeros((places.max() - places.min() + 1, 2, FEATURES))
@@ -174,23 +181,27 @@ def fit(rows: DataFrame, each: int = 8, ridge: float = 1.0, rounds: int = 30) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((_standard(x, centre, scale) * w).sum(axis=1))], ["quality", "s"])
 
     scores = materialise(rows.select("quality", "x").mapInArrow(run, "quality int, s double"))
-    at = (order_statistic(scores, counts[0] - 1) + order_statistic(scores, counts[0])) / 2
-    good = scores.filter("quality = 1")
-    median = (order_statistic(good, (counts[1] - 1) // 2) + order_statistic(good, counts[1] // 2)) / 2
+    at = sum(order_statistics(scores, [counts[0] - 1, counts[0]])) / 2
+    median = sum(order_statistics(scores.filter("quality = 1"), [(counts[1] - 1) // 2, counts[1] // 2])) / 2
     return {"w": w, "centre": centre, "scale": scale, "at": at, "slope": 3 / max(median - at, 1e-6)}
 
 
-def order_statistic(scores: DataFrame, rank: int, parts: int = 4096) -> float:
-    """The number of that rank (from 0) in the column s, exactly; a range that holds it is divided until it holds one distinct number."""
-    lo, hi = scores.agg(F.min("s"), F.max("s")).first()
-    while lo < hi:
+def order_statistics(scores: DataFrame, ranks: list[int], parts: int = 4096) -> list[float]:
+    """The numbers of those ranks (from 0) in the column s, exactly; a range that holds some of them is divided until it holds one distinct number. Ranks of one range share its passes."""
+    first = scores.agg(F.min("s"), F.max("s")).first()
+    found = [(*first, rank) for rank in ranks]
+    while wide := [(lo, hi) for lo, hi, _ in found if lo < hi]:
+        lo, hi = wide[0]
         place = F.least(F.floor((F.col("s") - lo) / (hi - lo) * parts), F.lit(parts - 1))
-        for row in scores.filter(F.col("s").between(lo, hi)).groupBy(place.alias("p")).agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).orderBy("p").collect():
-            if rank < row["n"]:
-                lo, hi = row["lo"], row["hi"]
-                break
-            rank -= row["n"]
-    return lo
+        counted = sorted(scores.filter(F.col("s").between(lo, hi)).groupBy(place.alias("p")).agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect(), key=lambda row: row["p"])
+        for k, (*at, rank) in enumerate(found):
+            if at == [lo, hi]:
+                for row in counted:
+                    if rank < row["n"]:
+                        found[k] = row["lo"], row["hi"], rank
+                        break
+                    rank -= row["n"]
+    return [lo for lo, _, _ in found]
 
 
 def score_rows(x: np.ndarray, model: dict) -> np.ndarray:
