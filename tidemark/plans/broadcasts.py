@@ -69,7 +69,8 @@ query("conditional_access", "SELECT n_regionkey AS region, 2816 + n_nationkey AS
 
 
 def _stamped(v):
-    """33 bits with marker bits, in five bytes."""
+    """33 bits with marker bits, in five bytes; a time stamp begins again after them."""
+    v = F.pmod(v, F.lit(tables.STAMP_TURN))
     return records.encode([("a", 1, "uint"), ("b", 2, "uint"), ("c", 2, "uint")], {"a": 0x21 + F.shiftright(v, 30) * 2, "b": (F.shiftright(v, 15) % 32768) * 2 + 1, "c": (v % 32768) * 2 + 1})
 
 
@@ -77,7 +78,7 @@ def _elementary(s, d):
     e = events(s, d, "user_id", "event_type")
     pts = F.col("seq") * 90_000 + F.col("user_id")
     whole = F.concat(records.encode([("start", 3, "uint"), ("id", 1, "uint"), ("length", 2, "uint"), ("a", 1, "uint"), ("b", 1, "uint"), ("n", 1, "uint")], {"start": F.lit(1), "id": F.lit(0xE0), "length": F.length("event_type") + 8, "a": F.lit(0x80), "b": F.lit(0x80), "n": F.lit(5)}), _stamped(pts), F.col("event_type").cast("binary"))
-    return e.select("seq", whole.alias("data")).select("seq", tables.elementary(F.col("data")).alias("p")).select("seq", "p.stream_id", "p.length", "p.scrambling", "p.pts", "p.dts", F.col("p.payload").cast("string").alias("payload"))
+    return e.select("seq", whole.alias("data")).select("seq", tables.elementary(F.col("data")).alias("p")).select("seq", "p.stream_id", "p.length", "p.scrambling", tables.unwrapped(F.col("p.pts"), F.col("seq") * 90_000, tables.STAMP_TURN).alias("pts"), "p.dts", F.col("p.payload").cast("string").alias("payload"))
 
 
 query("elementary_packets", "SELECT event_id AS seq, 224 AS stream_id, length(event_type) + 8 AS length, 0 AS scrambling, event_id * 90000 + user_id AS pts, CAST(NULL AS BIGINT) AS dts, event_type AS payload FROM events")(_elementary)

@@ -91,6 +91,15 @@ def adaptation(packet: Column) -> Column:
     return F.when(there, F.struct(length.alias("length"), (some & bit(packet, 5, 0)).alias("discontinuity"), (some & bit(packet, 5, 1)).alias("random_access"), (some & bit(packet, 5, 2)).alias("priority"), F.when(some & bit(packet, 5, 3), pcr).alias("pcr")))
 
 
+#: Ticks after which clock references (of 27 MHz) and time stamps (of 90 kHz) begin again: both have a part of 33 bits.
+PCR_TURN, STAMP_TURN = (1 << 33) * 300, 1 << 33
+
+
+def unwrapped(clock: Column, about: Column, turn: int) -> Column:
+    """A clock's time with its turns counted: the clock begins again at `turn`, and of the times that it may mean this is the one nearest to `about`, a coarse time in the same ticks that is less than half a turn off (a packet's place in a stream of constant rate, say)."""
+    return about + F.pmod(clock - about + turn // 2, F.lit(turn)) - turn // 2
+
+
 def _stamp(data: Column, at: int) -> Column:
     """A time stamp of 33 bits in 5 bytes with marker bits."""
     b = [field(data, at + k, 1) for k in range(5)]
