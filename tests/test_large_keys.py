@@ -24,3 +24,7 @@ IDS = [0, 1, 95_443, 95_444, 318_144, 318_145, 1_336_000, 36_000_000, 2_000_000_
 
 def test_time_stamps_of_any_turn(spark, tmp_path):
     equal(spark, tmp_path, "elementary_packets", [(i, 7 * k, "click" if k % 2 else "purchase") for k, i in enumerate(IDS)])
+
+
+def test_clock_references_of_any_turn(spark, tmp_path):
+    equal(spark, tmp_path, "packet_clocks", [(i, k, "click") for k, i in enumerate(IDS)])

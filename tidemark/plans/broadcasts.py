@@ -86,9 +86,9 @@ query("elementary_packets", "SELECT event_id AS seq, 224 AS stream_id, length(ev
 
 def _clocks(s, d):
     e = events(s, d)
-    base, rest = F.col("seq") * 27_000 + 7, F.col("seq") % 300
+    base, rest = F.pmod(F.col("seq") * 27_000 + 7, F.lit(tables.PCR_TURN // 300)), F.col("seq") % 300
     whole = F.concat(records.encode([("sync", 1, "uint"), ("pid", 2, "uint"), ("c", 1, "uint"), ("n", 1, "uint"), ("flags", 1, "uint"), ("high", 4, "uint"), ("low", 2, "uint")], {"sync": F.lit(0x47), "pid": F.lit(0x1FF), "c": 0x20 + F.col("seq") % 16, "n": F.lit(183), "flags": F.when(F.col("seq") % 4 == 0, 0x50).otherwise(0x10), "high": F.shiftright(base, 1), "low": (base % 2) * 32768 + 0x7E00 + rest}), F.unhex(F.repeat(F.lit("FF"), F.lit(176))))
-    return e.select("seq", tables.adaptation(whole).alias("a"), transport.header(whole)["counter"].alias("counter"), F.length(whole).alias("n")).select("seq", "counter", "n", "a.pcr", "a.random_access", "a.discontinuity")
+    return e.select("seq", tables.adaptation(whole).alias("a"), transport.header(whole)["counter"].alias("counter"), F.length(whole).alias("n")).select("seq", "counter", "n", tables.unwrapped(F.col("a.pcr"), F.col("seq") * 27_000 * 300, tables.PCR_TURN).alias("pcr"), "a.random_access", "a.discontinuity")
 
 
 query("packet_clocks", "SELECT event_id AS seq, event_id % 16 AS counter, 188 AS n, (event_id * 27000 + 7) * 300 + event_id % 300 AS pcr, event_id % 4 = 0 AS random_access, false AS discontinuity FROM events")(_clocks)
