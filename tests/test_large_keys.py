@@ -28,3 +28,7 @@ def test_time_stamps_of_any_turn(spark, tmp_path):
 
 def test_clock_references_of_any_turn(spark, tmp_path):
     equal(spark, tmp_path, "packet_clocks", [(i, k, "click") for k, i in enumerate(IDS)])
+
+
+def test_hardware_addresses_of_any_user(spark, tmp_path):
+    equal(spark, tmp_path, "pcap_headers", [(k, u, t) for k, (u, t) in enumerate([(1, "click"), (65_535, "view"), (65_536, "click"), (89_999, "signup"), (12_345_678, "error")])])

@@ -57,7 +57,7 @@ _UDP = [("sport", 2, "uint"), ("dport", 2, "uint"), ("length", 2, "uint"), ("usu
 
 
 def _frames(s, d):
-    """(seq, ts, data): a TCP segment for each click, a UDP datagram for every other event, with the event's type as payload. Every third header has four bytes of options; no-operations, that is."""
+    """(seq, ts, data): a TCP segment for each click, a UDP datagram for every other event, with the event's type as payload. Every third header has four bytes of options; no-operations, that is. A source address ends with the user's lowest 16 bits."""
     e = events(s, d, "ts", "user_id", "event_type")
     n = F.length("event_type")
     tcp, options = F.col("event_type") == "click", F.col("seq") % 3 == 0
@@ -68,7 +68,7 @@ def _frames(s, d):
     udp_fields = {"sport": 1024 + F.col("user_id") % 1000, "dport": F.lit(53), "length": n + 8, "usum": F.lit(0)}
     bare = F.concat(records.encode(_IP, ip), F.when(options, F.lit(b"\1\1\1\1")).otherwise(F.lit(b"")))
     rows = e.withColumn("bare", bare).withColumn("sum", captures.checksum(F.col("bare"), 0, F.length("bare")))
-    whole = F.concat(records.encode(_MAC, {"dst": F.lit(0xFFFFFFFFFFFF), "src": F.lit(0x020000000000) + F.col("user_id"), "type": F.lit(0x0800)}), F.substring("bare", 1, 10), records.encode([("sum", 2, "uint")]), F.substring(F.col("bare"), F.lit(13), F.length("bare") - 12), F.when(tcp, records.encode(_TCP, tcp_fields)).otherwise(records.encode(_UDP, udp_fields)), F.col("event_type").cast("binary"))
+    whole = F.concat(records.encode(_MAC, {"dst": F.lit(0xFFFFFFFFFFFF), "src": F.lit(0x020000000000) + F.col("user_id") % 65536, "type": F.lit(0x0800)}), F.substring("bare", 1, 10), records.encode([("sum", 2, "uint")]), F.substring(F.col("bare"), F.lit(13), F.length("bare") - 12), F.when(tcp, records.encode(_TCP, tcp_fields)).otherwise(records.encode(_UDP, udp_fields)), F.col("event_type").cast("binary"))
     return rows.select("ts", whole.alias("data"))
 
 
