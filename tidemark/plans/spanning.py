@@ -22,8 +22,8 @@ def cut(s, d, size: int, column: str = "data"):
 @query("decode_pieces", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS whole FROM documents WHERE length(text) > 0")
 def decode_pieces(s, d):
     """Code points across pieces of five bytes: the pieces' texts together are the document."""
-    parts = pieces.decode_utf8(cut(s, d, 5), key="doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("off", "text"))).alias("x"))
-    return parts.withColumn("t", F.array_join(F.transform("x", lambda p: p["text"]), "")).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("whole"))
+    whole = pieces.whole(pieces.decode_utf8(cut(s, d, 5).drop("lang"), key="doc_id"), key="doc_id")
+    return whole.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("whole"))
 
 
 _LINES = "SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n|\\r') AS l FROM documents WHERE length(text) > 0), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)"
