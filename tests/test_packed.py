@@ -1,6 +1,7 @@
 """Runs of neighbouring rows: as few as the input's layout allows, and the same results by any layout."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,22 @@ def test_decoding_by_any_layout(spark, batches, order, layout):
             assert mine[k, at][0] == upto(at + len(p))[len(upto(at)) :], (k, at)
     together = {r["k"]: r["text"] for r in pieces.whole(got, key="k").collect()}
     assert together == {k: b"".join(p for x, _, p, _ in rows if x == k).decode("utf-8", "replace") for k in (None, 1, 2, 3)}
+
+
+@pytest.mark.parametrize("layout", ["in order", "mixed"])
+def test_lines_meet_by_runs(spark, monkeypatch, batches, layout):
+    rng = random.Random(batches)
+    wholes = {k: "".join(rng.choice(["x", "yy", "é", "\n", "\r", "\r\n"]) for _ in range(60)) for k in (None, 1, 2)} | {3: "\r\n", 4: "one"}
+    rows = []
+    for k, w in wholes.items():
+        at = 0
+        while at < len(w):
+            n = rng.randrange(1, 4)
+            rows.append((k, at, w[at : at + n]))
+            at += n
+    df = spark.createDataFrame(rows, "k int, off long, text string").coalesce(1)
+    seen, meeting = [], pieces.meeting
+    monkeypatch.setattr(pieces, "meeting", lambda met, *a, **k: (seen.append(met.count()), meeting(met, *a, **k))[1])
+    got = sorted(map(str, map(tuple, pieces.lines(df if layout == "in order" else df.repartition(3), key="k").collect())))
+    assert got == sorted(str((k, i, x)) for k, w in wholes.items() for i, x in enumerate(re.split("\r\n|\n|\r", w)))
+    assert seen[0] < len(rows) / 2 and (batches == 7 or layout == "mixed" or seen == [5])

@@ -146,10 +146,11 @@ def whole(pieces: DataFrame, text: str = "text", order: str = "off", key: str |
 def lines(pieces: DataFrame, text: str = "text", order: str = "off", key: str | list[str] | None = None) -> DataFrame:
     """(key, line_no, line): the lines of each key's texts joined in order. LF, CRLF (also across pieces) and lone CR end lines; what follows the last one is a line too. No text has no line. A line that no piece ends may be as long as the stream."""
     keys = [key] if isinstance(key, str) else list(key or [])
-    held = pieces.filter(F.length(text) > 0).select(*keys, order, F.col(text).alias("__t"))
-    rims = _rims(held.select(*keys, order, F.right("__t", F.lit(1)).alias("__end")), keys, order, lambda w: {"__before": _same(w, 1, keys, "__end", F.lit(""))}, 1)
-    rims = rims.select(F.struct(*keys, order).alias("__at"), (F.col("__before") == "\r").alias("__after_cr"))
-    rows = held.withColumn("__o", F.struct(*keys, order)).join(rims, F.col("__o").eqNullSafe(F.col("__at")))
-    own = F.when(F.col("__after_cr") & F.startswith("__t", F.lit("\n")), F.col("__t").substr(F.lit(2), F.length("__t"))).otherwise(F.col("__t"))
+    runs = packed(pieces.filter(F.length(text) > 0).select(*keys, order, text), keys, order, text)
+    held = runs.select(*keys, F.col("__lo").alias(order), F.col("__value").cast("string").alias("__t"))
+    rims = _rims(held.select(*keys, order, F.startswith("__t", F.lit("\n")).alias("__begin"), F.right("__t", F.lit(1)).alias("__end")), keys, order, lambda w: {"__before": _same(w, 1, keys, "__end", F.lit(""))}, 1)
+    rims = rims.filter((F.col("__before") == "\r") & F.col("__begin")).select(F.struct(*keys, order).alias("__at"), F.lit(True).alias("__cut"))
+    rows = with_few(held.withColumn("__o", F.struct(*keys, order)), rims, F.col("__o").eqNullSafe(F.col("__at")))
+    own = F.when(F.col("__cut"), F.col("__t").substr(F.lit(2), F.length("__t"))).otherwise(F.col("__t"))
     met = meeting(rows.select("__o", F.split(own, "\r\n|\n|\r", -1).alias("__parts")), keys, indexed=True)
     return met.select(*[F.col(f"__any.{c}").alias(c) for c in keys], F.col("__index").alias("line_no"), F.col("__p").alias("line"))
