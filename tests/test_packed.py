@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import packed, pieces
+from tidemark.operators import grouping, packed, pieces
 
 
 @pytest.fixture(params=[7, 10_000])
@@ -72,3 +72,28 @@ def test_lines_meet_by_runs(spark, monkeypatch, batches, layout):
     got = sorted(map(str, map(tuple, pieces.lines(df if layout == "in order" else df.repartition(3), key="k").collect())))
     assert got == sorted(str((k, i, x)) for k, w in wholes.items() for i, x in enumerate(re.split("\r\n|\n|\r", w)))
     assert seen[0] < len(rows) / 2 and (batches == 7 or layout == "mixed" or seen == [5])
+
+
+@pytest.mark.parametrize("by", [". ", "|", "||"])
+def test_pieces_name_the_row_that_ends_them(spark, monkeypatch, batches, by):
+    rng = random.Random(len(by) + batches)
+    rows = [(rng.choice([1, 2, None]), i, "".join(rng.choice([by, by[:1], by[-1:], "é", "x"]) for _ in range(rng.randrange(4)))) for i in range(90)]
+    rows.sort(key=lambda r: (r[0] or 0, r[1]))
+    want = []
+    for key in (None, 1, 2):
+        whole = "".join(t for k, _, t in rows if k == key)
+        ends = [i for k, i, t in rows if k == key for _ in t]  # the row of each character
+        at, seen = 0, {}
+        for piece in whole.split(by)[:-1]:
+            at += len(piece) + len(by)
+            row = ends[at - 1]
+            want.append((key, row, seen.get(row, 0), piece))
+            seen[row] = seen.get(row, 0) + 1
+        if whole.split(by)[-1]:
+            want.append((key, None, 0, whole.split(by)[-1]))
+    seen, meeting = [], grouping.meeting
+    monkeypatch.setattr(grouping, "meeting", lambda met, *a, **k: (seen.append(met.count()), meeting(met, *a, **k))[1])
+    df = spark.createDataFrame(rows, "k int, seq long, text string").coalesce(1)
+    got = grouping.resplit(df, by, key="k", number="n").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert seen[0] == 3 or batches == 7

@@ -12,11 +12,22 @@ from tidemark.plans.inputs import table
 from tidemark.sources import files
 
 
+#: Pieces that are cut from one row.
+MANY = 64
+
+
+def pieced(docs, column: str, length, size: int, number: str):
+    """A row for each piece of `size` of a text (of bytes), numbered from 0. Long pieces are cut first, as each row holds, and is searched from the beginning of, what its piece is cut from."""
+    part = lambda rows, at, n: rows.withColumn(column, F.substring(F.col(column), (F.col(at) * n + 1).cast("int"), F.lit(n)))
+    long = part(spread(docs, F.lit(0), F.floor((length(column) - 1) / (size * MANY)), "__m"), "__m", size * MANY)
+    short = part(spread(long, F.lit(0), F.floor((length(column) - 1) / size), "__k"), "__k", size)
+    return short.withColumn(number, F.col("__m") * MANY + F.col("__k")).drop("__m", "__k")
+
+
 def cut(s, d, size: int, column: str = "data"):
     """Each document's bytes in pieces of `size`: doc_id, lang, off, data."""
-    docs = table(s, d, "documents").select("doc_id", "lang", F.col("text").cast("binary").alias("__bytes"))
-    out = spread(docs, F.lit(0), F.floor((F.octet_length("__bytes") - 1) / size), "__n")
-    return out.select("doc_id", "lang", (F.col("__n") * size).alias("off"), F.substring(F.col("__bytes"), (F.col("__n") * size + 1).cast("int"), F.lit(size)).alias(column))
+    docs = table(s, d, "documents").select("doc_id", "lang", F.col("text").cast("binary").alias(column))
+    return pieced(docs, column, F.octet_length, size, "__n").select("doc_id", "lang", (F.col("__n") * size).alias("off"), column)
 
 
 @query("decode_pieces", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS whole FROM documents WHERE length(text) > 0")
@@ -43,6 +54,6 @@ _STRADDLING = "SELECT lang, piece, count(*) AS n FROM (SELECT lang, unnest(strin
 @query("resplit_straddling", _STRADDLING)
 def resplit_straddling(s, d):
     """All texts of a language joined and split at a delimiter of two characters, many of which lie across the rows of 50 characters that are given."""
-    docs = table(s, d, "documents").filter("text IS NOT NULL")
-    rows = spread(docs, F.lit(0), F.floor((F.length("text") - 1) / 50), "n").select("lang", F.struct("doc_id", "n").alias("seq"), F.substring(F.col("text"), (F.col("n") * 50 + 1).cast("int"), F.lit(50)).alias("text"))
+    docs = table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", "lang", "text")
+    rows = pieced(docs, "text", F.length, 50, "n").select("lang", F.struct("doc_id", "n").alias("seq"), "text")
     return grouping.resplit(rows, ". ", key="lang").groupBy("lang", "piece").agg(F.count("*").alias("n"))
