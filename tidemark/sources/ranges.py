@@ -1,4 +1,4 @@
-"""Ranges of bytes of files as a data source: "byte_ranges" reads pieces of `chunk` bytes between `start` and `end`, split over tasks every `span` bytes; a task seeks to its part, so that no file is read whole by one task or held in one value."""
+"""Ranges of bytes of files as a data source: "byte_ranges" reads pieces of `chunk` bytes between `start` and `end`, split over tasks every `span` bytes; a task seeks to its part, so that no file is read whole by one task or held in one value. Small files share tasks, and so do neighbouring spans where there are very many: a task has a price as well."""
 
 from __future__ import annotations
 
@@ -8,9 +8,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tidemark.sources.paths import listed, opened
 
 
-class _Span(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+#: Bytes that opening a file counts as, and tasks above which spans share them.
+OPENING, TASKS = 1 << 16, 1 << 10
+
+
+class _Spans(InputPartition):
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.spans = spans
 
 
 class _Reader(DataSourceReader):
@@ -19,16 +23,25 @@ class _Reader(DataSourceReader):
         self.span = max(span // chunk, 1) * chunk
 
     def partitions(self):
-        spans = [_Span(p, at, min(at + self.span, end)) for p, size in listed(self.path) for end in [size if self.end is None else min(size, self.end)] for at in range(self.start, end, self.span)]
-        return spans or [_Span("", 0, 0)]
+        spans = [(p, at, min(at + self.span, end)) for p, size in listed(self.path) for end in [size if self.end is None else min(size, self.end)] for at in range(self.start, end, self.span)]
+        dealt: list[list[tuple[str, int, int]]] = []
+        held = self.span
+        for s in spans:
+            size = max(s[2] - s[1], min(OPENING, self.span))
+            if held + size > self.span:
+                dealt.append([])
+                held = 0
+            dealt[-1].append(s)
+            held += size
+        each = -(-len(dealt) // TASKS) or 1
+        return [_Spans([s for d in dealt[k : k + each] for s in d]) for k in range(0, len(dealt), each)] or [_Spans([])]
 
     def read(self, partition):
-        if partition.end <= partition.start:
-            return
-        with opened(partition.path) as stream:
-            stream.seek(partition.start)
-            for at in range(partition.start, partition.end, self.chunk):
-                yield partition.path, at, stream.read(min(self.chunk, partition.end - at))
+        for path, start, end in partition.spans:
+            with opened(path) as stream:
+                stream.seek(start)
+                for at in range(start, end, self.chunk):
+                    yield path, at, stream.read(min(self.chunk, end - at))
 
 
 class ByteRanges(DataSource):
