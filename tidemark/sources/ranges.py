@@ -8,8 +8,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tidemark.sources.paths import listed, opened
 
 
-#: Bytes that opening a file counts as, and tasks above which spans share them.
-OPENING, TASKS = 1 << 16, 1 << 10
+#: Bytes that opening a file counts as; tasks above which short spans share them, and the bytes up to which they do.
+OPENING, TASKS, SHARE = 1 << 16, 1 << 7, 1 << 24
 
 
 class _Spans(InputPartition):
@@ -33,7 +33,7 @@ class _Reader(DataSourceReader):
                 held = 0
             dealt[-1].append(s)
             held += size
-        each = -(-len(dealt) // TASKS) or 1
+        each = max(min(-(-len(dealt) // TASKS), -(-SHARE // self.span)), 1)
         return [_Spans([s for d in dealt[k : k + each] for s in d]) for k in range(0, len(dealt), each)] or [_Spans([])]
 
     def read(self, partition):
